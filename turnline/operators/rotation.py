@@ -101,7 +101,7 @@ def build_links(
     known = F.col("dep_utc_scheduled").isNotNull()
     hour = int_div(F.unix_seconds("dep_utc_scheduled"), F.lit(3600))
     slices = [known, F.when(known, hour).otherwise(F.unix_date("flight_date"))]
-    order = (*LEG_ORDER, *[name for name in TIE_BREAKS if name in legs.columns])
+    order = [name for name in (*LEG_ORDER, *TIE_BREAKS) if name in legs.columns]
     linked = with_previous(legs, ["tail_number"], order, CARRIED, slices, hot_rows=hot_rows)
 
     buffer_min = F.col("scheduled_turnaround_min")

@@ -11,8 +11,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from turnline.functions.numeric import count_rows, mean_of, pct
-from turnline.operators.rotation import VALID
+from turnline.functions.numeric import count_rows, mean_of, pct, pct_of_rows
+from turnline.operators.rotation import valid_links
 from turnline.schema import DELAY_CAUSES
 
 FLIGHT_KPIS = (
@@ -57,12 +57,11 @@ def flight_kpis(flights: DataFrame, keys: Sequence[Column] = ()) -> DataFrame:
 
 
 def link_kpis(links: DataFrame, keys: Sequence[Column] = ()) -> DataFrame:
-    valid = F.col("link_status") == VALID
-    estimate = F.when(valid, F.col("propagated_delay_estimate_min"))
-    n_valid = F.count_if(valid)
-    return links.groupBy(*keys).agg(
-        n_valid.alias("signal_b_valid_links"),
-        pct(F.count_if(estimate > 0), n_valid).alias("signal_b_propagation_rate_pct"),
+    """KPIs over valid links; a group without any has no row."""
+    estimate = F.col("propagated_delay_estimate_min")
+    return valid_links(links).groupBy(*keys).agg(
+        count_rows().alias("signal_b_valid_links"),
+        pct_of_rows(estimate > 0).alias("signal_b_propagation_rate_pct"),
         F.sum(estimate).alias("signal_b_propagated_delay_minutes"),
         mean_of(estimate).alias("signal_b_avg_propagated_delay_minutes"),
     )
@@ -71,7 +70,7 @@ def link_kpis(links: DataFrame, keys: Sequence[Column] = ()) -> DataFrame:
 def joined_kpis(flights: DataFrame, links: DataFrame, keys: dict[str, Column]) -> DataFrame:
     """Flight and link KPIs side by side; both sides are aggregated before they meet.
 
-    A group without links has zero valid links and zero propagated minutes.
+    A group without valid links shows zero of them and zero propagated minutes.
     """
     by = [value.alias(name) for name, value in keys.items()]
     return (
