@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from turnline.functions.clock import (
-    epoch_minute, hour_of_day, local_to_utc, minutes_between, plus_minutes, wall_clock,
+    day_offsets, epoch_minute, hour_of_day, minutes_between, plus_minutes, wall_clock, with_local_to_utc,
 )
 
 
@@ -18,8 +18,9 @@ def utc_minute(text):
 
 def localised(spark, rows):
     frame = spark.createDataFrame(rows, "i int, date date, hhmm int, tz string")
-    instant = local_to_utc(wall_clock(F.col("date"), F.col("hhmm")), F.col("tz"))
-    return {row.i: row.m for row in frame.select("i", epoch_minute(instant).alias("m")).collect()}
+    frame = frame.withColumns(day_offsets(F.col("date"), F.col("tz")))
+    timed = with_local_to_utc(frame, wall_clock(F.col("date"), F.col("hhmm")), "tz", "instant")
+    return {row.i: row.m for row in timed.select("i", epoch_minute(F.col("instant")).alias("m")).collect()}
 
 
 def test_named_cases(spark):

@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from turnline.operators.rotation import rotation_links
-from turnline.operators.sequence import with_previous, with_row_number
+from turnline.operators.sequence import hot_keys, with_previous, with_row_number
 from turnline.sources.lineitem import airports, flights_from_lineitem
 
 
@@ -30,7 +30,7 @@ def test_previous_row_is_the_plain_windows(spark, hot_rows):
     rows = _skewed(spark)
     window = Window.partitionBy("k").orderBy(F.col("t").asc_nulls_first(), "i")
     expected = rows.select("i", F.lag("i").over(window).alias("p"), F.lag("t").over(window).alias("pt"))
-    ours = with_previous(rows, ["k"], ["t", "i"], ["i", "t"], _slices(), hot_rows=hot_rows)
+    ours = with_previous(rows, ["k"], ["t", "i"], ["i", "t"], _slices(), hot_keys(rows, ["k"], hot_rows))
     found = {r.i: (r.has_prev, r.prev_i, r.prev_t) for r in ours.collect()}
     assert len(found) == 9000
     for row in expected.collect():
@@ -42,7 +42,7 @@ def test_row_number_is_the_plain_windows(spark, hot_rows):
     rows = _skewed(spark)
     window = Window.partitionBy("k").orderBy(F.col("t").asc_nulls_first(), "i")
     expected = {r.i: r.n for r in rows.select("i", F.row_number().over(window).alias("n")).collect()}
-    ours = with_row_number(rows, ["k"], ["t", "i"], _slices(), "n", hot_rows=hot_rows)
+    ours = with_row_number(rows, ["k"], ["t", "i"], _slices(), "n", hot_keys(rows, ["k"], hot_rows))
     assert {r.i: r.n for r in ours.collect()} == expected
 
 
@@ -51,8 +51,8 @@ def test_hot_keys_beyond_the_broadcast_bound_are_joined_by_shuffle(spark, monkey
 
     monkeypatch.setattr(sequence, "BROADCAST_KEYS", 3)
     rows = _skewed(spark)
-    plain = with_previous(rows, ["k"], ["t", "i"], ["i"], _slices())
-    hot = with_previous(rows, ["k"], ["t", "i"], ["i"], _slices(), hot_rows=0)
+    plain = with_previous(rows, ["k"], ["t", "i"], ["i"], _slices(), None)
+    hot = with_previous(rows, ["k"], ["t", "i"], ["i"], _slices(), hot_keys(rows, ["k"], 0))
     assert plain.exceptAll(hot).isEmpty() and hot.exceptAll(plain).isEmpty()
 
 

@@ -1,13 +1,12 @@
 """Local clock fields, time zones and UTC arithmetic.
 
 Everything is counted in whole seconds since the epoch, so no result depends on
-the session time zone.  A "wall clock" here is a timestamp whose UTC reading is
-what a clock on the airport's wall shows.
+the session time zone.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from turnline.functions.numeric import int_div
@@ -24,35 +23,51 @@ def hour_of_day(hhmm: Column) -> Column:
 
 
 def wall_clock(date: Column, hhmm: Column) -> Column:
+    """Epoch seconds of the clock reading, as if the clock showed UTC."""
     # 2400 div 100 is hour 24, which already lands on the next day.
     minutes = int_div(hhmm, F.lit(100)) * 60 + hhmm % 100
-    return F.timestamp_seconds(F.unix_date(date).cast("bigint") * DAY_SECONDS + minutes * 60)
+    return F.unix_date(date).cast("bigint") * DAY_SECONDS + minutes * 60
 
 
-def _reading(instant: Column, tz: Column) -> Column:
+def reading(instant: Column, tz: Column) -> Column:
     """What a clock in the zone shows at an instant, both in epoch seconds."""
     return F.unix_seconds(F.from_utc_timestamp(F.timestamp_seconds(instant), tz))
 
 
-def local_to_utc(wall: Column, tz: Column) -> Column:
-    """The UTC instant at which the zone's clock shows ``wall``.
+def day_offsets(date: Column, tz: Column) -> dict[str, Column]:
+    """Seconds the zone is ahead of UTC a day before a date begins and a day after it ends.
 
-    Null when the clock never shows it (spring gap), shows it twice (autumn
-    overlap), or the zone is null.  The zone's offsets a day before and a day
-    after give the only two instants that can qualify.
+    They bracket every local time of that date, 2400 included.
     """
-    clock = F.unix_seconds(wall)
-    eve, morrow = clock - DAY_SECONDS, clock + DAY_SECONDS
-    early = clock - (_reading(eve, tz) - eve)
-    late = clock - (_reading(morrow, tz) - morrow)
-    early_fits = _reading(early, tz) == clock
-    late_fits = _reading(late, tz) == clock
-    instant = (
-        F.when(early == late, early)
-        .when(early_fits & ~late_fits, early)
-        .when(late_fits & ~early_fits, late)
+    midnight = F.unix_date(date).cast("bigint") * DAY_SECONDS
+    eve, morrow = midnight - DAY_SECONDS, midnight + 2 * DAY_SECONDS
+    return {"early_offset": reading(eve, tz) - eve, "late_offset": reading(morrow, tz) - morrow}
+
+
+def with_local_to_utc(rows: DataFrame, wall: Column, tz: str, into: str) -> DataFrame:
+    """Add the UTC instant at which the clock of zone column ``tz`` shows ``wall`` (epoch seconds).
+
+    ``rows`` carries the ``day_offsets`` of the local date; they leave only two
+    instants that can qualify.  The result is null when neither does (spring
+    gap), when both do (autumn overlap), or when the zone is null.  Away from a
+    clock change both are one and the zone is not looked up again.
+    """
+    # Steps of their own, so that no step is computed more than once per row.
+    wall_s, early, late = (F.col(name) for name in ("_wall", "_early", "_late"))
+    differ = early != late
+    return (
+        rows.withColumn("_wall", wall)
+        .withColumns({"_early": wall_s - F.col("early_offset"), "_late": wall_s - F.col("late_offset")})
+        .withColumns({
+            "_early_fits": F.when(differ, reading(early, F.col(tz)) == wall_s).otherwise(True),
+            "_late_fits": F.when(differ, reading(late, F.col(tz)) == wall_s).otherwise(False),
+        })
+        .withColumn(into, F.timestamp_seconds(
+            F.when(F.col("_early_fits") & ~F.col("_late_fits"), early)
+            .when(F.col("_late_fits") & ~F.col("_early_fits"), late)
+        ))
+        .drop("_wall", "_early", "_late", "_early_fits", "_late_fits")
     )
-    return F.timestamp_seconds(instant)
 
 
 def plus_minutes(instant: Column, minutes: Column) -> Column:

@@ -5,9 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from turnline.functions.clock import local_to_utc, minutes_between, plus_minutes, wall_clock
+from turnline.functions.clock import day_offsets, minutes_between, plus_minutes, wall_clock, with_local_to_utc
 from turnline.functions.numeric import int_div
-from turnline.operators.sequence import HOT_ROWS, with_previous
+from turnline.operators.sequence import HOT_ROWS, hot_keys, with_previous
 from turnline.schema import LINK_NAMES
 
 # Plausible range of a turnaround, in minutes, both ends included.
@@ -16,14 +16,14 @@ MAX_TURNAROUND_MIN = 36 * 60
 
 VALID = "valid"
 
-# The flight columns a rotation needs.
+# The flight columns a rotation needs.
 LEG_COLUMNS = (
     "tail_number", "flight_date", "reporting_airline", "flight_number", "origin", "dest",
     "crs_dep_time", "crs_elapsed_time", "actual_elapsed_time", "dep_delay_minutes",
     "arr_delay_minutes", "cancelled", "diverted", "late_aircraft_delay",
 )
 
-# What a link takes from the leg before.
+# What a link takes from the leg before.
 CARRIED = (
     "flight_date", "flight_number", "origin", "dest", "arr_delay_minutes", "cancelled", "diverted",
     "arr_utc_scheduled", "arr_utc_actual",
@@ -38,37 +38,59 @@ TIE_BREAKS = (
     "cancelled", "diverted", "arr_utc_scheduled", "arr_utc_actual",
 )
 
+# The zone calendar is broadcast up to this many rows (some 25 MB).
+MAX_CALENDAR_ROWS = 400_000
+
 
 def legs_of(flights: DataFrame) -> DataFrame:
     """The flights whose aircraft is known, cut to the columns a rotation needs."""
     return flights.where(F.col("tail_number").isNotNull()).select(*LEG_COLUMNS)
 
 
+def _with_day_offsets(flights: DataFrame, zones: DataFrame) -> DataFrame:
+    """Add the UTC offsets around the local date of each flight.
+
+    Looking up zone rules costs more than the rest of the row, so it is done once
+    per zone and date.  That calendar is broadcast after its rows were counted;
+    beyond the bound each flight looks its zone up itself.
+    """
+    offsets = day_offsets(F.col("flight_date"), F.col("origin_tz"))
+    dates = flights.agg(F.min("flight_date").alias("first"), F.max("flight_date").alias("last")).first()
+    names = zones.select("origin_tz").where(F.col("origin_tz").isNotNull()).distinct()
+    days = (dates.last - dates.first).days + 1 if dates.first else 0
+    if days == 0 or names.limit(MAX_CALENDAR_ROWS // days + 1).count() > MAX_CALENDAR_ROWS // days:
+        return flights.withColumns(offsets)
+    every_day = F.explode(F.sequence(F.lit(dates.first), F.lit(dates.last))).alias("flight_date")
+    calendar = names.select("origin_tz", every_day).withColumns(offsets)
+    return flights.join(F.broadcast(calendar), ["origin_tz", "flight_date"], "left")
+
+
 def with_utc_times(flights: DataFrame, airports: DataFrame) -> DataFrame:
     """Add ``origin_tz`` and the four UTC times; an unknown zone or local time leaves them null.
 
     Only the scheduled departure is read off a local clock.  The other three
     follow from it by reported minutes, so no calendar day has to be guessed.
-    The dimension carries no broadcast hint: Spark broadcasts it while its
-    measured size is below the session's threshold.
+    The airport dimension carries no broadcast hint: Spark broadcasts it while
+    its measured size is below the session's threshold.
     """
     zones = airports.groupBy(F.col("iata").alias("origin")).agg(F.max("tz").alias("origin_tz"))
-    scheduled = local_to_utc(wall_clock(F.col("flight_date"), F.col("crs_dep_time")), F.col("origin_tz"))
-    return (
-        flights.join(zones, "origin", "left")
-        .withColumn("dep_utc_scheduled", scheduled)
-        .withColumns({
-            "arr_utc_scheduled": plus_minutes(F.col("dep_utc_scheduled"), F.col("crs_elapsed_time")),
-            "dep_utc_actual": plus_minutes(F.col("dep_utc_scheduled"), F.col("dep_delay_minutes")),
-            "arr_utc_actual": plus_minutes(
-                F.col("dep_utc_scheduled"), F.col("dep_delay_minutes") + F.col("actual_elapsed_time")
-            ),
-        })
-    )
+    placed = _with_day_offsets(flights.join(zones, "origin", "left"), zones)
+    wall = wall_clock(F.col("flight_date"), F.col("crs_dep_time"))
+    timed = with_local_to_utc(placed, wall, "origin_tz", "dep_utc_scheduled")
+    return timed.drop("early_offset", "late_offset").withColumns({
+        "arr_utc_scheduled": plus_minutes(F.col("dep_utc_scheduled"), F.col("crs_elapsed_time")),
+        "dep_utc_actual": plus_minutes(F.col("dep_utc_scheduled"), F.col("dep_delay_minutes")),
+        "arr_utc_actual": plus_minutes(
+            F.col("dep_utc_scheduled"), F.col("dep_delay_minutes") + F.col("actual_elapsed_time")
+        ),
+    })
 
 
 def _link_status(min_turn: int, max_turn: int) -> Column:
-    """The first reason that rules a link out, or ``valid``."""
+    """The first reason that rules a link out, or ``valid``.
+
+    Fixed values: the status names and the order in which they are tested.
+    """
     observed = F.col("observed_turnaround_min")
     return (
         F.when(~F.col("has_prev"), "excluded_no_prior_flight")
@@ -91,18 +113,21 @@ def build_links(
     min_turn: int = MIN_TURNAROUND_MIN,
     max_turn: int = MAX_TURNAROUND_MIN,
     hot_rows: int = HOT_ROWS,
+    counted: DataFrame | None = None,
 ) -> DataFrame:
     """One link per leg: the leg before it, both turnarounds, status and carried-over delay.
 
     ``legs`` carries the UTC times of ``with_utc_times``.  Legs are not cut by
     calendar day, so overnight turns link.  A leg without a known departure time
-    sorts to the head of its aircraft.
+    sorts to the head of its aircraft.  Legs per aircraft are counted in
+    ``counted`` where given: the same legs before any work was put into them.
     """
     known = F.col("dep_utc_scheduled").isNotNull()
     hour = int_div(F.unix_seconds("dep_utc_scheduled"), F.lit(3600))
     slices = [known, F.when(known, hour).otherwise(F.unix_date("flight_date"))]
     order = [name for name in (*LEG_ORDER, *TIE_BREAKS) if name in legs.columns]
-    linked = with_previous(legs, ["tail_number"], order, CARRIED, slices, hot_rows=hot_rows)
+    hot = hot_keys(counted or legs, ["tail_number"], hot_rows)
+    linked = with_previous(legs, ["tail_number"], order, CARRIED, slices, hot)
 
     buffer_min = F.col("scheduled_turnaround_min")
     over = F.col("prev_arr_delay_minutes") - buffer_min
@@ -120,8 +145,8 @@ def build_links(
 
 def rotation_links(flights: DataFrame, airports: DataFrame, hot_rows: int = HOT_ROWS) -> DataFrame:
     """The 18-column link table of a flights table."""
-    legs = with_utc_times(legs_of(flights), airports)
-    return build_links(legs, hot_rows=hot_rows).select(*LINK_NAMES)
+    legs = legs_of(flights)
+    return build_links(with_utc_times(legs, airports), hot_rows=hot_rows, counted=legs).select(*LINK_NAMES)
 
 
 def valid_links(links: DataFrame) -> DataFrame:

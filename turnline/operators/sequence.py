@@ -3,8 +3,8 @@
 A plain window sends all rows of a key to one task.  That is the best plan while
 every key is of ordinary size, so it stays the plan for those keys.  A key with
 more rows than ``hot_rows`` is cut along its own order into time slices: each
-slice is windowed by itself, and one small row per slice carries over what the
-next slice has to know.
+slice is windowed by itself, and what a slice has to know of the slices before it
+comes from a few rows per slice.
 """
 
 from __future__ import annotations
@@ -18,42 +18,31 @@ from pyspark.sql.window import Window, WindowSpec
 from turnline.functions.numeric import count_rows
 
 # A key up to this many rows is sorted by one task with ease (it spills if need be).
-HOT_ROWS = 4_000_000
+HOT_ROWS = 1_000_000
 
 # Hot keys are broadcast up to this many; beyond it they are joined by shuffle.
 BROADCAST_KEYS = 100_000
 
-_SLICE = "_slice"
 
+def hot_keys(rows: DataFrame, keys: Sequence[str], hot_rows: int = HOT_ROWS) -> DataFrame | None:
+    """The keys with more than ``hot_rows`` rows, null when there is none.
 
-def _slice_names(slices: Sequence[Column]) -> list[str]:
-    return [f"{_SLICE}{position}" for position in range(len(slices))]
-
-
-def _hot_keys(rows: DataFrame, keys: Sequence[str], hot_rows: int) -> tuple[DataFrame, int]:
-    """The keys with more than ``hot_rows`` rows, and how many there are (counted up to the broadcast bound)."""
+    Counted here, so that the usual case keeps the plain plan and a broadcast is
+    asked for only within its bound.
+    """
     hot = rows.groupBy(*keys).agg(count_rows().alias("_rows")).where(F.col("_rows") > hot_rows).select(*keys)
-    return hot, hot.limit(BROADCAST_KEYS + 1).count()
+    found = hot.limit(BROADCAST_KEYS + 1).count()
+    if found == 0:
+        return None
+    return F.broadcast(hot) if found <= BROADCAST_KEYS else hot
 
 
-def _with_slices(
-    rows: DataFrame, keys: Sequence[str], slices: Sequence[Column], hot: DataFrame, n_hot: int
-) -> DataFrame:
-    """Add ``_hot`` and the slice columns, which stay null for ordinary keys."""
-    marks = hot.withColumn("_hot", F.lit(True))
-    if n_hot <= BROADCAST_KEYS:
-        marks = F.broadcast(marks)
-    marked = rows.join(marks, list(keys), "left")
-    names = _slice_names(slices)
-    return marked.withColumns({name: F.when(F.col("_hot"), value) for name, value in zip(names, slices)})
+def _by_slice(slices: Sequence[Column]) -> dict[str, Column]:
+    return {f"_slice{position}": value for position, value in enumerate(slices)}
 
 
-def _joins_slice(keys: Sequence[str], names: Sequence[str]) -> Column:
-    """Equality on key and slice; ordinary rows have null slices and so match nothing."""
-    condition = F.col(keys[0]) == F.col(f"_to_{keys[0]}")
-    for name in (*keys[1:], *names):
-        condition = condition & (F.col(name) == F.col(f"_to_{name}"))
-    return condition
+def _ascending(names: Sequence[str]) -> list[Column]:
+    return [F.col(name).asc_nulls_first() for name in names]
 
 
 def with_previous(
@@ -62,15 +51,14 @@ def with_previous(
     order: Sequence[str],
     carried: Sequence[str],
     slices: Sequence[Column],
-    hot_rows: int = HOT_ROWS,
+    hot: DataFrame | None,
 ) -> DataFrame:
     """Add ``prev_<name>`` for each carried column, and ``has_prev``, from the row before in its key.
 
     Rows are ordered by the ``order`` columns ascending, nulls first.  ``slices``
-    must rise along that order; they are used for hot keys only.  Neither keys
-    nor slices may be null.
+    must rise along that order; they are used for the keys in ``hot`` only, which
+    comes from ``hot_keys``.  Neither keys nor slices may be null.
     """
-    ordering = [F.col(name).asc_nulls_first() for name in order]
 
     def before(window: WindowSpec) -> dict[str, Column]:
         # One window for all of them.  Plain columns, not a struct, so that
@@ -81,36 +69,28 @@ def with_previous(
             **{f"prev_{name}": F.lag(name, 1).over(window) for name in carried},
         }
 
-    hot, n_hot = _hot_keys(rows, keys, hot_rows)
-    if n_hot == 0:
-        return rows.withColumns(before(Window.partitionBy(*keys).orderBy(*ordering)))
+    by_key = Window.partitionBy(*keys).orderBy(*_ascending(order))
+    if hot is None:
+        return rows.withColumns(before(by_key))
 
-    names = _slice_names(slices)
-    sliced = _with_slices(rows, keys, slices, hot, n_hot)
-    within = sliced.withColumns(before(Window.partitionBy(*keys, *names).orderBy(*ordering)))
+    ordinary = rows.join(hot, list(keys), "left_anti").withColumns(before(by_key))
 
-    # One row per slice of a hot key: its last row, handed to the slice after it.
-    # A key has no more slices than its calendar has, so this window stays small.
-    lasts = (
-        sliced.where("_hot")
-        .groupBy(*keys, *names)
-        .agg(F.max_by(F.struct(*carried), F.struct(*order)).alias("_last"))
-    )
-    along = Window.partitionBy(*keys).orderBy(*[F.col(name).asc_nulls_first() for name in names])
-    handed = lasts.select(
-        *[F.col(name).alias(f"_to_{name}") for name in (*keys, *names)],
-        F.lag("_last", 1).over(along).alias("_handed"),
-    )
-    # Only the first row of a slice lacks a row before it and takes the one handed on.
-    joined = within.join(handed, _joins_slice(keys, names) & ~F.col("has_prev"), "left")
-    return joined.select(
-        *[F.col(name) for name in rows.columns],
-        (F.col("has_prev") | F.col("_handed").isNotNull()).alias("has_prev"),
-        *[
-            F.when(F.col("has_prev"), F.col(f"prev_{name}")).otherwise(F.col(f"_handed.{name}")).alias(f"prev_{name}")
-            for name in carried
-        ],
-    )
+    sliced = rows.join(hot, list(keys), "left_semi").withColumns(_by_slice(slices))
+    by_slice = Window.partitionBy(*keys, *_by_slice(slices)).orderBy(*_ascending(order))
+    linked = sliced.withColumns({
+        **before(by_slice),
+        "_is_last": F.lead(F.lit(True), 1).over(by_slice).isNull(),
+    })
+    inside = linked.where("has_prev")
+    # The first row of a slice follows the last row of the slice before it.  First
+    # and last rows are two per slice, and a key has no more slices than its
+    # calendar has, so here a window by key is small.
+    edges = linked.where(~F.col("has_prev") | F.col("_is_last")).withColumn("_is_first", ~F.col("has_prev"))
+    heads = edges.withColumns(before(by_key)).where("_is_first")
+
+    columns = [*rows.columns, "has_prev", *[f"prev_{name}" for name in carried]]
+    parts = [part.select(*columns) for part in (ordinary, inside, heads)]
+    return parts[0].union(parts[1]).union(parts[2])
 
 
 def with_row_number(
@@ -119,34 +99,28 @@ def with_row_number(
     order: Sequence[str],
     slices: Sequence[Column],
     into: str,
-    hot_rows: int = HOT_ROWS,
+    hot: DataFrame | None,
 ) -> DataFrame:
-    """Number the rows of each key from 1 in ascending order, nulls first."""
-    ordering = [F.col(name).asc_nulls_first() for name in order]
-    hot, n_hot = _hot_keys(rows, keys, hot_rows)
-    if n_hot == 0:
-        number = F.row_number().over(Window.partitionBy(*keys).orderBy(*ordering))
-        return rows.withColumn(into, number.cast("bigint"))
-
-    names = _slice_names(slices)
-    sliced = _with_slices(rows, keys, slices, hot, n_hot)
-    within = F.row_number().over(Window.partitionBy(*keys, *names).orderBy(*ordering)).cast("bigint")
-    along = (
-        Window.partitionBy(*keys)
-        .orderBy(*[F.col(name).asc_nulls_first() for name in names])
-        .rowsBetween(Window.unboundedPreceding, -1)
-    )
+    """Number the rows of each key from 1 in ascending order, nulls first; see ``with_previous``."""
+    number = F.row_number()
+    by_key = Window.partitionBy(*keys).orderBy(*_ascending(order))
+    if hot is None:
+        return rows.withColumn(into, number.over(by_key).cast("bigint"))
+
+    ordinary = rows.join(hot, list(keys), "left_anti").withColumn(into, number.over(by_key).cast("bigint"))
+
+    names = list(_by_slice(slices))
+    sliced = rows.join(hot, list(keys), "left_semi").withColumns(_by_slice(slices))
+    by_slice = Window.partitionBy(*keys, *names).orderBy(*_ascending(order))
+    # Rows in the slices before: one small row per slice, summed along the key.
+    earlier = Window.partitionBy(*keys).orderBy(*names).rowsBetween(Window.unboundedPreceding, -1)
     offsets = (
-        sliced.where("_hot")
-        .groupBy(*keys, *names)
+        sliced.groupBy(*keys, *names)
         .agg(count_rows().alias("_rows"))
-        .select(
-            *[F.col(name).alias(f"_to_{name}") for name in (*keys, *names)],
-            F.sum("_rows").over(along).alias("_offset"),
-        )
-    )
-    numbered = sliced.withColumn(into, within).join(offsets, _joins_slice(keys, names), "left")
-    return numbered.select(
-        *[F.col(name) for name in rows.columns],
-        (F.col(into) + F.coalesce(F.col("_offset"), F.lit(0))).alias(into),
+        .withColumn("_offset", F.coalesce(F.sum("_rows").over(earlier), F.lit(0)))
+        .drop("_rows")
     )
+    numbered = sliced.withColumn(into, number.over(by_slice)).join(offsets, [*keys, *names])
+    shifted = numbered.withColumn(into, F.col(into) + F.col("_offset"))
+    columns = [*rows.columns, into]
+    return ordinary.select(*columns).union(shifted.select(*columns))

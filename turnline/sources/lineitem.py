@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from turnline.functions.numeric import int_div
-from turnline.operators.sequence import HOT_ROWS, with_row_number
+from turnline.operators.sequence import HOT_ROWS, hot_keys, with_row_number
 from turnline.schema import FLIGHT_NAMES
 
 # Time zones of the derived airports, as (last letter, zone), A to Z.
@@ -52,7 +52,8 @@ def flights_from_lineitem(lineitem: DataFrame, hot_rows: int = HOT_ROWS) -> Data
     )
     shipped = F.col("l_shipdate").isNotNull()
     day = F.when(shipped, F.unix_date(F.col("l_shipdate").cast("date"))).otherwise(0)
-    numbered = with_row_number(lines, _AIRCRAFT, _SHIPPING_ORDER, [shipped, day], "number", hot_rows=hot_rows)
+    hot = hot_keys(lines, _AIRCRAFT, hot_rows)
+    numbered = with_row_number(lines, _AIRCRAFT, _SHIPPING_ORDER, [shipped, day], "number", hot)
 
     div, when = int_div, F.when
     n, t, q, c, d, x = (F.col(name) for name in "ntqcdx")
