@@ -17,6 +17,22 @@ REQUIRED = (
 REQUIRED_LINK = (
     "tail_number", "flight_date", "reporting_airline", "origin", "dest", "crs_dep_time", "link_status",
 )
+
+# Bins as (upper bound in minutes, label); the last bin has no bound.
+BUFFER_BUCKETS = (
+    (0, "<=0 (no scheduled buffer)"), (30, "0-30"), (45, "30-45"), (60, "45-60"), (90, "60-90"), (120, "90-120"),
+    (None, "120+"),
+)
+PRIOR_DELAY_BINS = ((0, "<=0"), (15, "1-15"), (30, "15-30"), (60, "30-60"), (120, "60-120"), (None, "120+"))
+POSITIVE_BUFFER_BINS = ((30, "<30"), (45, "30-45"), (60, "45-60"), (90, "60-90"), (120, "90-120"), (None, "120+"))
+
+# Codes and the text shown for them.
+CANCELLATION_REASONS = (("A", "Carrier"), ("B", "Weather"), ("C", "National Air System"), ("D", "Security"))
+CAUSE_LABELS = (
+    ("carrier_delay", "Carrier Delay"), ("weather_delay", "Weather Delay"), ("nas_delay", "NAS Delay"),
+    ("security_delay", "Security Delay"), ("late_aircraft_delay", "Late Aircraft Delay"),
+)
+
 HOUR = "CAST((crs_dep_time // 100) % 24 AS INTEGER)"
 ALL_CAUSES = " + ".join(CAUSES)
 
@@ -33,6 +49,20 @@ def pct(part: str, whole: str, digits: int = 2) -> str:
     return ratio(f"100 * ({part})", whole, 10**digits)
 
 
+def bin_number(value: str, bins: tuple) -> str:
+    """Position of the first bin whose bound the value does not exceed."""
+    bounded = [f"WHEN {value} <= {bound} THEN {i}" for i, (bound, _) in enumerate(bins) if bound is not None]
+    return f"CAST(CASE {' '.join(bounded)} ELSE {len(bins) - 1} END AS INTEGER)"
+
+
+def shown_as(code: str, pairs) -> str:
+    return f"CASE {code} " + " ".join(f"WHEN {key!r} THEN '{text}'" for key, text in pairs) + " END"
+
+
+def bin_label(number: str, bins: tuple) -> str:
+    return shown_as(number, enumerate(label for _, label in bins))
+
+
 def avg2(x: str) -> str:
     return ratio(f"sum({x})", f"count({x})", 100)
 
@@ -144,17 +174,12 @@ def signals(where: str = "TRUE") -> str:
 
 def turnaround(where: str = "TRUE") -> str:
     return f"""SELECT bucket_order,
-        CASE bucket_order WHEN 0 THEN '<=0 (no scheduled buffer)' WHEN 1 THEN '0-30' WHEN 2 THEN '30-45'
-            WHEN 3 THEN '45-60' WHEN 4 THEN '60-90' WHEN 5 THEN '90-120' ELSE '120+' END AS buffer_bucket_minutes,
+        {bin_label('bucket_order', BUFFER_BUCKETS)} AS buffer_bucket_minutes,
         count(*) AS n_links,
         {avg2('prior_leg_arr_delay_minutes')} AS avg_prior_leg_delay_minutes,
         {avg2('dep_delay_minutes')} AS avg_current_dep_delay_minutes,
         {share('dep_delay_minutes >= 15')} AS downstream_delay_rate_pct
-    FROM (SELECT *, CAST(CASE
-            WHEN scheduled_turnaround_min <= 0 THEN 0 WHEN scheduled_turnaround_min <= 30 THEN 1
-            WHEN scheduled_turnaround_min <= 45 THEN 2 WHEN scheduled_turnaround_min <= 60 THEN 3
-            WHEN scheduled_turnaround_min <= 90 THEN 4 WHEN scheduled_turnaround_min <= 120 THEN 5
-            ELSE 6 END AS INTEGER) AS bucket_order
+    FROM (SELECT *, {bin_number('scheduled_turnaround_min', BUFFER_BUCKETS)} AS bucket_order
         FROM rotation_links WHERE {VALID} AND prior_leg_arr_delay_minutes > 0 AND {where})
     GROUP BY bucket_order"""
 
@@ -228,9 +253,8 @@ def statements() -> dict[str, str]:
         FROM flights WHERE arr_delay_minutes IS NOT NULL""")
     sql["cancellation_rate"] = over_flights(f"""SELECT count(*) FILTER (WHERE cancelled) AS cancelled_flights,
         count(*) AS total_flights, {share('cancelled', 3)} AS cancellation_rate_pct FROM flights""")
-    sql["cancellation_by_reason"] = over_flights("""SELECT cancellation_code,
-        CASE cancellation_code WHEN 'A' THEN 'Carrier' WHEN 'B' THEN 'Weather' WHEN 'C' THEN 'National Air System'
-            WHEN 'D' THEN 'Security' END AS reason, count(*) AS cancelled_flights
+    sql["cancellation_by_reason"] = over_flights(f"""SELECT cancellation_code,
+        {shown_as('cancellation_code', CANCELLATION_REASONS)} AS reason, count(*) AS cancelled_flights
         FROM flights WHERE cancelled GROUP BY 1""")
     sql["delay_cause_share"] = over_flights(causes())
     airport_rows = f"""SELECT origin, count(*) AS flights, {DELAY_RATE} AS delay_rate_pct,
@@ -314,10 +338,8 @@ def statements() -> dict[str, str]:
     sql["downstream_vs_prior"] = over_links(f"""SELECT bin_order, count(*) AS n,
         {avg2('dep_delay_minutes')} AS avg_current_dep_delay, {avg2('arr_delay_minutes')} AS avg_current_arr_delay,
         {share('arr_delay_minutes >= 15')} AS pct_current_delayed_15,
-        CASE bin_order WHEN 0 THEN '<=0' WHEN 1 THEN '1-15' WHEN 2 THEN '15-30' WHEN 3 THEN '30-60'
-            WHEN 4 THEN '60-120' ELSE '120+' END AS prior_delay_bucket
-        FROM (SELECT *, CAST(CASE WHEN {p} <= 0 THEN 0 WHEN {p} <= 15 THEN 1 WHEN {p} <= 30 THEN 2
-            WHEN {p} <= 60 THEN 3 WHEN {p} <= 120 THEN 4 ELSE 5 END AS INTEGER) AS bin_order
+        {bin_label('bin_order', PRIOR_DELAY_BINS)} AS prior_delay_bucket
+        FROM (SELECT *, {bin_number(p, PRIOR_DELAY_BINS)} AS bin_order
             FROM rotation_links WHERE {VALID} AND {p} IS NOT NULL) GROUP BY bin_order""")
     sql["prior_dep_correlation"] = over_links(f"""SELECT {corr3(p, 'dep_delay_minutes')} AS corr_prior_vs_dep_delay,
         count(*) FILTER (WHERE {p} IS NOT NULL AND dep_delay_minutes IS NOT NULL) AS links_used
@@ -326,10 +348,8 @@ def statements() -> dict[str, str]:
     sql["buffer_effect"] = over_links(f"""SELECT bin_order, count(*) AS n, {avg2(p)} AS avg_prior_delay,
         {avg2('dep_delay_minutes')} AS avg_current_dep_delay,
         {share('dep_delay_minutes >= 15')} AS pct_current_delayed_15,
-        CASE bin_order WHEN 0 THEN '<30' WHEN 1 THEN '30-45' WHEN 2 THEN '45-60' WHEN 3 THEN '60-90'
-            WHEN 4 THEN '90-120' ELSE '120+' END AS buffer_bucket
-        FROM (SELECT *, CAST(CASE WHEN {s} <= 30 THEN 0 WHEN {s} <= 45 THEN 1 WHEN {s} <= 60 THEN 2
-            WHEN {s} <= 90 THEN 3 WHEN {s} <= 120 THEN 4 ELSE 5 END AS INTEGER) AS bin_order
+        {bin_label('bin_order', POSITIVE_BUFFER_BINS)} AS buffer_bucket
+        FROM (SELECT *, {bin_number(s, POSITIVE_BUFFER_BINS)} AS bin_order
             FROM rotation_links WHERE {VALID} AND {p} > 0 AND {s} > 0) GROUP BY bin_order""")
     sql["propagation_by_hour"] = over_links(propagation_by(f"{HOUR} AS dep_hour", "dep_hour"))
     sql["propagation_by_airport"] = over_links(top(
@@ -348,9 +368,7 @@ def statements() -> dict[str, str]:
         "delay_rate_pct", "route", 15))
     sql["cause_ranking"] = over_flights(f"""SELECT
         CAST(row_number() OVER (ORDER BY minutes DESC NULLS LAST, cause) AS INTEGER) AS rank, cause,
-        CASE cause WHEN 'carrier_delay' THEN 'Carrier Delay' WHEN 'weather_delay' THEN 'Weather Delay'
-            WHEN 'nas_delay' THEN 'NAS Delay' WHEN 'security_delay' THEN 'Security Delay'
-            ELSE 'Late Aircraft Delay' END AS label, minutes, pct_of_total_delay_minutes FROM ({causes()})""")
+        {shown_as('cause', CAUSE_LABELS)} AS label, minutes, pct_of_total_delay_minutes FROM ({causes()})""")
     sql["hourly_delay_profile"] = over_links(
         f"SELECT scheduled_dep_hour, delay_rate_pct, avg_delay_minutes FROM ({hours()})")
     sql["hourly_signals"] = over_links(f"""SELECT scheduled_dep_hour, signal_a_late_aircraft_share_pct,

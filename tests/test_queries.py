@@ -77,7 +77,9 @@ def test_views_of_nothing(flights, links):
     assert {r.pct_of_total_delay_minutes for r in views.delay_cause_performance(flights, none).collect()} == {None}
 
 
-def test_quality_checks_find_planted_faults(flights):
+@pytest.mark.parametrize("most_hashes", [10_000, 3])
+def test_quality_checks_find_planted_faults(flights, monkeypatch, most_hashes):
+    monkeypatch.setattr(quality, "MAX_REPEATED_HASHES", most_hashes)
     twice = flights.unionByName(flights.where("origin = 'AAA'"))
     n = flights.where("origin = 'AAA'").count()
     assert quality.full_row_duplicates(twice).first().duplicate_rows == n

@@ -38,6 +38,9 @@ TIE_BREAKS = (
     "cancelled", "diverted", "arr_utc_scheduled", "arr_utc_actual",
 )
 
+# Width of the time slices a hot tail is cut into.
+SLICE_SECONDS = 600
+
 # The zone calendar is broadcast up to this many rows (some 25 MB).
 MAX_CALENDAR_ROWS = 400_000
 
@@ -123,8 +126,12 @@ def build_links(
     ``counted`` where given: the same legs before any work was put into them.
     """
     known = F.col("dep_utc_scheduled").isNotNull()
-    hour = int_div(F.unix_seconds("dep_utc_scheduled"), F.lit(3600))
-    slices = [known, F.when(known, hour).otherwise(F.unix_date("flight_date"))]
+    step = int_div(F.unix_seconds("dep_utc_scheduled"), F.lit(SLICE_SECONDS))
+    slices = [
+        known,
+        F.when(known, step).otherwise(F.unix_date("flight_date")),
+        F.when(known, 0).otherwise(F.coalesce("flight_number", F.lit(-1))),
+    ]
     order = [name for name in (*LEG_ORDER, *TIE_BREAKS) if name in legs.columns]
     hot = hot_keys(counted or legs, ["tail_number"], hot_rows)
     linked = with_previous(legs, ["tail_number"], order, CARRIED, slices, hot)

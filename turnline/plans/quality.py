@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -14,6 +16,9 @@ from turnline.schema import (
 # The columns that should tell any two flights apart.
 FLIGHT_KEY = ("flight_date", "reporting_airline", "flight_number", "origin", "dest", "crs_dep_time")
 
+# Repeated row hashes held as a list; beyond that, all rows are compared.
+MAX_REPEATED_HASHES = 10_000
+
 # Fixed value: the format of an airport code.
 AIRPORT_CODE = "^[A-Z]{3}$"
 
@@ -51,22 +56,36 @@ def nullable_profile(flights: DataFrame) -> DataFrame:
     return _null_counts(flights, NULLABLE_FLIGHT_COLUMNS)
 
 
-def full_row_duplicates(flights: DataFrame) -> DataFrame:
-    """Rows beyond the first of each set of equal rows.
+def _repeated(rows: DataFrame, columns: Sequence[str]) -> DataFrame:
+    """The value combinations of the columns that occur more than once, with their count ``n``.
 
-    Equal rows are counted before the shuffle, so many copies of one row travel as one.
+    Almost all rows are unique, so hashes are counted first and only rows whose
+    hash repeats are compared in full.  That keeps wide rows out of the shuffle;
+    where too many hashes repeat, all rows are compared.  Either way equal rows
+    are counted before the shuffle, so many copies of one row travel as one.
     """
-    copies = flights.groupBy(*FLIGHT_NAMES).agg(count_rows().alias("n"))
-    return copies.agg(F.coalesce(F.sum(F.col("n") - 1), F.lit(0)).alias("duplicate_rows"))
+    hashed = rows.select(*columns, F.xxhash64(*columns).alias("_hash"))
+    twice = hashed.groupBy("_hash").agg(count_rows().alias("n")).where(F.col("n") > 1)
+    hashes = twice.select("_hash").limit(MAX_REPEATED_HASHES + 1).collect()
+    if not hashes:
+        hashed = hashed.where(F.lit(False))
+    elif len(hashes) <= MAX_REPEATED_HASHES:
+        listed = rows.sparkSession.createDataFrame(hashes, "_hash bigint")
+        hashed = hashed.join(F.broadcast(listed), "_hash", "left_semi")
+    return hashed.groupBy(*columns).agg(count_rows().alias("n")).where(F.col("n") > 1)
+
+
+def full_row_duplicates(flights: DataFrame) -> DataFrame:
+    """Rows beyond the first of each set of equal rows."""
+    extra = F.sum(F.col("n") - 1)
+    return _repeated(flights, FLIGHT_NAMES).agg(F.coalesce(extra, F.lit(0)).alias("duplicate_rows"))
 
 
 def key_duplicates(flights: DataFrame) -> DataFrame:
     """Flight keys that occur more than once, and the rows that share them."""
-    keys = flights.groupBy(*FLIGHT_KEY).agg(count_rows().alias("n"))
-    repeated = F.col("n") > 1
-    return keys.agg(
-        F.count_if(repeated).alias("duplicate_keys"),
-        F.coalesce(F.sum(F.when(repeated, F.col("n"))), F.lit(0)).alias("rows_sharing_a_key"),
+    return _repeated(flights, FLIGHT_KEY).agg(
+        count_rows().alias("duplicate_keys"),
+        F.coalesce(F.sum("n"), F.lit(0)).alias("rows_sharing_a_key"),
     )
 
 
