@@ -42,7 +42,7 @@ caused AS (
 ),
 flights AS (
     SELECT
-        CAST(DATE '2024-01-01' + CAST(n // 4 + (n // 4 // 2) * 9 + t % 11 AS INTEGER) AS DATE) AS flight_date,
+        CAST(DATE '2024-01-01' + CAST(n // 4 % 2656 + (n // 4 % 2656 // 2) * 9 + t % 11 AS INTEGER) AS DATE) AS flight_date,
         chr(CAST(65 + t % 7 AS INTEGER)) || 'A' AS reporting_airline,
         CASE WHEN c % 97 = 0 THEN NULL ELSE 'N' || t END AS tail_number,
         CAST(100 + n % 900 AS INTEGER) AS flight_number,
@@ -122,7 +122,9 @@ chained AS (
     FROM legs WHERE tail_number IS NOT NULL
     WINDOW leg AS (
         PARTITION BY tail_number
-        ORDER BY dep_s NULLS FIRST, flight_date, flight_number NULLS FIRST, crs_dep_time, origin, dest
+        ORDER BY dep_s NULLS FIRST, flight_date, flight_number NULLS FIRST, crs_dep_time, origin, dest,
+            reporting_airline, dep_delay_minutes NULLS FIRST, arr_delay_minutes NULLS FIRST,
+            late_aircraft_delay NULLS FIRST, cancelled, diverted, arr_s NULLS FIRST, arr_a NULLS FIRST
     )
 ),
 turned AS (

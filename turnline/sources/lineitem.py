@@ -27,6 +27,10 @@ AIRPORT_ZONES = (
     ("Z", "America/New_York"),
 )
 
+# Fixed value: four-flight rounds after which an aircraft's calendar starts over, some 40 years.
+# An aircraft of any number of lines so stays within real dates.
+CALENDAR_ROUNDS = 2656
+
 _AIRCRAFT = ("l_suppkey", "order_third")
 _SHIPPING_ORDER = ("l_shipdate", "l_orderkey", "l_linenumber", "l_partkey", "l_extendedprice", "l_quantity")
 
@@ -68,7 +72,7 @@ def flights_from_lineitem(lineitem: DataFrame, hot_rows: int = HOT_ROWS) -> Data
     )
     sched = when(c % 101 == 0, 2400).otherwise((n % 4 * 5 + 1 + t % 3) * 100 + c % 60)
     legs = base.withColumns({
-        "dn": div(n, F.lit(4)),
+        "dn": div(n, F.lit(4)) % CALENDAR_ROUNDS,
         "o": when(c % 89 == 0, 25).otherwise((t * 7 + n * 5) % 25),
         "s": (t * 7 + (n + 1) * 5) % 25,
         "dd": F.greatest(F.lit(0), (c % 400 - 300) * 2),
