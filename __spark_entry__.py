@@ -23,6 +23,12 @@ from turnline.sources.lineitem import airports  # noqa: E402
 from turnline.sources.links_csv import read_links_csv, write_links_csv  # noqa: E402
 from turnline.sources.tables import candidate_months, months_pending  # noqa: E402
 
+try:  # the text operators can be left out as a whole
+    import corpus_pipeline
+    from turnline.llm import queries as llm
+except ImportError:
+    llm = None
+
 Query = Callable[[SparkSession, str], DataFrame]
 
 DATES = {"start_date": "2024-03-01", "end_date": "2024-07-31"}
@@ -198,8 +204,9 @@ def queries() -> dict[str, Query]:
         **{name: _on_both(plan) for name, plan in on_both.items()},
         **filtered,
         "sql_airport_report": sql_airport_report,
+        **({**llm.queries(), "pipeline": corpus_pipeline.run} if llm else {}),
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return statements()
+    return {**statements(), **(llm.oracle_sql() if llm else {})}

