@@ -35,7 +35,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from turnline.llm.common import arrow_map, as_bytes, slices, stored
+from turnline.llm.common import arrow_map, as_bytes, hashed, slices, stored, words_of
 
 FILTER_BITS, SEGMENT_BITS, PROBES = 28, 12, 6
 #: Words whose exact counts are broadcast at most (16 bytes each).
@@ -59,14 +59,14 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-def tokens(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+def tokens(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """Hashes of all tokens, each text closed by an end, and the number of tokens per text."""
-    words = [t.lower().split() for t in texts]
-    counts = np.fromiter(map(len, words), np.int64, len(words)) + 1
-    out = np.full(int(counts.sum()), END, np.uint64)
+    distinct, number, bounds = words_of(texts)
+    counts = np.diff(bounds) + 1
+    out = np.full(len(number) + len(counts), END, np.uint64)
     inner = np.ones(len(out), bool)
     inner[np.cumsum(counts) - 1] = False
-    out[inner] = np.fromiter((xxhash.xxh3_64_intdigest(w) for ws in words for w in ws), np.uint64, int(inner.sum()))
+    out[inner] = hashed(distinct, xxhash.xxh3_64_intdigest)[number]
     return out, counts
 
 
@@ -151,7 +151,7 @@ def count_lists(training: DataFrame, parts: int) -> DataFrame:
                 )
 
         for part in slices(batches, "text_"):
-            hashes, counts = tokens(part.column("text_").to_pylist())
+            hashes, counts = tokens(part.column("text_"))
             held[1].append(hashes)
             held[2].append(pairs(hashes, counts)[0])
             size += len(hashes)
@@ -271,7 +271,7 @@ def learn(training: DataFrame, smoothing: Smoothing = Smoothing()) -> tuple[Mode
     return model, counts.where(F.col("count") < floor)
 
 
-def score_texts(texts: list[bytes], model: Model, smoothing: Smoothing) -> dict[str, np.ndarray | list]:
+def score_texts(texts: pa.Array, model: Model, smoothing: Smoothing) -> dict[str, np.ndarray | list]:
     """Per text: tokens, known ones and base score as far as the model's words go, the score, and its other words."""
     hashes, counts = tokens(texts)
     text = np.repeat(np.arange(len(texts)), counts)
@@ -312,7 +312,7 @@ def score(docs: DataFrame, in_training: Column, smoothing: Smoothing = Smoothing
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in slices(batches, "text_"):
-            r = score_texts(part.column("text_").to_pylist(), shared.value, smoothing)
+            r = score_texts(part.column("text_"), shared.value, smoothing)
             lists = [pa.ListArray.from_arrays(pa.array(r["bounds"].astype(np.int32)), pa.array(r[c])) for c in ("hashes", "times")]
             yield pa.RecordBatch.from_arrays(
                 [part.column(0), part.column(1), pa.array(r["n_tokens"]), pa.array(r["known"]), pa.array(r["base"]), pa.array(r["score"]), *lists],

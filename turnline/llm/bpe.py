@@ -18,18 +18,22 @@ from __future__ import annotations
 import base64
 import hashlib
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import duckdb
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_type
 
 from turnline.llm.common import Memo, arrow_map, as_bytes, out_schema, per_worker, slices
 
+#: Bytes of text that a worker encodes at a time.
+CODED_BYTES = 16 << 20
+
 #: Position rows that one recursive query starts from (a longer word is a query of its own).
 QUERY_ROWS = 800_000
 
@@ -41,7 +45,7 @@ LONG_WORD = 64
 
 SHORT_WORDS = """
 WITH RECURSIVE state(word, place, token, open) AS (
-  SELECT word, place, token, true FROM begin_state
+  SELECT word, place::UTINYINT, token::USMALLINT, true FROM begin_state
   UNION ALL
   (
     WITH pairs AS (
@@ -50,16 +54,16 @@ WITH RECURSIVE state(word, place, token, open) AS (
       FROM state WHERE open WINDOW w AS (ORDER BY word, place)
     ),
     ranked AS (
-      SELECT word, place, token, next_place, merged, merged * 128::BIGINT + place AS preference
-      FROM pairs LEFT JOIN merges ON word = next_word AND merges.pair = token * 65536::BIGINT + next_token
+      SELECT word, place, token, next_place, merged, (merged * 128 + place)::INTEGER AS preference
+      FROM pairs LEFT JOIN merges ON word = next_word AND merges.pair = token * 65536::UINTEGER + next_token
     ),
     least AS (
       SELECT word, min(preference) AS best, arg_min(next_place, preference) AS gone FROM ranked GROUP BY word
     )
-    SELECT word, place, CASE WHEN preference = best THEN merged ELSE token END, best IS NOT NULL
+    SELECT word, place, (CASE WHEN preference = best THEN merged ELSE token END)::USMALLINT, best IS NOT NULL
     FROM ranked JOIN least USING (word) WHERE best IS NULL OR place <> gone
   )
-), done AS (SELECT word, place, token FROM state WHERE NOT open)
+), done AS (SELECT word, place, token::INTEGER AS token FROM state WHERE NOT open)
 """
 
 LONG_WORDS = """
@@ -79,7 +83,7 @@ WITH RECURSIVE state(word, place, token) USING KEY (word, place) AS (
     ranked AS (
       SELECT word, place, next_place, nth, merges.merged, merges.any_order,
              min(merges.merged) OVER (PARTITION BY word) AS least
-      FROM pairs JOIN merges ON merges.pair = pairs.token * 65536::BIGINT + pairs.next_token
+      FROM pairs JOIN merges ON merges.pair = pairs.token * 65536::UINTEGER + pairs.next_token
     ),
     found AS (
       SELECT *, row_number() OVER (PARTITION BY word ORDER BY nth) AS hit FROM ranked WHERE merged = least
@@ -122,9 +126,9 @@ class WordCoder:
                     pairs.append(left << 16 | right)
                     merged.append(rank)
         self.bytes_of = np.array([self.ranks[bytes([b])] for b in range(256)], np.int32)
-        self.db = duckdb.connect(config={"threads": 1, "memory_limit": "300MB"})
+        self.db = duckdb.connect(config={"threads": 1, "memory_limit": "200MB"})
         # A pair's places may be contracted together if no token begins or ends with the merged one and ranks before it.
-        self._table("merges", pair=pa.array(pairs, pa.int64()), merged=pa.array(merged, pa.int32()),
+        self._table("merges", pair=pa.array(pairs, pa.uint32()), merged=pa.array(merged, pa.int32()),
                     any_order=pa.array([m not in late for m in merged]))
         self._table("vocabulary", token=pa.array(list(self.ranks.values()), pa.int32()),
                     bytes=pa.array(list(self.ranks), pa.binary()))
@@ -178,65 +182,100 @@ class TextCoder:
 
     def __init__(self, rank_file: bytes, pattern: str):
         self.words, self.pattern = WordCoder(rank_file), regex.compile(pattern)
-        self.coded = Memo(lambda words: self.words.code([w.encode() for w in words]))
-        self.memo = Memo(self._pieces)
+        self.memo = Memo(self._pieces, limit=700_000)
 
-    def _matches(self, pieces: list[str]) -> list[tuple[bytes, bytes]]:
+    def _matches(self, pieces: list[str]) -> list[bytes]:
+        """Of each piece the number of its ids (32 bits), its ids, and what they decode to, in one value."""
         found = [self.pattern.findall(p) for p in pieces]
-        coded = self.coded.learn({w for words in found for w in words})
-        return [
-            coded[words[0]] if len(words) == 1
-            else (b"".join([coded[w][0] for w in words]), b"".join([coded[w][1] for w in words]))
-            for words in found
-        ]
-
-    def _pieces(self, keys: list) -> list:
+        distinct = list({w for words in found for w in words})
+        values = {
+            w: (len(ids) // 4).to_bytes(4, "little") + ids + decoded
+            for w, (ids, decoded) in zip(distinct, self.words.code([w.encode() for w in distinct]))
+        }
+        return [values[words[0]] if len(words) == 1 else together([values[w] for w in words]) for words in found]
+
+    def _pieces(self, keys: list) -> list[bytes]:
+        """An empty value says that a text with this piece must be cut otherwise."""
         single = [k for k in keys if type(k) is tuple or k and not k[-1].isspace()]
         coded = dict(zip(single, self._matches([k[0] if type(k) is tuple else " " + k for k in single])))
-        return [coded.get(k) for k in keys]
-
-    def texts(self, texts: list[str]) -> tuple[list[bytes], list[bytes]]:
-        cut = [t.split(" ") for t in texts]
-        for pieces in cut:
-            if pieces[0]:
-                pieces[0] = (pieces[0],)
-        known = self.memo.learn(set().union(*cut))
-        coded = [[known[p] for p in pieces] for pieces in cut]
-        for i, parts in enumerate(coded):
-            if None in parts or type(cut[i][0]) is tuple and cut[i][0][0][-1].isspace():
-                coded[i] = self._matches(CUT.split(texts[i]))
-        return [b"".join([c[0] for c in x]) for x in coded], [b"".join([c[1] for c in x]) for x in coded]
+        return [coded.get(k, b"") for k in keys]
+
+    def texts(self, texts: pa.Array) -> tuple[list[bytes], list[bytes]]:
+        """Ids and decoded bytes of each text of a string array without nulls."""
+        split = pc.split_pattern(texts, " ")
+        pieces, bounds = split.flatten(), split.offsets.to_numpy() - split.offsets[0].as_py()
+        coded = pieces.dictionary_encode()
+        distinct, number = coded.dictionary.to_pylist(), coded.indices.to_numpy()
+        heads = [(p,) if p else "" for p in pieces.take(pa.array(bounds[:-1])).to_pylist()]
+        begun = [h for h in dict.fromkeys(heads) if h]
+        place = {h: len(distinct) + i for i, h in enumerate(begun)}
+        values = self.memo.look(distinct + begun)
+        ids, decoded = parted(values)
+        number = number.copy()
+        number[bounds[:-1]] = [place.get(h, 0) for h in heads]
+        uncut = np.array([not v for v in values] or [False])[number]
+        uncut[bounds[:-1]] = [not h or h[0][-1].isspace() for h in heads]
+        uncut = np.logical_or.reduceat(uncut, bounds[:-1]).tolist() if len(heads) else []
+        out, back = [], []
+        for i, (a, b) in enumerate(zip(bounds.tolist(), bounds[1:].tolist())):
+            if uncut[i]:
+                x, y = parted(self._matches(CUT.split(texts[i].as_py())))
+                out.append(b"".join(x))
+                back.append(b"".join(y))
+            else:
+                at = number[a:b].tolist()
+                out.append(b"".join(map(ids.__getitem__, at)))
+                back.append(b"".join(map(decoded.__getitem__, at)))
+        return out, back
+
+
+def together(values: list[bytes]) -> bytes:
+    ids, decoded = parted(values)
+    ids = b"".join(ids)
+    return (len(ids) // 4).to_bytes(4, "little") + ids + b"".join(decoded)
+
+
+def parted(values: list[bytes]) -> tuple[list[bytes], list[bytes]]:
+    ends = [4 + 4 * int.from_bytes(v[:4], "little") for v in values]
+    return [v[4:e] for v, e in zip(values, ends)], [v[e:] for v, e in zip(values, ends)]
+
+
+#: What an encoded text can give: a column, its type, and how it follows from the ids (little-endian, 32 bits) and
+#: the decoded bytes.
+Output = tuple[str, T.DataType, Callable[[bytes, bytes], object]]
+
+WHOLE: list[Output] = [
+    ("ids", T.BinaryType(), lambda ids, decoded: ids), ("decoded", T.BinaryType(), lambda ids, decoded: decoded),
+]
+DIGESTS: list[Output] = [
+    ("ids_sha256", T.StringType(), lambda ids, decoded: hashlib.sha256(ids).hexdigest()),
+    ("decoded_sha256", T.StringType(), lambda ids, decoded: hashlib.sha256(decoded).hexdigest()),
+]
 
 
 def encode_decode(
-    docs: DataFrame, rank_file: str, pattern: str, id_column: str = "doc_id", text_column: str = "text"
+    docs: DataFrame, rank_file: str, pattern: str, outputs: list[Output] = WHOLE, id_column: str = "doc_id",
+    text_column: str = "text",
 ) -> DataFrame:
     """Ids of every whole text and the bytes they decode to.
 
-    Returns the id column, ``n_tokens``, ``ids`` (little-endian 32-bit) and
-    ``decoded``; other columns of ``docs`` are not read, whatever their names.
+    Returns the id column, ``n_tokens`` and the outputs, which are worked out where
+    the text was encoded; other columns of ``docs`` are not read, whatever their names.
     """
     spark = docs.sparkSession
     content = read_ranks(rank_file)
     ranks = spark.sparkContext.broadcast(content)  # one vocabulary file, of fixed size
     key = ("bpe", hashlib.sha256(content).hexdigest(), pattern)
+    names = [name for name, _, _ in outputs]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder = per_worker(key, lambda: TextCoder(ranks.value, pattern))
-        for part in slices(batches, "text_", 8 << 20):
-            ids, decoded = coder.texts(part.column("text_").cast(pa.string()).to_pylist())
+        for part in slices(batches, "text_", CODED_BYTES):
+            ids, decoded = coder.texts(part.column("text_").cast(pa.string()))
+            made = [pa.array([f(x, y) for x, y in zip(ids, decoded)], to_arrow_type(kind)) for _, kind, f in outputs]
             yield pa.RecordBatch.from_arrays(
-                [part.column(0), pa.array([len(x) // 4 for x in ids], pa.int64()),
-                 pa.array(ids, pa.binary()), pa.array(decoded, pa.binary())],
-                names=[id_column, "n_tokens", "ids", "decoded"],
+                [part.column(0), pa.array([len(x) // 4 for x in ids], pa.int64()), *made], names=[id_column, "n_tokens", *names]
             )
 
-    schema = out_schema(docs, [id_column], [("n_tokens", T.LongType()), ("ids", T.BinaryType()), ("decoded", T.BinaryType())])
+    schema = out_schema(docs, [id_column], [("n_tokens", T.LongType()), *[(name, kind) for name, kind, _ in outputs]])
     return arrow_map(docs.select(id_column, as_bytes(text_column).alias("text_")), run, schema)
-
-
-def digests(coded: DataFrame, id_column: str = "doc_id") -> DataFrame:
-    """Hashes of the ids and of the decoded bytes, in place of both."""
-    return coded.select(
-        id_column, "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256")
-    )

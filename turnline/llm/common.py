@@ -17,7 +17,7 @@ from pyspark.sql import types as T
 from turnline.session import shared_folder
 
 #: Bytes of text that a worker handles at a time, whatever the size of the Arrow batch.
-SLICE_BYTES = 4 << 20
+SLICE_BYTES = 8 << 20
 
 _shipped: set[str] = set()
 
@@ -86,6 +86,24 @@ def slices(batches: Iterator[pa.RecordBatch], column: str, limit: int = SLICE_BY
             yield batch.slice(int(a), int(b - a))
 
 
+def words_of(texts: pa.Array, lower: bool = True) -> tuple[list[bytes], np.ndarray, np.ndarray]:
+    """The distinct words between ASCII white space, A-Z lower-cased if wanted; the number of each word in turn; and
+    where each text begins in them (and the last one ends).  ``texts`` is a binary array without nulls."""
+    plain = texts.view(pa.string())
+    split = pc.ascii_split_whitespace(pc.ascii_lower(plain) if lower else plain)
+    coded = split.flatten().dictionary_encode()
+    number, bounds = coded.indices.to_numpy(), split.offsets.to_numpy() - split.offsets[0].as_py()
+    distinct = coded.dictionary.cast(pa.binary()).to_pylist()
+    if b"" in distinct:  # white space at either end
+        kept = number != distinct.index(b"")
+        number, bounds = number[kept], np.r_[0, np.cumsum(kept)][bounds]
+    return distinct, number, bounds
+
+
+def hashed(words: list[bytes], hash_function: Callable[[bytes], int]) -> np.ndarray:
+    return np.fromiter(map(hash_function, words), np.uint64, len(words))
+
+
 def out_schema(frame: DataFrame, kept: list[str], added: list[tuple[str, T.DataType]]) -> T.StructType:
     """The kept columns as they are, then the added ones."""
     fields = [T.StructField(f.name, f.dataType, True) for f in frame.schema.fields if f.name in kept]
@@ -113,22 +131,24 @@ class Memo:
         self.old: dict = {}
         self.held = 0
 
-    def learn(self, pieces: set) -> dict:
-        """A mapping that holds all the pieces (and others)."""
-        missing = pieces - self.young.keys()
+    def look(self, pieces: list) -> list:
+        """The values of distinct pieces, in order; no value is None."""
+        values = list(map(self.young.get, pieces))
+        missing = [i for i, v in enumerate(values) if v is None]
         if not missing:
-            return self.young
-        size = sum(map(len, missing))
-        if self.young and (len(self.young) + len(missing) > self.limit or self.held + size > self.limit_bytes):
+            return values
+        keys = [pieces[i] for i in missing]
+        size = sum(map(len, keys))
+        if self.young and (len(self.young) + len(keys) > self.limit or self.held + size > self.limit_bytes):
             self.old, self.young, self.held = self.young, {}, 0
-            missing, size = pieces, sum(map(len, pieces))
-        old = self.old
-        new = [p for p in missing if p not in old]
-        made = dict(zip(new, self.make(new)))
-        self.young.update((p, old[p]) for p in missing if p in old)
-        self.young.update(made)
+        found = list(map(self.old.get, keys))
+        made = iter(self.make([k for k, v in zip(keys, found) if v is None]))
+        found = [next(made) if v is None else v for v in found]
+        self.young.update(zip(keys, found))
         self.held += size
-        return self.young
+        for i, v in zip(missing, found):
+            values[i] = v
+        return values
 
 
 _workers: dict = {}

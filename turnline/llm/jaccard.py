@@ -33,7 +33,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from turnline.llm.common import arrow_map, as_bytes, drop_stored, slices, stored
+from turnline.llm.common import arrow_map, as_bytes, drop_stored, hashed, slices, stored, words_of
 from turnline.llm.components import connected_components
 
 SHINGLE = 5
@@ -61,15 +61,14 @@ def band_starts(largest: int) -> list[int]:
     return starts
 
 
-def shingle_sets(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def shingle_sets(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """All distinct shingles, sorted within each text; bounds of the texts in them; a hash of each set."""
-    words = [t.lower().split() for t in texts]
-    counts = np.fromiter(map(len, words), np.int64, len(words))
-    hashed = np.fromiter((xxhash.xxh3_64_intdigest(w) for ws in words for w in ws), np.uint64, int(counts.sum()))
-    starts = np.cumsum(counts) - counts
-    rolled = np.zeros(max(len(hashed) - SHINGLE + 1, 0), np.uint64)
+    distinct, number, bounds = words_of(texts)
+    words = hashed(distinct, xxhash.xxh3_64_intdigest)[number]
+    starts, counts = bounds[:-1], np.diff(bounds)
+    rolled = np.zeros(max(len(words) - SHINGLE + 1, 0), np.uint64)
     for k in range(SHINGLE):
-        rolled += hashed[k : k + len(rolled)] * ODD[k]
+        rolled += words[k : k + len(rolled)] * ODD[k]
     rolled = mix(rolled)
     sets = []
     for at, n in zip(starts.tolist(), counts.tolist()):
@@ -77,7 +76,7 @@ def shingle_sets(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray
             found = np.sort(rolled[at : at + n - SHINGLE + 1])
             sets.append(found[np.r_[True, found[1:] != found[:-1]]])
         elif n:
-            short = (hashed[at : at + n] * ODD[:n]).sum(dtype=np.uint64) + np.uint64(n)
+            short = (words[at : at + n] * ODD[:n]).sum(dtype=np.uint64) + np.uint64(n)
             sets.append(mix(np.array([short ^ np.uint64(0x5555555555555555)], np.uint64)))
         else:
             sets.append(np.zeros(0, np.uint64))
@@ -136,7 +135,7 @@ def set_rows(docs: DataFrame, id_column: str, text_column: str) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in slices(batches, "text_"):
-            flat, bounds, node = shingle_sets(part.column("text_").to_pylist())
+            flat, bounds, node = shingle_sets(part.column("text_"))
             found, counts = np.unique(flat, return_counts=True)
             found, counts = found[counts >= 8], counts[counts >= 8]
             n, none = part.num_rows, len(found)
@@ -164,7 +163,7 @@ def key_rows(docs: DataFrame, frequent: np.ndarray, text_column: str) -> DataFra
         common, seen = shared.value, set()
         starts = band_starts(1 << 31)
         for part in slices(batches, "text_"):
-            flat, bounds, node = shingle_sets(part.column("text_").to_pylist())
+            flat, bounds, node = shingle_sets(part.column("text_"))
             if len(common):
                 known = common[np.minimum(np.searchsorted(common, flat), len(common) - 1)] == flat
             else:
@@ -210,7 +209,7 @@ def sets_of(docs: DataFrame, nodes: DataFrame, text_column: str) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bits, seen = np.unpackbits(wanted.value).view(bool), set()
         for part in slices(batches, "text_"):
-            flat, bounds, node = shingle_sets(part.column("text_").to_pylist())
+            flat, bounds, node = shingle_sets(part.column("text_"))
             names, sets = [], []
             for i in np.flatnonzero(bits[node & np.uint64((1 << FILTER_BITS) - 1)] & (np.diff(bounds) > 0)).tolist():
                 name = int(node[i].view(np.int64))

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from turnline.llm import bloomlm, bpe, graph, jaccard, mixing, simhash, tokencount, tokenfile, toxicity, urlfilter
-from turnline.llm.common import read
+from turnline.llm.common import read, shared_path
 
 WORD_TOKENIZER = "word_bpe_49k.json"
 BYTE_RANKS = "byte_bpe_multi_50k.tiktoken"
@@ -29,7 +29,7 @@ def op2_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def byte_bpe(docs: DataFrame) -> DataFrame:
-    return bpe.digests(bpe.encode_decode(docs, public_tokenizers.path(BYTE_RANKS), public_tokenizers.PATTERN))
+    return bpe.encode_decode(docs, public_tokenizers.path(BYTE_RANKS), public_tokenizers.PATTERN, bpe.DIGESTS)
 
 
 def op3_graph_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -72,8 +72,9 @@ def op9_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = tokenfile.round_trip(read(spark, sf_dir, "documents"), public_tokenizers.path(WORD_TOKENIZER), end_id=1)
-    return tokenfile.checksums(found)
+    path = shared_path(spark, "tokens")
+    tokenfile.write_token_files(read(spark, sf_dir, "documents"), public_tokenizers.path(WORD_TOKENIZER), path, end_id=1)
+    return tokenfile.read_token_files(spark, path, tokenfile.CHECKSUM)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

@@ -20,14 +20,14 @@ from __future__ import annotations
 import hashlib
 import os
 from collections.abc import Iterator
-from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-from turnline.llm.common import Memo, arrow_map, as_bytes, out_schema, per_worker, slices
+from turnline.llm.common import Memo, arrow_map, as_bytes, out_schema, per_worker, slices, words_of
 
 #: Characters of a chunk, and of the overlap to begin with.
 CHUNK, OVERLAP = 32_768, 512
@@ -92,30 +92,62 @@ class PieceCoder:
 
     def __init__(self, content: str):
         self.tokenizer = load_tokenizer(content)
-        self.special = [t.content.encode() for t in self.tokenizer.get_added_tokens_decoder().values()]
+        self.special = [t.content.lower() for t in self.tokenizer.get_added_tokens_decoder().values()]
         if self.tokenizer.get_vocab_size() > 1 << 16:
             raise ValueError("ids must fit 16 bits")
-        self.words, self.memo = Memo(self._encode), Memo(self._join)
+        ends = {i for t, i in self.tokenizer.get_vocab(with_added_tokens=False).items() if t.endswith("</w>")}
+        self.ends = np.array([i in ends for i in range(1 << 16)])
+        self.memo = Memo(self._encode, limit=400_000, limit_bytes=24 << 20)
 
-    def _encode(self, words: list[bytes]) -> list[bytes]:
-        found = self.tokenizer.encode_batch_fast([w.decode() for w in words], add_special_tokens=False)
-        return [np.array(e.ids, "<u2").tobytes() for e in found]
-
-    def _join(self, pieces: list[bytes]) -> list[bytes]:
+    def _encode(self, pieces: list[bytes]) -> list[bytes]:
         # The tokenizer always parts an ASCII letter or digit from the comma or full stop behind it.
-        parts = [(p[:-1], p[-1:]) if p[-1] in b",." and p[-2:-1].isalnum() else (p, b"") for p in pieces]
-        known = self.words.learn({x for pair in parts for x in pair})
-        return [known[a] + known[b] for a, b in parts]
+        tails = [p[-1:] if p[-1:] in (b",", b".") and p[-2:-1].isalnum() else b"" for p in pieces]
+        cores = [p[:-1] if t else p for p, t in zip(pieces, tails)]
+        distinct = [c.decode() for c in {*cores, b",", b"."}]
+        letters = [c for c in distinct if c.isalpha()]
+        others = [c for c in distinct if not c.isalpha()]
+        known = dict(zip(letters, self._encode_letters(letters)))
+        known.update(zip(others, self._encode_each(others)))
+        known = {c.encode(): ids for c, ids in known.items()}
+        return [known[c] + known[t] if t else known[c] for c, t in zip(cores, tails)]
+
+    def _encode_each(self, words: list[str]) -> list[bytes]:
+        found = self.tokenizer.encode_batch_fast(words, add_special_tokens=False)
+        return [np.array(e.ids, "<u2").tobytes() for e in found]
 
-    def cut(self, text: bytes) -> list[bytes]:
+    def _encode_letters(self, words: list[str]) -> list[bytes]:
+        """Words of letters in one text: each gives one word end at least, so as many ends as words part them."""
+        ids = np.array(self.tokenizer.encode_batch_fast([" ".join(words)], add_special_tokens=False)[0].ids, "<u2")
+        ends = (2 * (np.flatnonzero(self.ends[ids]) + 1)).tolist()
+        if len(ends) != len(words):
+            return self._encode_each(words)
+        data = ids.tobytes()
+        return [data[a:b] for a, b in zip([0, *ends], ends)]
+
+    def texts(self, texts: pa.Array) -> Iterator[tuple[int, list[bytes]]]:
+        """Of each text the number of tokens and the ids of its pieces."""
         # The tokenizer lower-cases; doing it early for A-Z saves pieces, but must not make a special string.
-        low = text.lower()
-        return (text if any(s in low for s in self.special) else low).split()
-
-    def encode(self, texts: list[bytes]) -> list[bytes]:
-        cut = [self.cut(t) for t in texts]
-        known = self.memo.learn(set(chain.from_iterable(cut)))
-        return [b"".join([known[p] for p in pieces]) for pieces in cut]
+        low = pc.ascii_lower(texts.view(pa.string()))
+        special = np.zeros(len(texts), bool)
+        for s in self.special:
+            special |= pc.match_substring(low, s).to_numpy(zero_copy_only=False)
+        distinct, number, bounds = words_of(texts)
+        ids = self.memo.look(distinct)
+        sizes = np.fromiter(map(len, ids), np.int64, len(ids)) // 2
+        ends = np.r_[0, np.cumsum(sizes[number])][bounds]
+        at = bounds.tolist()
+        for i, n in enumerate(np.diff(ends).tolist()):
+            if special[i]:
+                whole = self._encode_each([texts[i].as_py().decode()])
+                yield len(whole[0]) // 2, whole
+            else:
+                yield n, map(ids.__getitem__, number[at[i] : at[i + 1]].tolist())
+
+    def encode(self, texts: pa.Array) -> list[bytes]:
+        return [b"".join(parts) for _, parts in self.texts(texts)]
+
+    def counts(self, texts: pa.Array) -> list[int]:
+        return [n for n, _ in self.texts(texts)]
 
 
 def count_tokens(
@@ -129,17 +161,16 @@ def count_tokens(
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder = per_worker(key, lambda: PieceCoder(shared.value))
-        for part in slices(batches, "text_"):
-            texts = part.column("text_").to_pylist()
-            huge = [len(t) > chunk and len(t.decode()) > chunk for t in texts]
-            small = iter(coder.encode([t for t, h in zip(texts, huge) if not h]))
-            counts = [
-                len(encode_huge(coder.tokenizer, t.decode(), chunk, overlap)) if h else len(next(small)) // 2
-                for t, h in zip(texts, huge)
-            ]
+        for part in slices(batches, "text_", 12 << 20):
+            texts = part.column("text_")
+            sizes = pc.binary_length(texts).to_numpy()
+            counts = np.zeros(len(texts), np.int64)
+            huge = pc.greater(pc.utf8_length(texts.view(pa.string())), chunk).to_numpy(zero_copy_only=False)
+            counts[~huge] = coder.counts(texts.filter(pa.array(~huge)))
+            for i in np.flatnonzero(huge).tolist():
+                counts[i] = len(encode_huge(coder.tokenizer, texts[i].as_py().decode(), chunk, overlap))
             yield pa.RecordBatch.from_arrays(
-                [part.column(0), pa.array([len(t) for t in texts], pa.int64()), pa.array(counts, pa.int64()),
-                 pa.array([n > limit for n in counts], pa.bool_())],
+                [part.column(0), pa.array(sizes.astype(np.int64)), pa.array(counts), pa.array(counts > limit)],
                 names=[id_column, "n_bytes", "n_tokens", "over_limit"],
             )
 

@@ -23,7 +23,7 @@ from __future__ import annotations
 import hashlib
 import struct
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -31,8 +31,9 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_type
 
-from turnline.llm.common import arrow_map, as_bytes, per_worker, shared_path, slices
+from turnline.llm.common import arrow_map, as_bytes, per_worker, slices
 from turnline.llm.tokencount import PieceCoder, read_text
 
 MAGIC = b"PFOR1"
@@ -199,8 +200,8 @@ def write_token_files(
             tokens = 0
             return row
 
-        for part in slices(batches, "text_"):
-            coded = coder.encode(part.column("text_").to_pylist())
+        for part in slices(batches, "text_", 8 << 20):
+            coded = coder.encode(part.column("text_"))
             for name, ids in zip(part.column(0).to_pylist(), coded):
                 size = len(ids) // 2 + 1
                 if held and tokens + size > segment_tokens:
@@ -224,9 +225,17 @@ def shard_starts(segments: DataFrame) -> DataFrame:
     return sizes.select("shard", F.coalesce(F.sum("size").over(before), F.lit(0)).alias("before"))
 
 
-def read_token_files(spark: SparkSession, path: str) -> DataFrame:
-    """One row per document: ``doc_id``, ``start`` (ids of all documents before it), ``n_tokens`` and ``ids``
-    (little-endian 32-bit), decoded from the segments."""
+#: What a reader can return of a document: a column, its type, and how it follows from the ids (little-endian, 32 bits).
+Output = tuple[str, T.DataType, Callable[[bytes], object]]
+
+IDS: Output = ("ids", T.BinaryType(), bytes)
+CHECKSUM: Output = ("ids_crc32", T.LongType(), zlib.crc32)
+
+
+def read_token_files(spark: SparkSession, path: str, output: Output = IDS) -> DataFrame:
+    """One row per document: ``doc_id``, ``start`` (ids of all documents before it), ``n_tokens`` and the output, worked
+    out where the segment was decoded."""
+    name, kind, function = output
     segments = spark.read.schema(SEGMENT_SCHEMA).parquet(path)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -237,30 +246,13 @@ def read_token_files(spark: SparkSession, path: str) -> DataFrame:
                 bounds = [0, *(4 * ends).tolist()]
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(names, pa.int64(), mask=names == NULL_ID), pa.array(before + ends - counts, pa.int64()),
-                     pa.array(counts, pa.int64()), pa.array([data[a:b] for a, b in zip(bounds, bounds[1:])], pa.binary())],
-                    names=["doc_id", "start", "n_tokens", "ids"],
+                     pa.array(counts, pa.int64()), pa.array([function(data[a:b]) for a, b in zip(bounds, bounds[1:])], to_arrow_type(kind))],
+                    names=["doc_id", "start", "n_tokens", name],
                 )
 
     placed = segments.join(F.broadcast(shard_starts(segments)), "shard").select(
         (F.col("before") + F.col("shard_start")).alias("before"), "segment"
     )
     schema = T.StructType([T.StructField("doc_id", T.LongType()), T.StructField("start", T.LongType()),
-                           T.StructField("n_tokens", T.LongType()), T.StructField("ids", T.BinaryType())])
+                           T.StructField("n_tokens", T.LongType()), T.StructField(name, kind)])
     return arrow_map(placed, run, schema)
-
-
-def checksums(documents: DataFrame) -> DataFrame:
-    """Unsigned CRC-32 of each document's ids, in place of the ids."""
-    return documents.select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
-
-
-def round_trip(docs: DataFrame, tokenizer_file: str, name: str = "tokens", **settings) -> DataFrame:
-    """Write the files to a fresh shared path and read them back."""
-    path = shared_path(docs.sparkSession, name)
-    write_token_files(docs, tokenizer_file, path, **settings)
-    return read_token_files(docs.sparkSession, path)
-
-
-def crc(ids: list[int]) -> int:
-    """What ``ids_crc32`` says, from a list of ids."""
-    return zlib.crc32(np.array(ids, "<u4").tobytes())

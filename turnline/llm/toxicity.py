@@ -24,7 +24,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from turnline.llm.common import arrow_map, as_bytes, slices
+from turnline.llm.common import arrow_map, as_bytes, hashed, slices, words_of
 
 #: Feature space, and rows that the classifier is fitted on at most.
 BITS, TRAIN_ROWS = 20, 20_000
@@ -42,10 +42,9 @@ def fold(id_column: Column, parts: int) -> Column:
 
 def feature_rows(texts: list[bytes], bits: int) -> tuple[np.ndarray, np.ndarray]:
     """Row number and feature of every word, pair and skip pair; features repeat."""
-    words = [t.lower().translate(PUNCTUATION).split() for t in texts]
-    counts = np.fromiter(map(len, words), np.int64, len(words))
-    h = np.fromiter((zlib.crc32(w) for ws in words for w in ws), np.uint32, int(counts.sum())).astype(np.uint64)
-    row = np.repeat(np.arange(len(texts)), counts)
+    distinct, number, bounds = words_of(pa.array([t.translate(PUNCTUATION) for t in texts], pa.binary()))
+    h = hashed(distinct, zlib.crc32)[number]
+    row = np.repeat(np.arange(len(texts)), np.diff(bounds))
     rows, features = [row], [h * np.uint64(0x9E3779B97F4A7C15)]
     for gap, factor in ((1, 0xC2B2AE3D27D4EB4F), (2, 0x165667B19E3779F9)):
         same = row[gap:] == row[:-gap]
