@@ -92,7 +92,7 @@ def words_of(texts: pa.Array, lower: bool = True) -> tuple[list[bytes], np.ndarr
     plain = texts.view(pa.string())
     split = pc.ascii_split_whitespace(pc.ascii_lower(plain) if lower else plain)
     coded = split.flatten().dictionary_encode()
-    number, bounds = coded.indices.to_numpy(), split.offsets.to_numpy() - split.offsets[0].as_py()
+    number, bounds = coded.indices.to_numpy(), split.offsets.to_numpy().astype(np.int64) - split.offsets[0].as_py()
     distinct = coded.dictionary.cast(pa.binary()).to_pylist()
     if b"" in distinct:  # white space at either end
         kept = number != distinct.index(b"")
