@@ -97,7 +97,7 @@ class PieceCoder:
             raise ValueError("ids must fit 16 bits")
         ends = {i for t, i in self.tokenizer.get_vocab(with_added_tokens=False).items() if t.endswith("</w>")}
         self.ends = np.array([i in ends for i in range(1 << 16)])
-        self.memo = Memo(self._encode, limit=400_000, limit_bytes=24 << 20)
+        self.memo = Memo(self._encode, limit=650_000, limit_bytes=32 << 20)
 
     def _encode(self, pieces: list[bytes]) -> list[bytes]:
         # The tokenizer always parts an ASCII letter or digit from the comma or full stop behind it.

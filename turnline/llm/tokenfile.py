@@ -200,7 +200,7 @@ def write_token_files(
             tokens = 0
             return row
 
-        for part in slices(batches, "text_", 8 << 20):
+        for part in slices(batches, "text_", 14 << 20):
             coded = coder.encode(part.column("text_"))
             for name, ids in zip(part.column(0).to_pylist(), coded):
                 size = len(ids) // 2 + 1
