@@ -26,7 +26,9 @@ def _star(edges: DataFrame, larger: bool) -> DataFrame:
         linked = linked.where("b > a").select("b", "least")
     else:
         linked = linked.select("b", "least").unionByName(least.select(F.col("a").alias("b"), "least"))
-    return linked.where("b <> least").select(F.col("b").alias("a"), F.col("least").alias("b")).distinct()
+    # Edges are two numbers each: one wave of tasks writes them, in as many files as there are cores.
+    cores = edges.sparkSession.sparkContext.defaultParallelism
+    return linked.where("b <> least").select(F.col("b").alias("a"), F.col("least").alias("b")).distinct().coalesce(cores)
 
 
 def _state(edges: DataFrame) -> tuple:

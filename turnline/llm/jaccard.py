@@ -12,7 +12,9 @@ and under their one-deletion neighbourhoods, so that each allows one error more;
 very few sets for which even that is not enough share one key per band.
 
 Sets at the lower end of a band are indexed under the band below as well.  Sets that
-share a key are compared with the first and the previous of the key, exactly.  Where
+share a key are compared with the first and the previous of the key: first by sketches,
+counts of shingles per hash range, whose difference is never more than that of the sets
+and so rules out most pairs; then by the sets themselves, exactly.  Where
 the sets of a key are then still in several components, further leaders and at last
 all pairs between components are compared: no link that joins two components is lost,
 and pairs within a component need no look.  Equal sets are one node throughout.
@@ -88,6 +90,26 @@ def shingle_sets(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return flat, bounds, mix(sums + sizes.astype(np.uint64) * ODD[2])
 
 
+def sketch(x: np.ndarray) -> bytes | None:
+    """Numbers of shingles in about a quarter as many ranges of the hash."""
+    bits = max(0, (len(x) - 1).bit_length() - 2)
+    counts = np.bincount((x >> np.uint64(64 - bits)).astype(np.int64), minlength=1 << bits) if bits else np.array([len(x)])
+    if counts.max(initial=0) > 65535:
+        return None
+    return counts.astype("u1" if counts.max(initial=0) < 256 else "<u2").tobytes()
+
+
+def apart_by(x: bytes, y: bytes, n_x: int, n_y: int) -> int:
+    """A lower bound of the number of shingles that only one of two sets has, from their sketches and sizes."""
+    both = []
+    for data, n in ((x, n_x), (y, n_y)):
+        ranges = 1 << max(0, (n - 1).bit_length() - 2)
+        both.append(np.frombuffer(data, "u1" if len(data) == ranges else "<u2").astype(np.int64))
+    few = min(map(len, both))
+    a, b = (c.reshape(few, -1).sum(axis=1) for c in both)
+    return int(np.abs(a - b).sum())
+
+
 def segment_count(band: int, starts: list[int]) -> int:
     return max(64, (starts[band + 1] - 1 + 1) // 2)
 
@@ -131,7 +153,7 @@ def index_keys(x: np.ndarray, is_frequent: np.ndarray, starts: list[int]) -> np.
 
 
 def set_rows(docs: DataFrame, id_column: str, text_column: str) -> DataFrame:
-    """A row per document (``doc_id``, ``n``, ``node``: the hash of its set), and rows of shingles that are frequent in a slice."""
+    """A row per document (``doc_id``, ``text_hash``, ``n``, ``node``: the hash of its set, ``sketch``), and rows of shingles that are frequent in a slice."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in slices(batches, "text_"):
@@ -139,20 +161,22 @@ def set_rows(docs: DataFrame, id_column: str, text_column: str) -> DataFrame:
             found, counts = np.unique(flat, return_counts=True)
             found, counts = found[counts >= 8], counts[counts >= 8]
             n, none = part.num_rows, len(found)
+            sketches = [sketch(flat[a:b]) if a < b else None for a, b in zip(bounds.tolist(), bounds[1:].tolist())]
             nulls = lambda kind, size: pa.nulls(size, kind)
             yield pa.RecordBatch.from_arrays([
                 pa.concat_arrays([part.column(0).cast(pa.int64()), nulls(pa.int64(), none)]),
                 pa.concat_arrays([part.column(1), nulls(pa.int64(), none)]),
                 pa.concat_arrays([pa.array(np.diff(bounds)), nulls(pa.int64(), none)]),
                 pa.concat_arrays([pa.array(node.view(np.int64)), nulls(pa.int64(), none)]),
+                pa.concat_arrays([pa.array(sketches, pa.binary()), nulls(pa.binary(), none)]),
                 pa.concat_arrays([nulls(pa.int64(), n), pa.array(found.view(np.int64))]),
                 pa.concat_arrays([nulls(pa.int64(), n), pa.array(counts.astype(np.int64))]),
-            ], names=["doc_id", "text_hash", "n", "node", "shingle", "df"])
+            ], names=["doc_id", "text_hash", "n", "node", "sketch", "shingle", "df"])
 
     source = docs.select(
         F.col(id_column).cast("long").alias("id_"), F.xxhash64(text_column).alias("hash_"), as_bytes(text_column).alias("text_")
     )
-    return arrow_map(source, run, "doc_id long, text_hash long, n long, node long, shingle long, df long")
+    return arrow_map(source, run, "doc_id long, text_hash long, n long, node long, sketch binary, shingle long, df long")
 
 
 def key_rows(docs: DataFrame, frequent: np.ndarray, text_column: str) -> DataFrame:
@@ -244,10 +268,65 @@ def verify(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return arrow_map(full.select("a", "b", "x", "y"), run, "a long, b long")
 
 
+def sifted(pairs: DataFrame, sketches: DataFrame) -> DataFrame:
+    """The pairs whose sketches do not rule them out."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            good = [
+                x is None or y is None or 7 * apart_by(x, y, n, m) <= n + m
+                for x, y, n, m in zip(*(batch.column(c).to_pylist() for c in ("x", "y", "n", "m")))
+            ]
+            yield batch.select(["a", "b"]).filter(pa.array(good, pa.bool_()))
+
+    full = pairs.join(sketches.select(F.col("node").alias("a"), F.col("sketch").alias("x"), "n"), "a").join(
+        sketches.select(F.col("node").alias("b"), F.col("sketch").alias("y"), F.col("n").alias("m")), "b"
+    )
+    return arrow_map(full.select("a", "b", "x", "y", "n", "m"), run, "a long, b long")
+
+
+class Verifier:
+    """Exact comparison of pairs; the sets it needs are taken from the texts once and stored."""
+
+    def __init__(self, docs: DataFrame, rows: DataFrame, nodes: DataFrame, text_column: str, percent: int):
+        self.docs, self.text_column, self.percent = docs, text_column, percent
+        some = rows.where("n > 0").select("node", "n", "sketch").join(nodes, "node", "left_semi")
+        self.sketches = stored(some.dropDuplicates(["node"]), "sketches")
+        self.sets: DataFrame | None = None
+
+    def possible(self, pairs: DataFrame) -> DataFrame:
+        return stored(sifted(pairs, self.sketches), "possible")
+
+    def fetch(self, pairs: DataFrame) -> None:
+        """Take the sets of the pairs from the texts, as far as they are not at hand."""
+        nodes = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct()
+        if self.sets is not None:
+            nodes = nodes.join(self.sets.select("node"), "node", "left_anti")
+        nodes = stored(nodes, "nodes")
+        if not nodes.isEmpty():
+            more = stored(sets_of(self.docs, nodes, self.text_column), "sets")
+            self.sets = more if self.sets is None else self.sets.unionByName(more)
+
+    def links(self, pairs: DataFrame) -> DataFrame:
+        """The links among pairs that ``possible`` has returned."""
+        self.fetch(pairs)
+        if self.sets is None:
+            return pairs
+        return stored(verify(pairs, self.sets, self.percent), "links")
+
+
 def ordered(pairs: DataFrame) -> DataFrame:
     return pairs.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
+def between(pairs: DataFrame, labels: DataFrame) -> DataFrame:
+    """The pairs whose ends lie in different components."""
+    ends = labels.select(F.col("node").alias("a"), F.col("label").alias("label_a"))
+    others = labels.select(F.col("node").alias("b"), F.col("label").alias("label_b"))
+    found = pairs.join(ends, "a", "left").join(others, "b", "left")
+    return found.where(F.coalesce("label_a", "a") != F.coalesce("label_b", "b")).select("a", "b")
+
+
 def link_components(docs: DataFrame, rows: DataFrame, percent: int, text_column: str) -> DataFrame:
     """``node`` and ``label`` for every set that links with a different one."""
     frequent = [
@@ -269,12 +348,18 @@ def link_components(docs: DataFrame, rows: DataFrame, percent: int, text_column:
         )
     ), "pairs")
     everyone = met.select("node").unionByName(met.select(F.col("first").alias("node"))).distinct()
-    sets = stored(sets_of(docs, everyone, text_column), "sets")
+    verifier = Verifier(docs, rows, everyone, text_column, percent)
     # All pairs of a key of up to three sets have been looked at.
     large = met.groupBy("key").agg(F.count("*").alias("others")).where("others > 2").select("key")
     rest = met.join(large, "key", "left_semi")
     members = stored(rest.select("key", "node").unionByName(rest.select("key", F.col("first").alias("node")).distinct()), "members")
-    links = stored(verify(looked, sets, percent), "links")
+    # One partner per set first: most other pairs then lie within a component and need no look.
+    possible = verifier.possible(looked)
+    verifier.fetch(possible)
+    best = stored(possible.groupBy("b").agg(F.min("a").alias("a")).select("a", "b"), "pairs")
+    links = verifier.links(best)
+    labels = stored(connected_components(links), "labels")
+    links = links.unionByName(verifier.links(between(possible.join(best, ["a", "b"], "left_anti"), labels)))
     for turn in range(LEADER_ROUNDS + 1):
         labels = stored(connected_components(links), "labels")
         labelled = members.join(labels, "node", "left").select("key", "node", F.coalesce("label", "node").alias("label"))
@@ -298,8 +383,7 @@ def link_components(docs: DataFrame, rows: DataFrame, percent: int, text_column:
             )
             new = left.join(leaders, "key").where("label <> other").select("a", F.col("node").alias("b"))
         new = stored(ordered(new).join(looked, ["a", "b"], "left_anti"), "pairs")
-        more = stored(verify(new, sets, percent), "links")
-        links, looked = links.unionByName(more), looked.unionByName(new)
+        links, looked = links.unionByName(verifier.links(verifier.possible(new))), looked.unionByName(new)
         drop_stored(left)
         if exact:
             labels = stored(connected_components(links), "labels")
