@@ -1,23 +1,24 @@
 """Jaccard join of word-shingle sets by universe partitions and the pigeonhole principle.
 
 Sets are banded by size.  The shingle universe of a band is hashed into segments,
-about one per two shingles of its largest sets.  Two sets that reach the threshold
+about nine per twenty shingles of its largest sets.  Two sets that reach the threshold
 differ in few shingles, each of which spoils one segment; so of the non-empty
 segments of either set, all but ``errors`` are equal in both.  A segment subset is
-hashed to a key.  Keys have one global order by cost: subsets of three and more
-shingles first, then two, then one, and last those made of frequent shingles only;
-each set is indexed under its first ``errors + 1`` keys, which must then meet those
-of every partner.  A set with fewer non-empty segments is indexed under all of them
-and under their one-deletion neighbourhoods, so that each allows one error more; the
-very few sets for which even that is not enough share one key per band.
-
-Sets at the lower end of a band are indexed under the band below as well.  Sets that
-share a key are compared with the first and the previous of the key: first by sketches,
-counts of shingles per hash range, whose difference is never more than that of the sets
-and so rules out most pairs; then by the sets themselves, exactly.  Where
-the sets of a key are then still in several components, further leaders and at last
-all pairs between components are compared: no link that joins two components is lost,
-and pairs within a component need no look.  Equal sets are one node throughout.
+hashed to a key.  A set is indexed under all its keys; any partner shares all but
+``errors`` of them.  That leaves room for costs: keys of more than ``HOT`` different sets
+are skipped for every set that has ``errors + 1`` other keys, since those must meet its
+partners; only sets without so many are compared under hot keys.  A set with no more
+non-empty segments than errors is indexed under their one-deletion neighbourhoods too, so
+that each allows one error more; the very few sets for which even that is not enough share
+one key per band.
+
+Sets at the lower end of a band are indexed under the band below as well.  All pairs of a
+key that is not hot are candidates.  Under hot keys, sets are first compared with the least
+one of the key; what hot keys hold together is then compared block by block, but only sets
+of different components: no link that joins two components is lost, and pairs within a
+component need no look.  Candidates are compared by sketches first, counts of shingles per
+hash range, whose difference is never more than that of the sets and so rules out most;
+then by the sets themselves, exactly.  Equal sets are one node.
 
 Words are ``[^\\x20\\x09-\\x0D]+`` with A-Z lower-cased; texts below five words are one
 shingle; null, empty and blank texts have none and link with nothing.  Shingles, sets
@@ -35,16 +36,16 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from turnline.llm.common import arrow_map, as_bytes, drop_stored, hashed, slices, stored, words_of
+from turnline.llm.common import arrow_map, as_bytes, hashed, slices, stored, words_of
 from turnline.llm.components import connected_components
 
 SHINGLE = 5
-#: A shingle is frequent from so many documents on; the order of keys knows so many of them at most (results never depend on it).
-FREQUENT_FROM, FREQUENT_MOST = 64, 1 << 16
+#: Different sets of a key up to which all its pairs are candidates.
+HOT = 8
 #: Bits of the filter that spares the sets of documents without candidates (2 MB, whatever the input).
 FILTER_BITS = 24
-#: Leader rounds before all pairs between the components of a key are compared.
-LEADER_ROUNDS = 6
+#: Sets of a block; sets under hot keys are compared block by block.
+BLOCK = 1024
 
 ODD = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F], np.uint64)
 
@@ -91,121 +92,103 @@ def shingle_sets(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 
 
 def sketch(x: np.ndarray) -> bytes | None:
-    """Numbers of shingles in about a quarter as many ranges of the hash."""
-    bits = max(0, (len(x) - 1).bit_length() - 2)
+    """Numbers of shingles in about half as many ranges of the hash."""
+    bits = max(0, (len(x) - 1).bit_length() - 1)
     counts = np.bincount((x >> np.uint64(64 - bits)).astype(np.int64), minlength=1 << bits) if bits else np.array([len(x)])
     if counts.max(initial=0) > 65535:
         return None
     return counts.astype("u1" if counts.max(initial=0) < 256 else "<u2").tobytes()
 
 
-def apart_by(x: bytes, y: bytes, n_x: int, n_y: int) -> int:
-    """A lower bound of the number of shingles that only one of two sets has, from their sketches and sizes."""
-    both = []
-    for data, n in ((x, n_x), (y, n_y)):
-        ranges = 1 << max(0, (n - 1).bit_length() - 2)
-        both.append(np.frombuffer(data, "u1" if len(data) == ranges else "<u2").astype(np.int64))
-    few = min(map(len, both))
-    a, b = (c.reshape(few, -1).sum(axis=1) for c in both)
-    return int(np.abs(a - b).sum())
+def counts_of(data: bytes, n: int) -> np.ndarray:
+    """The numbers of a sketch of a set of ``n`` shingles."""
+    ranges = 1 << max(0, (n - 1).bit_length() - 1)
+    return np.frombuffer(data, "u1" if len(data) == ranges else "<u2").astype(np.int32)
+
+
+def apart_by(x: np.ndarray, y: np.ndarray) -> int:
+    """A lower bound of the number of shingles that only one of two sets has, from their sketches."""
+    few = min(len(x), len(y))
+    return int(np.abs(x.reshape(few, -1).sum(axis=1) - y.reshape(few, -1).sum(axis=1)).sum())
 
 
 def segment_count(band: int, starts: list[int]) -> int:
-    return max(64, (starts[band + 1] - 1 + 1) // 2)
+    return max(64, starts[band + 1] * 9 // 20)
 
 
-def subset_keys(sums: np.ndarray, sizes: np.ndarray, frequent: np.ndarray, scheme: int) -> np.ndarray:
-    """Keys of segment subsets, least cost first: two bits of cost class, then a hash."""
-    cost = np.where(frequent == sizes, 3, 3 - np.minimum(sizes, 3)).astype(np.uint64)
-    return cost << np.uint64(62) | mix(sums + ODD[3:4] * np.uint64(scheme + 1)) >> np.uint64(2)
+def subset_keys(sums: np.ndarray, scheme: int) -> np.ndarray:
+    return mix(sums + ODD[3:4] * np.uint64(scheme + 1))
 
 
-def scheme_keys(x: np.ndarray, is_frequent: np.ndarray, scheme: int, segments: int, errors: int) -> np.ndarray:
-    """The keys that a set is indexed under in one scheme."""
+def scheme_keys(x: np.ndarray, scheme: int, segments: int, errors: int) -> tuple[np.ndarray, int]:
+    """The keys that a set is indexed under in one scheme, and how many of them it can do without, plus one (0: none)."""
     values = mix(x + ODD[0])
     segment = ((mix(x ^ ODD[4]) >> np.uint64(32)) * np.uint64(segments) >> np.uint64(32)).astype(np.int64)
     sums = np.zeros(segments, np.uint64)
     np.add.at(sums, segment, values)
     sizes = np.bincount(segment, minlength=segments)
-    frequent = np.bincount(segment, is_frequent, segments).astype(np.int64)
-    full = np.flatnonzero(sizes)
-    keys = subset_keys(sums[full], sizes[full], frequent[full], scheme)
-    if len(full) > errors:
-        return np.partition(keys, errors)[: errors + 1]
+    keys = subset_keys(sums[sizes > 0], scheme)
+    if len(keys) > errors:
+        return keys, len(keys) - errors
     # Too few segments: every subset less one shingle as well, so that a segment may hold one error.
     several = sizes[segment] > 1
-    at = segment[several]
-    less = subset_keys(sums[at] - values[several], sizes[at] - 1, frequent[at] - is_frequent[several], scheme)
-    keys = np.concatenate([keys, less])
+    keys = np.concatenate([keys, subset_keys(sums[segment[several]] - values[several], scheme)])
     if np.minimum(sizes, 2).sum() <= errors:
-        keys = np.append(keys, np.uint64(3 << 62) | mix(np.array([scheme], np.uint64) + ODD[2])[0] >> np.uint64(2))
-    return np.unique(keys)
+        keys = np.append(keys, mix(ODD[2:3] + np.uint64(scheme)))
+    return np.unique(keys), 0
 
 
-def index_keys(x: np.ndarray, is_frequent: np.ndarray, starts: list[int]) -> np.ndarray:
-    """All keys of a set: in the scheme of its band, and in the one below if partners can lie there."""
+def index_keys(x: np.ndarray, starts: list[int]) -> list[tuple[np.ndarray, int]]:
+    """Keys of a set and what it can spare: in the scheme of its band, and in the one below if partners can lie there."""
     n = len(x)
     band = int(np.searchsorted(starts, n, "right")) - 1
-    keys = [scheme_keys(x, is_frequent, band, segment_count(band, starts), (n + n * 4 // 3) // 7)]
+    found = [scheme_keys(x, band, segment_count(band, starts), (n + n * 4 // 3) // 7)]
     if band and -(-3 * n // 4) < starts[band]:
-        keys.append(scheme_keys(x, is_frequent, band - 1, segment_count(band - 1, starts), (n + starts[band] - 1) // 7))
-    return np.concatenate(keys)
+        found.append(scheme_keys(x, band - 1, segment_count(band - 1, starts), (n + starts[band] - 1) // 7))
+    return found
 
 
 def set_rows(docs: DataFrame, id_column: str, text_column: str) -> DataFrame:
-    """A row per document (``doc_id``, ``text_hash``, ``n``, ``node``: the hash of its set, ``sketch``), and rows of shingles that are frequent in a slice."""
+    """A row per document: ``doc_id``, ``text_hash``, ``n``, ``node``: the hash of its set, ``sketch``."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in slices(batches, "text_"):
             flat, bounds, node = shingle_sets(part.column("text_"))
-            found, counts = np.unique(flat, return_counts=True)
-            found, counts = found[counts >= 8], counts[counts >= 8]
-            n, none = part.num_rows, len(found)
             sketches = [sketch(flat[a:b]) if a < b else None for a, b in zip(bounds.tolist(), bounds[1:].tolist())]
-            nulls = lambda kind, size: pa.nulls(size, kind)
-            yield pa.RecordBatch.from_arrays([
-                pa.concat_arrays([part.column(0).cast(pa.int64()), nulls(pa.int64(), none)]),
-                pa.concat_arrays([part.column(1), nulls(pa.int64(), none)]),
-                pa.concat_arrays([pa.array(np.diff(bounds)), nulls(pa.int64(), none)]),
-                pa.concat_arrays([pa.array(node.view(np.int64)), nulls(pa.int64(), none)]),
-                pa.concat_arrays([pa.array(sketches, pa.binary()), nulls(pa.binary(), none)]),
-                pa.concat_arrays([nulls(pa.int64(), n), pa.array(found.view(np.int64))]),
-                pa.concat_arrays([nulls(pa.int64(), n), pa.array(counts.astype(np.int64))]),
-            ], names=["doc_id", "text_hash", "n", "node", "sketch", "shingle", "df"])
+            yield pa.RecordBatch.from_arrays(
+                [part.column(0), part.column(1), pa.array(np.diff(bounds)), pa.array(node.view(np.int64)), pa.array(sketches, pa.binary())],
+                names=["doc_id", "text_hash", "n", "node", "sketch"],
+            )
 
     source = docs.select(
         F.col(id_column).cast("long").alias("id_"), F.xxhash64(text_column).alias("hash_"), as_bytes(text_column).alias("text_")
     )
-    return arrow_map(source, run, "doc_id long, text_hash long, n long, node long, sketch binary, shingle long, df long")
+    return arrow_map(source, run, "doc_id long, text_hash long, n long, node long, sketch binary")
 
 
-def key_rows(docs: DataFrame, frequent: np.ndarray, text_column: str) -> DataFrame:
-    """The index: ``key`` and ``node``, once per set and task."""
-    shared = docs.sparkSession.sparkContext.broadcast(frequent)  # at most FREQUENT_MOST numbers
+def key_rows(docs: DataFrame, text_column: str) -> DataFrame:
+    """The index, once per set and task: ``key``, ``node``, and ``spare``: twice what the set can do without in the
+    scheme, plus one in the scheme of the band below."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        common, seen = shared.value, set()
-        starts = band_starts(1 << 31)
+        seen, starts = set(), band_starts(1 << 31)
         for part in slices(batches, "text_"):
             flat, bounds, node = shingle_sets(part.column("text_"))
-            if len(common):
-                known = common[np.minimum(np.searchsorted(common, flat), len(common) - 1)] == flat
-            else:
-                known = np.zeros(len(flat), bool)
-            keys, nodes = [], []
+            keys, nodes, spares = [], [], []
             for a, b, name in zip(bounds.tolist(), bounds[1:].tolist(), node.tolist()):
                 if a < b and name not in seen:
                     if len(seen) < 1 << 18:
                         seen.add(name)
-                    keys.append(index_keys(flat[a:b], known[a:b], starts))
-                    nodes.append(np.full(len(keys[-1]), name, np.uint64))
+                    for lower, (found, spare) in enumerate(index_keys(flat[a:b], starts)):
+                        keys.append(found)
+                        nodes.append(np.full(len(found), name, np.uint64))
+                        spares.append(np.full(len(found), 2 * spare + lower, np.int64))
             if keys:
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.concatenate(keys).view(np.int64)), pa.array(np.concatenate(nodes).view(np.int64))],
-                    names=["key", "node"],
+                    [pa.array(np.concatenate(c).view(np.int64)) for c in (keys, nodes, spares)], names=["key", "node", "spare"]
                 )
 
-    return arrow_map(docs.select(as_bytes(text_column).alias("text_")), run, "key long, node long")
+    return arrow_map(docs.select(as_bytes(text_column).alias("text_")), run, "key long, node long, spare long")
 
 
 def filter_of(nodes: DataFrame) -> np.ndarray:
@@ -274,7 +257,7 @@ def sifted(pairs: DataFrame, sketches: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             good = [
-                x is None or y is None or 7 * apart_by(x, y, n, m) <= n + m
+                x is None or y is None or 7 * apart_by(counts_of(x, n), counts_of(y, m)) <= n + m
                 for x, y, n, m in zip(*(batch.column(c).to_pylist() for c in ("x", "y", "n", "m")))
             ]
             yield batch.select(["a", "b"]).filter(pa.array(good, pa.bool_()))
@@ -285,6 +268,78 @@ def sifted(pairs: DataFrame, sketches: DataFrame) -> DataFrame:
     return arrow_map(full.select("a", "b", "x", "y", "n", "m"), run, "a long, b long")
 
 
+def block_pairs(rows: pa.Table, low: int, high: int) -> tuple[np.ndarray, np.ndarray]:
+    """Places of the pairs of two blocks (or of one) that lie in different components and that sketches do not rule out."""
+    n, label, block = (rows.column(c).to_numpy() for c in ("n", "label", "block"))
+    sketches = [None if x is None else counts_of(x, m) for x, m in zip(rows.column("sketch").to_pylist(), n.tolist())]
+    ranges = np.array([0 if x is None else len(x) for x in sketches])
+    found: list[tuple[np.ndarray, np.ndarray]] = []
+    left = np.flatnonzero(block == low)
+    for size in np.unique(ranges[left]).tolist():
+        ours = left[ranges[left] == size]
+        for other in (np.unique(ranges).tolist() if not size else (0, size // 2, size, size * 2)):
+            theirs = np.flatnonzero((block == high) & (ranges == other))
+            if not len(theirs):
+                continue
+            few = min(size, other)
+            level = [None if not few else np.stack([sketches[i].reshape(few, -1).sum(axis=1) for i in at]) for at in (ours, theirs)]
+            for k, i in enumerate(ours.tolist()):
+                good = (label[theirs] != label[i]) & (3 * np.maximum(n[theirs], n[i]) <= 4 * np.minimum(n[theirs], n[i]))
+                if low == high:
+                    good &= theirs > i
+                if few and good.any():
+                    at = np.flatnonzero(good)
+                    good[at] = 7 * np.abs(level[1][at] - level[0][k]).sum(axis=1) <= n[theirs[at]] + n[i]
+                found.append((np.full(int(good.sum()), i), theirs[good]))
+    if not found:
+        return np.zeros(0, np.int64), np.zeros(0, np.int64)
+    return tuple(np.concatenate(c) for c in zip(*found))
+
+
+UNIT = ["cluster", "low", "high"]
+
+
+def cluster_pairs(members: DataFrame) -> DataFrame:
+    """All pairs (``a``, ``b``) of a cluster's sets (``node``, ``label``, ``n``, ``sketch``) that need an exact look."""
+    sizes = members.groupBy("cluster").agg(F.count("*").alias("size"), F.min("label").alias("one"), F.max("label").alias("other"))
+    blocks = F.ceil(F.col("size") / BLOCK).cast("int")
+    spread = sizes.where("one <> other").select("cluster", blocks.alias("blocks"))
+    placed = members.join(spread, "cluster").withColumn("block", F.pmod(F.xxhash64("node"), "blocks").cast("int"))
+    units = placed.withColumn("with", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select(
+        "cluster", F.least("block", "with").alias("low"), F.greatest("block", "with").alias("high"),
+        "node", "label", "n", "sketch", "block",
+    )
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+        key = None
+
+        def close() -> pa.RecordBatch:
+            rows = pa.Table.from_batches(held).combine_chunks()
+            node = rows.column("node").to_numpy()
+            a, b = block_pairs(rows, key[1], key[2])
+            return pa.RecordBatch.from_arrays(
+                [pa.array(np.minimum(node[a], node[b])), pa.array(np.maximum(node[a], node[b]))], names=["a", "b"]
+            )
+
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            keys = np.stack([batch.column(c).to_numpy().astype(np.int64) for c in UNIT])
+            starts = np.flatnonzero(np.r_[True, (keys[:, 1:] != keys[:, :-1]).any(axis=0)])
+            for a, b in zip(starts.tolist(), [*starts[1:].tolist(), batch.num_rows]):
+                now = tuple(keys[:, a].tolist())
+                if held and now != key:
+                    yield close()
+                    held = []
+                key = now
+                held.append(batch.slice(a, b - a))
+        if held:
+            yield close()
+
+    return arrow_map(units.repartition(*UNIT).sortWithinPartitions(*UNIT, "node"), run, "a long, b long")
+
+
 class Verifier:
     """Exact comparison of pairs; the sets it needs are taken from the texts once and stored."""
 
@@ -315,10 +370,6 @@ class Verifier:
         return stored(verify(pairs, self.sets, self.percent), "links")
 
 
-def ordered(pairs: DataFrame) -> DataFrame:
-    return pairs.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-
-
 def between(pairs: DataFrame, labels: DataFrame) -> DataFrame:
     """The pairs whose ends lie in different components."""
     ends = labels.select(F.col("node").alias("a"), F.col("label").alias("label_a"))
@@ -329,66 +380,43 @@ def between(pairs: DataFrame, labels: DataFrame) -> DataFrame:
 
 def link_components(docs: DataFrame, rows: DataFrame, percent: int, text_column: str) -> DataFrame:
     """``node`` and ``label`` for every set that links with a different one."""
-    frequent = [
-        r.shingle for r in rows.where("shingle is not null").groupBy("shingle").agg(F.sum("df").alias("df"))
-        .where(F.col("df") >= FREQUENT_FROM).orderBy(F.desc("df"), "shingle").limit(FREQUENT_MOST).collect()
-    ]
-    keys = key_rows(docs, np.sort(np.array(frequent, np.int64).view(np.uint64)), text_column)
     in_key = Window.partitionBy("key").orderBy("node")
+    following = F.col("following")
+    # Every set of a key that several sets share, once.
     met = stored(
-        keys.select(
-            "key", "node", F.lag("node").over(in_key).alias("previous"),
-            F.first("node").over(in_key.rowsBetween(Window.unboundedPreceding, 0)).alias("first"),
-        ).where("node <> first and node <> previous"),
+        key_rows(docs, text_column).select(
+            "key", "node", "spare", F.lead("node").over(in_key).alias("following"), F.dense_rank().over(in_key).alias("nth"),
+        ).where((following.isNull() & (F.col("nth") > 1)) | (following != F.col("node"))).drop("following"),
         "met",
     )
-    looked = stored(ordered(
-        met.select(F.col("first").alias("a"), F.col("node").alias("b")).unionByName(
-            met.select(F.col("previous").alias("a"), F.col("node").alias("b"))
-        )
-    ), "pairs")
-    everyone = met.select("node").unionByName(met.select(F.col("first").alias("node"))).distinct()
-    verifier = Verifier(docs, rows, everyone, text_column, percent)
-    # All pairs of a key of up to three sets have been looked at.
-    large = met.groupBy("key").agg(F.count("*").alias("others")).where("others > 2").select("key")
-    rest = met.join(large, "key", "left_semi")
-    members = stored(rest.select("key", "node").unionByName(rest.select("key", F.col("first").alias("node")).distinct()), "members")
-    # One partner per set first: most other pairs then lie within a component and need no look.
+    hot = stored(met.where(F.col("nth") == HOT + 1).select("key").distinct(), "hot")
+    cool = met.join(hot, "key", "left_anti").select("key", "node")
+    pairs = cool.withColumnRenamed("node", "a").join(cool.withColumnRenamed("node", "b"), "key").where("a < b").select("a", "b")
+    warm = met.join(hot, "key", "left_semi").withColumn("lower", F.col("spare") % 2)
+    bare = warm.groupBy("node", "lower").agg(F.count("*").alias("hot_keys"), F.first("spare").alias("spare")).where(
+        F.col("hot_keys") >= F.shiftright("spare", 1)
+    )
+    members = stored(warm.select("key", "node", "lower").join(bare.select("node", "lower"), ["node", "lower"], "left_semi").drop("lower"), "members")
+    first = members.groupBy("key").agg(F.min("node").alias("a"))
+    stars = members.withColumnRenamed("node", "b").join(first, "key").where("a < b").select("a", "b")
+    looked = stored(pairs.unionByName(stars).distinct(), "pairs")
+    nodes = looked.select(F.col("a").alias("node")).unionByName(looked.select(F.col("b").alias("node")))
+    verifier = Verifier(docs, rows, nodes.unionByName(members.select("node")).distinct(), text_column, percent)
     possible = verifier.possible(looked)
     verifier.fetch(possible)
+    # One partner per set first: most other pairs then lie within a component and need no look.
     best = stored(possible.groupBy("b").agg(F.min("a").alias("a")).select("a", "b"), "pairs")
     links = verifier.links(best)
     labels = stored(connected_components(links), "labels")
     links = links.unionByName(verifier.links(between(possible.join(best, ["a", "b"], "left_anti"), labels)))
-    for turn in range(LEADER_ROUNDS + 1):
-        labels = stored(connected_components(links), "labels")
-        labelled = members.join(labels, "node", "left").select("key", "node", F.coalesce("label", "node").alias("label"))
-        spread = labelled.groupBy("key").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low <> high")
-        left = stored(labelled.join(spread.select("key"), "key"), "left")
-        sizes = left.groupBy("key", "label").agg(F.count("*").alias("n")).groupBy("key").agg(
-            F.sum("n").alias("n"), F.sum(F.col("n") * F.col("n")).alias("within")
-        ).agg(F.sum("n"), F.sum((F.col("n") * F.col("n") - F.col("within")) / 2)).first()
-        if not sizes[0]:
-            drop_stored(left)
-            break
-        exact = turn == LEADER_ROUNDS or sizes[1] <= 16 * sizes[0]
-        if exact:
-            other = left.select("key", F.col("node").alias("b"), F.col("label").alias("other"))
-            new = left.join(other, "key").where("label < other").select(F.col("node").alias("a"), "b")
-        else:
-            # One leader per key, another one each round; ties cannot occur within a key.
-            by_hash = F.struct(F.xxhash64("node", F.lit(turn)), "node", "label")
-            leaders = left.groupBy("key").agg(F.min(by_hash).alias("leader")).select(
-                "key", F.col("leader.node").alias("a"), F.col("leader.label").alias("other")
-            )
-            new = left.join(leaders, "key").where("label <> other").select("a", F.col("node").alias("b"))
-        new = stored(ordered(new).join(looked, ["a", "b"], "left_anti"), "pairs")
-        links, looked = links.unionByName(verifier.links(verifier.possible(new))), looked.unionByName(new)
-        drop_stored(left)
-        if exact:
-            labels = stored(connected_components(links), "labels")
-            break
-    return labels
+    # What is left are sets in different components that only hot keys have in common.
+    labels = stored(connected_components(links), "labels")
+    clusters = connected_components(stars)
+    bare_sets = members.select("node").distinct().join(clusters, "node").withColumnRenamed("label", "cluster")
+    known = bare_sets.join(labels, "node", "left").join(verifier.sketches, "node")
+    rest = known.select("cluster", "node", F.coalesce("label", "node").alias("label"), "n", "sketch")
+    new = stored(cluster_pairs(rest).distinct().join(looked, ["a", "b"], "left_anti"), "pairs")
+    return connected_components(links.unionByName(verifier.links(new)))
 
 
 def near_duplicates(docs: DataFrame, percent: int = 75, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
@@ -400,7 +428,7 @@ def near_duplicates(docs: DataFrame, percent: int = 75, id_column: str = "doc_id
     if percent != 75:
         raise ValueError("bands and error bounds are those of 75 percent")
     rows = stored(set_rows(docs, id_column, text_column), "sets-by-document")
-    documents = rows.where("node is not null").select("doc_id", "text_hash", "n", "node")
+    documents = rows.select("doc_id", "text_hash", "n", "node")
     classes = documents.where("n > 0").groupBy("node").agg(F.min("doc_id").alias("least"), F.count("*").alias("size"))
     labels = link_components(docs, rows, percent, text_column)
     grouped = classes.join(labels, "node", "left").where("size > 1 or label is not null").select(
