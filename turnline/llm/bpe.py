@@ -182,7 +182,7 @@ class TextCoder:
 
     def __init__(self, rank_file: bytes, pattern: str):
         self.words, self.pattern = WordCoder(rank_file), regex.compile(pattern)
-        self.memo = Memo(self._pieces, limit=700_000)
+        self.memo = Memo(self._pieces, limit=600_000)
 
     def _matches(self, pieces: list[str]) -> list[bytes]:
         """Of each piece the number of its ids (32 bits), its ids, and what they decode to, in one value."""
@@ -278,4 +278,4 @@ def encode_decode(
             )
 
     schema = out_schema(docs, [id_column], [("n_tokens", T.LongType()), *[(name, kind) for name, kind, _ in outputs]])
-    return arrow_map(docs.select(id_column, as_bytes(text_column).alias("text_")), run, schema)
+    return arrow_map(docs.select(id_column, as_bytes(text_column).alias("text_")), run, schema, remembers=True)

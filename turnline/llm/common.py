@@ -111,9 +111,17 @@ def out_schema(frame: DataFrame, kept: list[str], added: list[tuple[str, T.DataT
 
 
 def arrow_map(
-    frame: DataFrame, function: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: T.StructType
+    frame: DataFrame, function: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]],
+    schema: T.StructType | str, remembers: bool = False,
 ) -> DataFrame:
-    return frame.mapInArrow(function, schema)
+    """``mapInArrow``; a function that does not use ``per_worker`` frees what an earlier one has left in the worker."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        if not remembers:
+            forget()
+        return function(batches)
+
+    return frame.mapInArrow(run, schema)
 
 
 class Memo:
@@ -151,13 +159,16 @@ class Memo:
         return values
 
 
-_workers: dict = {}
+_worker: dict = {}
+
+
+def forget() -> None:
+    _worker.clear()
 
 
 def per_worker(key, build: Callable[[], object]):
-    """One object per worker process, such as a loaded tokenizer with its memo; the last four are kept."""
-    if key not in _workers:
-        while len(_workers) >= 4:
-            _workers.pop(next(iter(_workers)))
-        _workers[key] = build()
-    return _workers[key]
+    """One object per worker process, such as a loaded tokenizer with its memo; only the last is kept."""
+    if key not in _worker:
+        forget()
+        _worker[key] = build()
+    return _worker[key]

@@ -177,4 +177,4 @@ def count_tokens(
     schema = out_schema(
         docs, [id_column], [("n_bytes", T.LongType()), ("n_tokens", T.LongType()), ("over_limit", T.BooleanType())]
     )
-    return arrow_map(docs.select(id_column, as_bytes(text_column).alias("text_")), run, schema)
+    return arrow_map(docs.select(id_column, as_bytes(text_column).alias("text_")), run, schema, remembers=True)

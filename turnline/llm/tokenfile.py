@@ -215,7 +215,7 @@ def write_token_files(
     shards = shards or max(int(spark.conf.get("spark.sql.shuffle.partitions")), 1)
     # The sampling of ranges needs the ids only to be balanced; equal ids meet in one shard.
     dealt = named.repartitionByRange(shards, "id_").sortWithinPartitions("id_", "text_")
-    arrow_map(dealt, run, SEGMENT_SCHEMA).write.option("compression", "none").parquet(path)
+    arrow_map(dealt, run, SEGMENT_SCHEMA, remembers=True).write.option("compression", "none").parquet(path)
 
 
 def shard_starts(segments: DataFrame) -> DataFrame:

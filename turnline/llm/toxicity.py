@@ -31,6 +31,9 @@ BITS, TRAIN_ROWS = 20, 20_000
 #: Learning rate, its smoothing, and the two penalties.
 ALPHA, BETA, L1, L2 = 0.3, 1.0, 1.0, 0.1
 
+#: Bytes of text whose features a worker holds at a time.
+FEATURE_BYTES = 3 << 20
+
 TOXIC_FROM = 0.3
 PUNCTUATION = bytes.maketrans(b"!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~", b" " * 32)
 
@@ -93,7 +96,7 @@ def train(
     known = docs.select(id_column, as_bytes(text_column).alias("text_")).join(F.broadcast(sample), id_column)
 
     def extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in slices(batches, "text_"):
+        for part in slices(batches, "text_", FEATURE_BYTES):
             row, feature = feature_rows(part.column("text_").to_pylist(), bits)
             distinct = np.unique(row << bits | feature)
             bounds = np.searchsorted(distinct, np.arange(part.num_rows + 1) << bits)
@@ -133,7 +136,7 @@ def score(
         at, values = shared.value
         dense = np.zeros((1 << bits) + 1)
         dense[at] = values
-        for part in slices(batches, "text__"):
+        for part in slices(batches, "text__", FEATURE_BYTES):
             row, feature = feature_rows(part.column("text__").to_pylist(), bits)
             used = dense[feature] != 0
             distinct = np.unique(row[used] << bits | feature[used])
