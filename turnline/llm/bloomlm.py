@@ -133,7 +133,7 @@ def count_lists(training: DataFrame, parts: int) -> DataFrame:
             for kind, arrays in held.items():
                 found, counts = np.unique(np.concatenate(arrays), return_counts=True)
                 lists = (found >> np.uint64(64 - SEGMENT_BITS - parts)).astype(np.int64)
-                starts = np.flatnonzero(np.r_[True, lists[1:] != lists[:-1]])
+                starts = np.flatnonzero(np.r_[True, lists[1:] != lists[:-1]])[: len(found)]
                 ends = np.r_[starts[1:], len(found)]
                 # Most n-grams occur once: those carry no count.
                 rows = {"kind": [], "list": [], "once": [], "hashes": [], "counts": []}

@@ -29,7 +29,7 @@ from turnline.llm.common import arrow_map, as_bytes, hashed, slices, words_of
 #: Feature space, and rows that the classifier is fitted on at most.
 BITS, TRAIN_ROWS = 20, 20_000
 #: Learning rate, its smoothing, and the two penalties.
-ALPHA, BETA, L1, L2 = 0.3, 1.0, 1.0, 0.1
+ALPHA, BETA, L1, L2 = 1.0, 1.0, 4.0, 0.1
 
 #: Bytes of text whose features a worker holds at a time.
 FEATURE_BYTES = 3 << 20
