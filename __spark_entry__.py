@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import sys
+import uuid
 from collections.abc import Callable
 from pathlib import Path
 
@@ -65,14 +66,14 @@ def _scratch(spark: SparkSession, sf_dir: str, name: str) -> str:
     path = derived.scratch_path(spark, sf_dir, name)
     if path is None:
         raise RuntimeError("set spark.checkpoint.dir to a folder that every executor can reach")
-    return path
+    return f"{path}-{uuid.uuid4().hex}"  # no call overwrites what another reads
 
 
 def _raw_extracts(spark: SparkSession, sf_dir: str) -> str:
-    """The derived flights written as raw monthly extracts; returns the glob over them."""
+    """The derived flights written as raw monthly extracts, in a folder of the call's own; returns the glob over them."""
     path = _scratch(spark, sf_dir, "raw_extracts")
     write_raw(derived.flights(spark, sf_dir), path)
-    return f"{path}/month=*"
+    return f"{path}/month=*/*.csv"
 
 
 def flights_typed(spark: SparkSession, sf_dir: str) -> DataFrame:

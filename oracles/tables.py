@@ -146,7 +146,7 @@ rotation_links AS (
              WHEN cancelled THEN 'excluded_current_cancelled'
              WHEN prev_diverted THEN 'excluded_prior_diverted'
              WHEN diverted THEN 'excluded_current_diverted'
-             WHEN prev_dest <> origin THEN 'excluded_airport_mismatch'
+             WHEN coalesce(prev_dest <> origin, true) THEN 'excluded_airport_mismatch'
              WHEN dep_s IS NULL OR prev_arr_s IS NULL THEN 'excluded_missing_scheduled_times'
              WHEN dep_a IS NULL OR prev_arr_a IS NULL THEN 'excluded_missing_actual_times'
              WHEN observed_turnaround_min < 0 THEN 'invalid_negative_turnaround'

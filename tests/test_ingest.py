@@ -62,20 +62,29 @@ def test_a_file_with_another_column_order_is_not_read_by_position(spark, tmp_pat
         read_raw(spark, f"{tmp_path}/flights_2024_*.csv").collect()
 
 
-def test_months_are_skipped_or_replaced_never_doubled(spark, tmp_path):
+@pytest.mark.parametrize("skip_present", [True, False])
+def test_no_row_is_lost_when_a_file_holds_another_month(spark, tmp_path, skip_present):
     january, february = tmp_path / "flights_2024_01.csv", tmp_path / "flights_2024_02.csv"
     pattern, target = f"{tmp_path}/flights_2024_*.csv", str(tmp_path / "table")
-    write_csv(january, [{}, {}])
-    assert ingest(spark, pattern, target).count() == 2
-    write_csv(february, [{"FlightDate": "2024-02-01"}])
-    assert ingest(spark, pattern, target).count() == 3
-    write_csv(january, [{}] * 5)
-    assert ingest(spark, pattern, target).count() == 3
-    assert ingest(spark, pattern, target, skip_present=False).count() == 6
+    write_csv(january, [{}] * 4)
+    assert ingest(spark, pattern, target, skip_present).count() == 4
+    write_csv(february, [{"FlightDate": "2024-02-01"}, {}])
+    assert ingest(spark, pattern, target, skip_present).count() == 6
+    assert ingest(spark, pattern, target, skip_present).count() == 6
+    write_csv(january, [{}] * 7)
+    assert ingest(spark, pattern, target, skip_present).count() == (6 if skip_present else 9)
     pending = months_pending(candidate_months(spark, 2024, 2024), read_table(spark, target))
     assert sorted(r.flight_month for r in pending.collect()) == list(range(3, 13))
 
 
+def test_a_loaded_file_is_not_read_again(spark, tmp_path):
+    pattern, target = f"{tmp_path}/flights_2024_*.csv", str(tmp_path / "table")
+    write_csv(tmp_path / "flights_2024_01.csv", [{}])
+    ingest(spark, pattern, target)
+    write_csv(tmp_path / "flights_2024_01.csv", [{"Distance": "soon"}])  # reading it would fail
+    assert ingest(spark, pattern, target).count() == 1
+
+
 def test_round_trip_of_derived_flights(spark, flights, tmp_path):
     write_raw(flights, str(tmp_path / "raw"))
     back = typed_flights(read_raw(spark, f"{tmp_path}/raw/month=*"))

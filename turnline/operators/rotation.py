@@ -101,7 +101,7 @@ def _link_status(min_turn: int, max_turn: int) -> Column:
         .when(F.col("cancelled"), "excluded_current_cancelled")
         .when(F.col("prev_diverted"), "excluded_prior_diverted")
         .when(F.col("diverted"), "excluded_current_diverted")
-        .when(F.col("prev_dest") != F.col("origin"), "excluded_airport_mismatch")
+        .when(F.coalesce(F.col("prev_dest") != F.col("origin"), F.lit(True)), "excluded_airport_mismatch")
         .when(F.col("scheduled_turnaround_min").isNull(), "excluded_missing_scheduled_times")
         .when(observed.isNull(), "excluded_missing_actual_times")
         .when(observed < 0, "invalid_negative_turnaround")

@@ -9,7 +9,7 @@ from turnline.schema import FLIGHT_COLUMNS, FLIGHT_NAMES, MONTH_COLUMNS, SOURCE_
 from turnline.sources.tables import months_of, read_table, with_month, write_by_month
 
 
-def read_raw(spark: SparkSession, path: str) -> DataFrame:
+def read_raw(spark: SparkSession, path: str | list[str]) -> DataFrame:
     """The contract's columns as text; ``path`` may be a glob over monthly files.
 
     Columns are found by name, so their order is free and extra columns are left
@@ -41,30 +41,62 @@ def flag(name: str) -> Column:
     return whole_number(name) == 1
 
 
-def typed_flights(raw: DataFrame) -> DataFrame:
-    """The flights table of raw text columns."""
+def typed_flights(raw: DataFrame, *others: Column) -> DataFrame:
+    """The flights table of raw text columns, with other columns of the raw rows beside it."""
     typed = {
         "date": lambda name: F.to_date(_text(name), "yyyy-MM-dd"),
         "text": _text,
         "int": whole_number,
         "flag": flag,
     }
-    return raw.select(*[typed[kind](source).alias(name) for source, name, kind in FLIGHT_COLUMNS])
+    return raw.select(*[typed[kind](source).alias(name) for source, name, kind in FLIGHT_COLUMNS], *others)
+
+
+SOURCE_FILE = "source_file"
+
+
+def _plain(path: Column) -> Column:
+    """A file's path without scheme, as listing and reading both give it."""
+    return F.regexp_replace(path, "^[A-Za-z0-9]+:/*", "/")
 
 
 def ingest(spark: SparkSession, path: str, target: str, skip_present: bool = True) -> DataFrame:
     """Load the raw files into the stored flights table and return that table.
 
-    Months the target already holds are skipped; without ``skip_present`` they
-    are replaced.  Either way a repeated load leaves one copy of each month.
+    What a load is about is the file, never the month of a row: files that the
+    target holds are not read again; without ``skip_present`` they are replaced.
+    Rows of whatever month are appended, so late rows in a later file are kept,
+    and a repeated load leaves one copy of each file.
     """
-    flights = with_month(typed_flights(read_raw(spark, path)))
-    if skip_present and _holds_table(spark, target):
-        flights = flights.join(months_of(read_table(spark, target)), list(MONTH_COLUMNS), "left_anti")
-    write_by_month(flights.select(*FLIGHT_NAMES), target)
+    files = spark.read.format("binaryFile").load(path).select("path", _plain(F.col("path")).alias(SOURCE_FILE))
+    held = None
+    if _holds_table(spark, target):
+        held = read_table(spark, target).select(F.col(SOURCE_FILE).cast("string")).distinct()
+    wanted = files.join(held, SOURCE_FILE, "left_anti") if skip_present and held is not None else files
+    paths = [row.path for row in wanted.select("path").collect()]  # file names only
+    if held is not None and not skip_present:
+        for row in files.join(held, SOURCE_FILE).select(SOURCE_FILE).distinct().collect():
+            _drop_file(spark, target, row[SOURCE_FILE])
+    if paths:
+        name = _plain(F.url_decode(F.col("_metadata.file_path"))).alias(SOURCE_FILE)
+        raw = read_raw(spark, paths)
+        flights = with_month(typed_flights(raw, name))
+        (
+            flights.hint("rebalance", SOURCE_FILE, *MONTH_COLUMNS)
+            .sortWithinPartitions(SOURCE_FILE, *MONTH_COLUMNS, "origin", "dest")
+            .write.mode("append").partitionBy(SOURCE_FILE, *MONTH_COLUMNS).parquet(target)
+        )
     return read_table(spark, target)
 
 
+def _drop_file(spark: SparkSession, target: str, name: str) -> None:
+    """Remove the rows of one loaded file, which lie in a folder of their own."""
+    jvm = spark.sparkContext._jvm
+    escaped = jvm.org.apache.spark.sql.catalyst.catalog.ExternalCatalogUtils.escapePathName(name)
+    folder = jvm.org.apache.hadoop.fs.Path(f"{target}/{SOURCE_FILE}={escaped}")
+    folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(folder, True)
+
+
 def _holds_table(spark: SparkSession, path: str) -> bool:
     jvm = spark.sparkContext._jvm
     folder = jvm.org.apache.hadoop.fs.Path(path)
