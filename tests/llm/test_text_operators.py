@@ -219,6 +219,31 @@ def test_filter_levels_are_never_too_low():
     assert (levels >= bloomlm.level(counts)).all() and (levels == bloomlm.level(counts)).mean() > 0.99
 
 
+@pytest.mark.parametrize("inserted", [3, 4000, 600000])
+def test_filter_grows_with_what_is_put_in(inserted):
+    """The stated rate holds whatever the number of levels, and a full filter ends at the largest level."""
+    rng = np.random.default_rng(3)
+    hashes, absent = (rng.integers(0, 1 << 52, n).astype(np.uint64) for n in (inserted, 40000))
+    bits = np.zeros(bloomlm.segment_bytes(inserted) * 8, np.uint8)
+    bloomlm.fill(bits, hashes, np.ones(inserted, np.int64))
+    starts = np.r_[0, np.full(1 << bloomlm.SEGMENT_BITS, len(bits))]
+    read_ = bloomlm.read_levels(np.packbits(bits), absent, starts, 5)
+    assert (read_ > 0).mean() < 1.5 * bloomlm.FALSE
+    assert set(bloomlm.read_levels(np.full(len(bits) // 8, 255, np.uint8), absent[:9], starts, 5)) == {5}
+
+
+def test_scores_do_not_depend_on_how_the_filter_is_read(spark, data_dir, hard, monkeypatch):
+    """A filter beyond the broadcast bound is asked in its segments."""
+    for docs in (documents(spark, data_dir).limit(300).localCheckpoint(), hard):
+        fits = F.coalesce(F.col("doc_id"), F.lit(0)) % 10 != 0
+        rows = {}
+        for bound in (bloomlm.FILTER_BITS, 0):
+            monkeypatch.setattr(bloomlm, "FILTER_BITS", bound)
+            rows[bound] = sorted(map(tuple, bloomlm.score(docs, fits).collect()), key=str)
+            monkeypatch.undo()
+        assert rows[0] == rows[bloomlm.FILTER_BITS] and len(rows[0]) == docs.count()
+
+
 def sets_of(docs):
     out = []
     for i, t in docs:

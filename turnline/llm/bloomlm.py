@@ -3,12 +3,13 @@
 Words and pairs of words of the training texts are counted exactly, as 64-bit hashes.
 A count c is quantised to the level 1 + floor(log2 c), and an n-gram is put into the
 filter once per level up to its own; a reader probes level after level until one is
-missing, and so learns the level, never too low and rarely too high.  The filter has
-``FILTER_BITS`` bits whatever the corpus (32 MB), which bounds what is broadcast: more
-n-grams raise the rate of levels read too high, nothing is left out but pairs that
-occur less than ``pair_from`` times.  It lies in 4,096 segments; an n-gram belongs to
-one, so each segment is counted and filled by one task, from lists that every reading
-task has counted before.
+missing, and so learns the level, never too low and rarely too high.  The filter lies in
+4,096 segments; an n-gram belongs to one, so each segment is counted and filled by one
+task, from lists that every reading task has counted before.  A segment gets its bits
+from the levels counted in it, so that a level that is not there is read with a chance
+of ``FALSE`` whatever the corpus; nothing is left out but pairs that occur less than
+``pair_from`` times.  A filter of at most 2^``FILTER_BITS`` bits (128 MB) is broadcast; a
+larger one stays in its segments, and what the texts ask is shuffled to them and back.
 
 A word's probability is interpolated: w * pair / context + (1 - w) * p(word), with p(word) =
 (count + 0.1) / (N + 0.1 (V + 1)) and all counts read from the filter.  The weight w is
@@ -26,18 +27,24 @@ Without any training text every count is zero.
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
 import xxhash
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from turnline.llm.common import arrow_map, as_bytes, hashed, slices, stored, words_of
 
-FILTER_BITS, SEGMENT_BITS, PROBES = 28, 12, 6
+#: Bits of the largest filter that is broadcast, and of segments (as powers of two); probes per level.
+FILTER_BITS, SEGMENT_BITS, PROBES = 30, 12, 6
+#: Chance that a level that is not in the filter is read.
+FALSE = 0.01
+#: Bytes of text that are scored at a time.
+SCORED_BYTES = 4 << 20
 #: Words whose exact counts are broadcast at most (16 bytes each).
 TABLE_WORDS = 1 << 20
 #: Tokens that a task counts before it passes the lists on, and a list's expected length when they are merged.
@@ -87,10 +94,15 @@ def value(levels: np.ndarray) -> np.ndarray:
     return np.where(levels > 1, 1.5 * 2.0 ** (levels - 1) - 0.5, levels)
 
 
-def positions(hashes: np.ndarray, level: int, probe: int) -> np.ndarray:
-    """A bit within the segment of the hash."""
+def positions(hashes: np.ndarray, level: int, probe: int, bits: np.ndarray | int) -> np.ndarray:
+    """A bit within the segment of the hash, which has so many ``bits`` (below 2^32)."""
     turn = ((1 + probe) * 0xD6E8FEB86659FD93 + level * 0xA0761D6478BD642F) & (1 << 64) - 1
-    return (mix(hashes + np.uint64(turn)) >> np.uint64(64 - FILTER_BITS + SEGMENT_BITS)).astype(np.int64)
+    return ((mix(hashes + np.uint64(turn)) >> np.uint64(32)) * np.asarray(bits, np.uint64) >> np.uint64(32)).astype(np.int64)
+
+
+def segment_bytes(inserted: int) -> int:
+    """Bytes of a segment that so many levels are put into."""
+    return max(8, math.ceil(inserted * PROBES / -math.log(1 - FALSE ** (1 / PROBES)) / 8))
 
 
 def segment_of(hashes: np.ndarray) -> np.ndarray:
@@ -103,22 +115,25 @@ def fill(bits: np.ndarray, hashes: np.ndarray, counts: np.ndarray) -> None:
     for j in range(1, int(levels.max(initial=0)) + 1):
         hashes, levels = hashes[levels >= j], levels[levels >= j]
         for probe in range(PROBES):
-            bits[positions(hashes, j, probe)] = 1
+            bits[positions(hashes, j, probe, len(bits))] = 1
 
 
-def read_levels(filter_bytes: np.ndarray, hashes: np.ndarray) -> np.ndarray:
-    """Levels of n-grams by repeated membership probes."""
+def read_levels(filter_bytes: np.ndarray, hashes: np.ndarray, starts: np.ndarray | None = None, top: int = 64) -> np.ndarray:
+    """Levels of n-grams by repeated membership probes, at most ``top``; ``starts`` are the bits where each segment begins
+    (and the last one ends), all of one size if not given."""
+    if starts is None:
+        starts = np.arange((1 << SEGMENT_BITS) + 1) * (len(filter_bytes) * 8 >> SEGMENT_BITS)
     levels = np.zeros(len(hashes), np.int64)
-    at, left = np.arange(len(hashes)), hashes
-    base = segment_of(hashes) << (FILTER_BITS - SEGMENT_BITS)
-    j = 1
-    while len(at):
+    at, left, segment = np.arange(len(hashes)), hashes, segment_of(hashes)
+    base, bits = starts[segment], np.diff(starts)[segment]
+    for j in range(1, top + 1):
         for probe in range(PROBES):
-            bit = base + positions(left, j, probe)
+            bit = base + positions(left, j, probe, bits)
             there = (filter_bytes[bit >> 3] >> (7 - (bit & 7)).astype(np.uint8) & 1).astype(bool)
-            at, left, base = at[there], left[there], base[there]
+            at, left, base, bits = at[there], left[there], base[there], bits[there]
+        if not len(at):
+            break
         levels[at] = j
-        j += 1
     return levels
 
 
@@ -182,21 +197,26 @@ def segments(lists: DataFrame, parts: int, pair_from: int) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple] = []
-        key, bits = None, None
+        inserted: list[tuple[np.ndarray, np.ndarray]] = []
+        key = None
         pairs_, again = 0, 0
 
         def close():
             nonlocal pairs_, again
             hashes, counts = merged(held)
             if key[2] == 1:
-                fill(bits, hashes, counts)
+                inserted.append((hashes, counts))
                 yield word_rows(hashes, counts)
             else:
-                fill(bits, hashes[counts >= pair_from], counts[counts >= pair_from])
+                inserted.append((hashes[counts >= pair_from], counts[counts >= pair_from]))
                 pairs_, again = pairs_ + int(counts.sum()), again + int(counts[counts > 1].sum())
 
         def bit_row():
             nonlocal pairs_, again
+            hashes, counts = (np.concatenate(c) for c in zip(*inserted))
+            bits = np.zeros(segment_bytes(int(level(counts).sum())) * 8, np.uint8)
+            fill(bits, hashes, counts)
+            inserted.clear()
             data = np.packbits(bits).tobytes()
             row = pa.RecordBatch.from_arrays(
                 [pa.array([key[0]], pa.int64()), pa.array([data], pa.binary()), pa.array([again], pa.int64()), pa.array([pairs_], pa.int64())],
@@ -221,9 +241,6 @@ def segments(lists: DataFrame, parts: int, pair_from: int) -> DataFrame:
                     held = []
                     if segment != key[0]:
                         yield bit_row()
-                        bits = None
-                if bits is None:
-                    bits = np.zeros(1 << FILTER_BITS - SEGMENT_BITS, np.uint8)
                 key = now
                 held.append(tuple(lists_))
         if held:
@@ -236,7 +253,9 @@ def segments(lists: DataFrame, parts: int, pair_from: int) -> DataFrame:
 
 @dataclass(frozen=True)
 class Model:
-    filter_bytes: np.ndarray
+    filter_bytes: np.ndarray | None  # None if too large to be sent
+    starts: np.ndarray | None  # bits where segments begin
+    top: int  # the largest level
     words: np.ndarray  # sorted hashes of frequent words
     counts: np.ndarray
     total: int  # N
@@ -244,16 +263,20 @@ class Model:
     again: float  # part of pairs whose pair occurs again
 
 
-def learn(training: DataFrame, smoothing: Smoothing = Smoothing()) -> tuple[Model, DataFrame]:
-    """The model, and the exact counts (``hash``, ``count``) of the words that it does not hold."""
+def learn(training: DataFrame, smoothing: Smoothing = Smoothing()) -> tuple[Model, DataFrame, DataFrame]:
+    """The model, the exact counts (``hash``, ``count``) of the words that it does not hold, and the filter (``segment``, ``bits``)."""
     characters = training.agg(F.sum(F.length("text_"))).first()[0] or 0
     parts = max(0, math.ceil(math.log2(max(characters, 1) / 4 / LIST_LENGTH)) - SEGMENT_BITS)
     built = stored(segments(count_lists(training, parts), parts, smoothing.pair_from), "segments")
-    out = np.zeros((1 << SEGMENT_BITS, 1 << FILTER_BITS - SEGMENT_BITS - 3), np.uint8)
-    n_pairs = n_again = 0
-    for row in built.where("bits is not null").toLocalIterator():
-        out[row.segment] = np.frombuffer(row.bits, np.uint8)
-        n_pairs, n_again = n_pairs + row["count"], n_again + row["hash"]
+    filled = built.where("bits is not null")
+    total = filled.agg(F.sum("count").alias("pairs"), F.sum("hash").alias("again"), F.sum(F.length("bits")).alias("bytes")).first()
+    filter_bytes = starts = None
+    if (total.bytes or 0) * 8 <= 1 << FILTER_BITS:
+        parts_ = [b"\0"] * (1 << SEGMENT_BITS)
+        for row in filled.select("segment", "bits").toLocalIterator():
+            parts_[row.segment] = bytes(row.bits)
+        starts = np.cumsum([0, *map(len, parts_)]) * 8
+        filter_bytes = np.frombuffer(b"".join(parts_), np.uint8)
     counts = built.where("bits is null").select("hash", "count")
     sizes = counts.groupBy(F.length(F.bin("count")).alias("digits")).agg(
         F.count("*").alias("words"), F.sum("count").alias("total")
@@ -266,13 +289,17 @@ def learn(training: DataFrame, smoothing: Smoothing = Smoothing()) -> tuple[Mode
     frequent = counts.where(F.col("count") >= floor).toArrow()
     words = frequent.column("hash").to_numpy().view(np.uint64)
     order = np.argsort(words)
-    model = Model(out.reshape(-1), words[order], frequent.column("count").to_numpy()[order],
-                  sum(r.total for r in sizes), sum(r.words for r in sizes), n_again / max(n_pairs, 1))
-    return model, counts.where(F.col("count") < floor)
+    # No pair occurs more often than its first word.
+    model = Model(filter_bytes, starts, max((r.digits for r in sizes), default=0), words[order], frequent.column("count").to_numpy()[order],
+                  sum(r.total for r in sizes), sum(r.words for r in sizes), (total.again or 0) / max(total.pairs or 0, 1))
+    return model, counts.where(F.col("count") < floor), filled.select("segment", "bits")
 
 
-def score_texts(texts: pa.Array, model: Model, smoothing: Smoothing) -> dict[str, np.ndarray | list]:
-    """Per text: tokens, known ones and base score as far as the model's words go, the score, and its other words."""
+def score_texts(
+    texts: pa.Array, model: Model, smoothing: Smoothing, levels_of: Callable[[np.ndarray], np.ndarray],
+) -> dict[str, np.ndarray | list]:
+    """Per text: tokens, known ones and base score as far as the model's words go, the score, and its other words;
+    ``levels_of`` reads the filter."""
     hashes, counts = tokens(texts)
     text = np.repeat(np.arange(len(texts)), counts)
     distinct, back = np.unique(hashes, return_inverse=True)
@@ -283,11 +310,11 @@ def score_texts(texts: pa.Array, model: Model, smoothing: Smoothing) -> dict[str
     else:
         exact = np.full(len(hashes), -1)
     base = np.bincount(text, np.where(exact >= 0, np.log10((np.maximum(exact, 0) + ADD) / norm), 0.0), len(texts))
-    single = value(read_levels(model.filter_bytes, distinct))[back]
+    single = value(levels_of(distinct))[back]
     probability = np.minimum((single + ADD) / norm, 1.0)
     pair, at = pairs(hashes, counts)
     context = single[at - 1]
-    seen = np.minimum(value(read_levels(model.filter_bytes, pair)), context)
+    seen = np.minimum(value(levels_of(pair)), context)
     weight = model.again * context / (context + smoothing.kappa)
     probability[at] = weight * seen / np.maximum(context, 1) + (1 - weight) * probability[at]
     other = np.flatnonzero(exact < 0)
@@ -303,27 +330,110 @@ def score_texts(texts: pa.Array, model: Model, smoothing: Smoothing) -> dict[str
     }
 
 
+def asked_of(texts: pa.Array) -> np.ndarray:
+    """The distinct n-grams of some texts, sorted, and so by segment."""
+    hashes, counts = tokens(texts)
+    return np.unique(np.concatenate([hashes, pairs(hashes, counts)[0]]))
+
+
+def answered(docs: DataFrame, filled: DataFrame, top: int, id_type: str) -> DataFrame:
+    """The rows in slices, each after the levels of its n-grams (``data``, by segment): a slice sends every segment what it asks."""
+
+    def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        task = TaskContext.get().partitionId()
+        for number, part in enumerate(slices(batches, "text_", SCORED_BYTES)):
+            asked, key = asked_of(part.column("text_")), (task << 32) + number
+            segment = segment_of(asked)
+            starts = np.flatnonzero(np.r_[True, segment[1:] != segment[:-1]])
+            n, m = len(starts), part.num_rows
+            data = [asked[a:b].tobytes() for a, b in zip(starts, np.r_[starts[1:], len(asked)])]
+            for columns in (
+                [pa.array(segment[starts]), pa.array(data, pa.binary()), *[pa.nulls(n, part.column(c).type) for c in range(3)]],
+                [pa.array(np.full(m, 1 << SEGMENT_BITS)), pa.nulls(m, pa.binary()), *part.columns],
+            ):
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(np.full(len(columns[0]), key)), *columns], names=["slice", "segment", "data", "id", "held_out", "text_"],
+                )
+
+    def answer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, bits, starts = None, None, None
+        for batch in batches:
+            out = []
+            for slice_, segment, data in zip(*[batch.column(c).to_pylist() for c in ("slice", "segment", "data")]):
+                if slice_ is None:
+                    now, bits = segment, np.frombuffer(data, np.uint8)
+                    starts = np.where(np.arange((1 << SEGMENT_BITS) + 1) > segment, len(bits) * 8, 0)
+                    continue
+                hashes = np.frombuffer(data, np.uint64)
+                levels = read_levels(bits, hashes, starts, top) if now == segment else np.zeros(len(hashes))
+                out.append((slice_, segment, levels.astype(np.uint8).tobytes()))
+            if out:
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(c, t) for c, t in zip(zip(*out), (pa.int64(), pa.int64(), pa.binary()))], names=["slice", "segment", "data"],
+                )
+
+    texts = f"id {id_type}, held_out boolean, text_ binary"
+    rows = stored(arrow_map(docs, ask, f"slice long, segment long, data binary, {texts}"), "asked")
+    questions = rows.where("data is not null").select("slice", "segment", "data")
+    bits = filled.select(F.lit(None).cast("long").alias("slice"), "segment", F.col("bits").alias("data"))
+    dealt = bits.unionByName(questions).repartition("segment").sortWithinPartitions("segment", F.asc_nulls_first("slice"))
+    answers = arrow_map(dealt, answer, "slice long, segment long, data binary")
+    whole = answers.unionByName(rows.where("data is null"), allowMissingColumns=True)
+    return whole.repartition("slice").sortWithinPartitions("slice", "segment")
+
+
 def score(docs: DataFrame, in_training: Column, smoothing: Smoothing = Smoothing(), id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
     """The id column, ``held_out``, ``n_tokens``, ``n_known``, ``train_tokens``, ``base_score`` and ``score`` of every row."""
     spark = docs.sparkSession
     trained = F.coalesce(in_training, F.lit(False))
-    model, rare = learn(docs.where(trained).select(as_bytes(text_column).alias("text_")), smoothing)
-    shared = spark.sparkContext.broadcast(model)  # 32 MB of filter, and 16 bytes for each of TABLE_WORDS words
+    model, rare, filled = learn(docs.where(trained).select(as_bytes(text_column).alias("text_")), smoothing)
+    shared = spark.sparkContext.broadcast(model)  # 128 MB of filter at most, and 16 bytes for each of TABLE_WORDS words
+
+    def scored(part: pa.RecordBatch, levels_of: Callable[[np.ndarray], np.ndarray]) -> pa.RecordBatch:
+        r = score_texts(part.column("text_"), shared.value, smoothing, levels_of)
+        lists = [pa.ListArray.from_arrays(pa.array(r["bounds"].astype(np.int32)), pa.array(r[c])) for c in ("hashes", "times")]
+        return pa.RecordBatch.from_arrays(
+            [part.column("id"), part.column("held_out"), *[pa.array(r[c]) for c in ("n_tokens", "known", "base", "score")], *lists],
+            names=["id", "held_out", "n_tokens", "known", "base", "score", "hashes", "times"],
+        )
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in slices(batches, "text_"):
-            r = score_texts(part.column("text_"), shared.value, smoothing)
-            lists = [pa.ListArray.from_arrays(pa.array(r["bounds"].astype(np.int32)), pa.array(r[c])) for c in ("hashes", "times")]
-            yield pa.RecordBatch.from_arrays(
-                [part.column(0), part.column(1), pa.array(r["n_tokens"]), pa.array(r["known"]), pa.array(r["base"]), pa.array(r["score"]), *lists],
-                names=["id", "held_out", "n_tokens", "known", "base", "score", "hashes", "times"],
-            )
+        for part in slices(batches, "text_", SCORED_BYTES):
+            held = shared.value
+            yield scored(part, lambda hashes: read_levels(held.filter_bytes, hashes, held.starts, held.top))
+
+    def run_answered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, levels, texts = None, [], []
+
+        def close():
+            part = pa.Table.from_batches(texts).combine_chunks().to_batches()[0]
+            asked, read_ = asked_of(part.column("text_")), np.concatenate(levels).astype(np.int64)
+            return scored(part, lambda hashes: read_[np.searchsorted(asked, hashes)])
+
+        for batch in batches:
+            slice_ = batch.column("slice").to_numpy()
+            starts = np.flatnonzero(np.r_[True, slice_[1:] != slice_[:-1]])[: len(slice_)]
+            for a, b in zip(starts.tolist(), [*starts[1:].tolist(), len(slice_)]):
+                if key != slice_[a]:
+                    if texts:
+                        yield close()
+                    key, levels, texts = slice_[a], [], []
+                run_ = batch.slice(a, b - a)
+                answers = run_.filter(run_.column("data").is_valid())
+                levels += [np.frombuffer(x, np.uint8) for x in answers.column("data").to_pylist()]
+                if answers.num_rows < run_.num_rows:
+                    texts.append(run_.filter(run_.column("data").is_null()).select(["id", "held_out", "text_"]))
+        if texts:
+            yield close()
 
     id_type = docs.schema[id_column].dataType.simpleString()
-    rows = stored(arrow_map(
-        docs.select(F.col(id_column).alias("id"), (~trained).alias("held_out"), as_bytes(text_column).alias("text_")), run,
-        f"id {id_type}, held_out boolean, n_tokens long, known long, base double, score double, hashes array<long>, times array<long>",
-    ).withColumn("row", F.monotonically_increasing_id()), "scored")
+    read_from = docs.select(F.col(id_column).alias("id"), (~trained).alias("held_out"), as_bytes(text_column).alias("text_"))
+    schema = f"id {id_type}, held_out boolean, n_tokens long, known long, base double, score double, hashes array<long>, times array<long>"
+    if model.filter_bytes is not None:
+        levelled = arrow_map(read_from, run, schema)
+    else:
+        levelled = arrow_map(answered(read_from, filled, model.top, id_type), run_answered, schema)
+    rows = stored(levelled.withColumn("row", F.monotonically_increasing_id()), "scored")
     norm = model.total + ADD * (model.distinct + 1)
     open_words = rows.select("row", F.explode(F.arrays_zip("hashes", "times")).alias("w")).select(
         "row", F.col("w.hashes").alias("hash"), F.col("w.times").alias("times")
