@@ -244,6 +244,21 @@ def test_scores_do_not_depend_on_how_the_filter_is_read(spark, data_dir, hard, m
         assert rows[0] == rows[bloomlm.FILTER_BITS] and len(rows[0]) == docs.count()
 
 
+def test_pairs_seen_once_raise_the_score(spark):
+    """Two texts of the same words: the pairs of one occur once in training, those of the other never."""
+    rnd = random.Random(5)
+    words = [f"w{i}" for i in range(200)]
+    trained = [" ".join(rnd.sample(words, 40)) for _ in range(20)]
+    seen = {p for t in trained for p in zip(t.split(), t.split()[1:])}
+    new = trained[0].split()
+    while any(p in seen for p in zip(new, new[1:])):
+        rnd.shuffle(new)
+    rows = [(i, t, True) for i, t in enumerate(trained)] + [(100, trained[0], False), (101, " ".join(new), False)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, fits boolean")
+    scores = {r.doc_id: r.score for r in bloomlm.score(docs, F.col("fits")).collect()}
+    assert scores[100] > scores[101] + 4
+
+
 def sets_of(docs):
     out = []
     for i, t in docs:

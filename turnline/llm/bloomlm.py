@@ -7,14 +7,14 @@ missing, and so learns the level, never too low and rarely too high.  The filter
 4,096 segments; an n-gram belongs to one, so each segment is counted and filled by one
 task, from lists that every reading task has counted before.  A segment gets its bits
 from the levels counted in it, so that a level that is not there is read with a chance
-of ``FALSE`` whatever the corpus; nothing is left out but pairs that occur less than
-``pair_from`` times.  A filter of at most 2^``FILTER_BITS`` bits (128 MB) is broadcast; a
+of ``FALSE`` whatever the corpus; every word and every pair is put in.  A filter of at most 2^``FILTER_BITS`` bits (128 MB) is broadcast; a
 larger one stays in its segments, and what the texts ask is shuffled to them and back.
 
-A word's probability is interpolated: w * pair / context + (1 - w) * p(word), with p(word) =
-(count + 0.1) / (N + 0.1 (V + 1)) and all counts read from the filter.  The weight w is
-r * context / (context + kappa), where r is the part of the corpus' pairs whose pair occurs
-again: what Good and Turing expect of a pair to come.
+A word's probability is interpolated: w * pair / context + (1 - w * k) * p(word), with p(word) =
+(count + 0.1) / (N + 0.1 (V + 1)), w = context / (context + kappa) and all counts read from
+the filter.  A pair that occurs once counts 1 - D, where D = n1 / (n1 + 2 n2) (n1 and n2 are the
+distinct pairs that occur once and twice); k = 1 - D n1 / (all pairs) is what the pairs keep of
+their mass on average, and p(word) gets the rest.
 
 The base score uses exact counts.  Those of the most frequent words (at most
 ``TABLE_WORDS``) are broadcast; all rarer words are joined by hash.
@@ -56,7 +56,7 @@ ODD = np.uint64(0x9E3779B97F4A7C15)
 
 @dataclass(frozen=True)
 class Smoothing:
-    pair_from: int = 2
+    pair_from: int = 1
     kappa: float = 4.0
 
 
@@ -192,17 +192,17 @@ def merged(rows: list[tuple]) -> tuple[np.ndarray, np.ndarray]:
 
 
 def segments(lists: DataFrame, parts: int, pair_from: int) -> DataFrame:
-    """Per segment: its bits, in packed form, with the number of pairs that occur again (as hash) and of all pairs (as
-    count); and the exact counts of its words."""
+    """Per segment: its bits, in packed form, with the number of pairs that occur again (as hash), of all pairs (as
+    count) and of distinct pairs that occur twice; and the exact counts of its words."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple] = []
         inserted: list[tuple[np.ndarray, np.ndarray]] = []
         key = None
-        pairs_, again = 0, 0
+        pairs_, again, twice = 0, 0, 0
 
         def close():
-            nonlocal pairs_, again
+            nonlocal pairs_, again, twice
             hashes, counts = merged(held)
             if key[2] == 1:
                 inserted.append((hashes, counts))
@@ -210,26 +210,27 @@ def segments(lists: DataFrame, parts: int, pair_from: int) -> DataFrame:
             else:
                 inserted.append((hashes[counts >= pair_from], counts[counts >= pair_from]))
                 pairs_, again = pairs_ + int(counts.sum()), again + int(counts[counts > 1].sum())
+                twice += int((counts == 2).sum())
 
         def bit_row():
-            nonlocal pairs_, again
+            nonlocal pairs_, again, twice
             hashes, counts = (np.concatenate(c) for c in zip(*inserted))
             bits = np.zeros(segment_bytes(int(level(counts).sum())) * 8, np.uint8)
             fill(bits, hashes, counts)
             inserted.clear()
             data = np.packbits(bits).tobytes()
             row = pa.RecordBatch.from_arrays(
-                [pa.array([key[0]], pa.int64()), pa.array([data], pa.binary()), pa.array([again], pa.int64()), pa.array([pairs_], pa.int64())],
-                names=["segment", "bits", "hash", "count"],
+                [pa.array([key[0]], pa.int64()), pa.array([data], pa.binary()), *[pa.array([n], pa.int64()) for n in (again, pairs_, twice)]],
+                names=["segment", "bits", "hash", "count", "twice"],
             )
-            pairs_, again = 0, 0
+            pairs_, again, twice = 0, 0, 0
             return row
 
         def word_rows(hashes, counts):
             n = len(hashes)
             return pa.RecordBatch.from_arrays(
-                [pa.nulls(n, pa.int64()), pa.nulls(n, pa.binary()), pa.array(hashes.view(np.int64)), pa.array(counts)],
-                names=["segment", "bits", "hash", "count"],
+                [pa.nulls(n, pa.int64()), pa.nulls(n, pa.binary()), pa.array(hashes.view(np.int64)), pa.array(counts), pa.nulls(n, pa.int64())],
+                names=["segment", "bits", "hash", "count", "twice"],
             )
 
         for batch in batches:
@@ -248,7 +249,7 @@ def segments(lists: DataFrame, parts: int, pair_from: int) -> DataFrame:
             yield bit_row()
 
     dealt = lists.withColumn("segment", F.shiftright("list", parts)).repartition("segment").sortWithinPartitions("segment", "list", "kind")
-    return arrow_map(dealt, run, "segment long, bits binary, hash long, count long")
+    return arrow_map(dealt, run, "segment long, bits binary, hash long, count long, twice long")
 
 
 @dataclass(frozen=True)
@@ -260,7 +261,8 @@ class Model:
     counts: np.ndarray
     total: int  # N
     distinct: int  # V
-    again: float  # part of pairs whose pair occurs again
+    discount: float  # D, of a pair that occurs once
+    kept: float  # k
 
 
 def learn(training: DataFrame, smoothing: Smoothing = Smoothing()) -> tuple[Model, DataFrame, DataFrame]:
@@ -269,9 +271,12 @@ def learn(training: DataFrame, smoothing: Smoothing = Smoothing()) -> tuple[Mode
     parts = max(0, math.ceil(math.log2(max(characters, 1) / 4 / LIST_LENGTH)) - SEGMENT_BITS)
     built = stored(segments(count_lists(training, parts), parts, smoothing.pair_from), "segments")
     filled = built.where("bits is not null")
-    total = filled.agg(F.sum("count").alias("pairs"), F.sum("hash").alias("again"), F.sum(F.length("bits")).alias("bytes")).first()
+    total = filled.agg(*[F.coalesce(F.sum(c), F.lit(0)).alias(n) for c, n in (
+        (F.col("count"), "pairs"), (F.col("hash"), "again"), (F.col("twice"), "twice"), (F.length("bits"), "bytes"))]).first()
+    once = total.pairs - total.again
+    discount = once / max(once + 2 * total.twice, 1)
     filter_bytes = starts = None
-    if (total.bytes or 0) * 8 <= 1 << FILTER_BITS:
+    if total.bytes * 8 <= 1 << FILTER_BITS:
         parts_ = [b"\0"] * (1 << SEGMENT_BITS)
         for row in filled.select("segment", "bits").toLocalIterator():
             parts_[row.segment] = bytes(row.bits)
@@ -291,7 +296,7 @@ def learn(training: DataFrame, smoothing: Smoothing = Smoothing()) -> tuple[Mode
     order = np.argsort(words)
     # No pair occurs more often than its first word.
     model = Model(filter_bytes, starts, max((r.digits for r in sizes), default=0), words[order], frequent.column("count").to_numpy()[order],
-                  sum(r.total for r in sizes), sum(r.words for r in sizes), (total.again or 0) / max(total.pairs or 0, 1))
+                  sum(r.total for r in sizes), sum(r.words for r in sizes), discount, 1 - discount * once / max(total.pairs, 1))
     return model, counts.where(F.col("count") < floor), filled.select("segment", "bits")
 
 
@@ -314,9 +319,10 @@ def score_texts(
     probability = np.minimum((single + ADD) / norm, 1.0)
     pair, at = pairs(hashes, counts)
     context = single[at - 1]
-    seen = np.minimum(value(levels_of(pair)), context)
-    weight = model.again * context / (context + smoothing.kappa)
-    probability[at] = weight * seen / np.maximum(context, 1) + (1 - weight) * probability[at]
+    levels = levels_of(pair)
+    seen = np.where(levels == 1, 1 - model.discount, np.minimum(value(levels), context))
+    weight = context / (context + smoothing.kappa)
+    probability[at] = np.minimum(weight * seen / np.maximum(context, 1) + (1 - weight * model.kept) * probability[at], 1.0)
     other = np.flatnonzero(exact < 0)
     order = other[np.lexsort((hashes[other], text[other]))]
     h, t = hashes[order], text[order]
