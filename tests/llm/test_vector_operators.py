@@ -68,6 +68,18 @@ def test_near_vectors_recall(spark, data_dir):
     assert sum(found.values()) >= 0.95 * sum(map(len, links.values()))
 
 
+def test_pairs_at_the_threshold_are_found(spark):
+    """The chance that a pair is missed is largest at the threshold; in 64 dimensions only the two of a pair are near."""
+    rng = np.random.default_rng(8)
+    v, w = rng.standard_normal((2, 3000, 64))
+    v /= np.linalg.norm(v, axis=1)[:, None]
+    w -= (v * w).sum(axis=1)[:, None] * v
+    w *= np.sqrt(1 - 0.9001**2) / np.linalg.norm(w, axis=1)[:, None]
+    rows = [(i, x.tolist()) for i, x in enumerate(np.concatenate([v, 0.9001 * v + w]))]
+    found = simhash.near_vectors(spark.createDataFrame(rows, "vec_id long, embedding array<double>"))
+    assert found.where("n_links = 1").count() >= 0.995 * 6000
+
+
 def exact(vectors, query, k):
     i, v = query
     others = [(float(np.dot(w, v)), j) for j, w in vectors if j != i]

@@ -143,7 +143,7 @@ def links_of(units: DataFrame, threshold: float) -> DataFrame:
 
 
 def near_vectors(
-    vectors: DataFrame, threshold: float = 0.9, recall: float = 0.97, seed: int = 7, block: int = BLOCK,
+    vectors: DataFrame, threshold: float = 0.9, recall: float = 0.999, seed: int = 7, block: int = BLOCK,
     id_column: str = "vec_id", vector_column: str = "embedding",
 ) -> DataFrame:
     """The id column, ``n_links``, ``component_id`` and ``kept`` of every row."""
