@@ -112,3 +112,17 @@ def test_neighbours_of_hard_rows(spark, hard):
     copies = sorted((r.rank, r.vec_id) for r in rows if r.query_id == 100)
     assert [j for _, j in copies][:3] != [100, 100, 100] and 100 not in [j for _, j in copies]
     assert graph.nearest(hard.limit(0), F.col("id") % 20 == 0).count() == 0
+
+
+def test_neighbours_of_mixed_lengths(spark):
+    """A stray vector in front drops nobody; every length is searched by itself."""
+    rng = np.random.default_rng(6)
+    rows = [(1, [1.0, 2.0])] + [(2 + i, rng.standard_normal(3 if i % 3 else 8).tolist()) for i in range(90)]
+    frame = spark.createDataFrame(rows, "vec_id long, embedding array<double>").coalesce(1)
+    found = {}
+    for r in graph.nearest(frame, F.col("id") % 10 < 2, k=5, shard=40).collect():
+        found.setdefault(r.query_id, []).append((r.rank, r.vec_id))
+    for i, v in [x for x in rows if x[0] % 10 < 2 and x[0] > 1]:
+        same = [(j, w) for j, w in rows if len(w) == len(v)]
+        assert [j for _, j in sorted(found[i])] == [j for _, j in exact(same, (i, v), 5)]
+    assert 1 not in found  # nothing else is as long

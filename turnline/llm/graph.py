@@ -1,6 +1,6 @@
 """Approximate nearest neighbours by robust-pruned directed graphs, one per shard.
 
-Vectors are dealt out to shards of about ``SHARD`` by hash.  Within a shard a graph is
+Vectors of a length are dealt out to shards of about ``SHARD`` by hash.  Within a shard a graph is
 built in growing batches: a greedy search from the middle of the shard proposes the
 neighbours of each new vector, relaxed distance pruning keeps a diverse few of them,
 and the reverse edges are added and pruned likewise.  Queries, in blocks, are searched
@@ -10,8 +10,9 @@ The largest inner product is found as the least distance after one more componen
 makes all vectors of a shard equally long.  Scores are inner products of the original
 vectors in double precision.  Equal vectors are one node with its ``k + 1`` least ids,
 which is all that a result can show.  Vectors that are null, zero or hold null or
-non-finite components, rows without an id, and vectors of another length than the first
-row's take no part.  Every valid row is indexed; nothing is sampled.
+non-finite components, and rows without an id take no part.  Vectors of each length have
+shards of their own and are neighbours of none but each other.  Every valid row is indexed;
+nothing is sampled.
 """
 
 from __future__ import annotations
@@ -153,8 +154,8 @@ def pack(array: np.ndarray) -> bytes:
     return np.ascontiguousarray(array).tobytes()
 
 
-def build_shards(nodes: DataFrame, shards: int) -> DataFrame:
-    """A row per shard: vectors, edges, start, and the ids of each node."""
+def build_shards(nodes: DataFrame, shards: DataFrame) -> DataFrame:
+    """A row per shard: vectors, edges, start, and the ids of each node; ``shards`` has their number by ``dimension``."""
 
     def run(key, table):
         table = table.sort_by("node")
@@ -162,7 +163,7 @@ def build_shards(nodes: DataFrame, shards: int) -> DataFrame:
         edges, start = build_graph(lifted(v))
         ids = table.column("ids").combine_chunks()
         return pa.table({
-            "shard": pa.array([key[0].as_py()], pa.int32()), "n": pa.array([len(v)], pa.int32()),
+            "dimension": pa.array([key[0].as_py()], pa.int32()), "shard": pa.array([key[1].as_py()], pa.int32()), "n": pa.array([len(v)], pa.int32()),
             "start": pa.array([start], pa.int32()), "vectors": pa.array([pack(v)], pa.binary()),
             "edges": pa.array([pack(edges.astype(np.int32))], pa.binary()),
             "id_counts": pa.array([pack(ids.value_lengths().to_numpy().astype(np.int64))], pa.binary()),
@@ -170,18 +171,18 @@ def build_shards(nodes: DataFrame, shards: int) -> DataFrame:
         })
 
     # A shard's hash is uniform, so its size is bounded; the order within it fixes the graph.
-    placed = nodes.withColumn("shard", F.pmod(F.xxhash64("node", F.lit(11)), F.lit(shards)).cast("int"))
-    return placed.groupBy("shard").applyInArrow(
-        run, "shard int, n int, start int, vectors binary, edges binary, id_counts binary, ids binary"
+    placed = nodes.join(F.broadcast(shards), "dimension").withColumn("shard", F.pmod(F.xxhash64("node", F.lit(11)), "shards").cast("int"))
+    return placed.groupBy("dimension", "shard").applyInArrow(
+        run, "dimension int, shard int, n int, start int, vectors binary, edges binary, id_counts binary, ids binary"
     )
 
 
-def search_shards(index: DataFrame, queries: DataFrame, shards: int, k: int, beam: int) -> DataFrame:
+def search_shards(index: DataFrame, queries: DataFrame, shards: DataFrame, k: int, beam: int) -> DataFrame:
     """The ``k`` best of every shard for every query: ``query_id``, ``vec_id``, ``score``."""
 
     def block(key, table):
         return pa.table({
-            "ids": pa.array([pack(table.column("id").to_numpy().astype(np.int64))], pa.binary()),
+            "dimension": pa.array([key[0].as_py()], pa.int32()), "ids": pa.array([pack(table.column("id").to_numpy().astype(np.int64))], pa.binary()),
             "queries": pa.array([pack(matrix(table.column("vector").combine_chunks()))], pa.binary()),
         })
 
@@ -210,10 +211,11 @@ def search_shards(index: DataFrame, queries: DataFrame, shards: int, k: int, bea
 
     n_blocks = max(1, math.ceil(queries.count() / QUERY_BLOCK))
     dealt = queries.withColumn("block", F.pmod(F.xxhash64("id", F.lit(5)), F.lit(n_blocks)))
-    blocks = dealt.groupBy("block").applyInArrow(block, "ids binary, queries binary").select(
-        F.col("ids").alias("query_ids"), "queries", F.explode(F.sequence(F.lit(0), F.lit(shards - 1))).alias("shard")
-    )
-    work = blocks.join(index, "shard").repartition(min(shards * n_blocks, 4096), F.xxhash64("query_ids", "shard"))
+    blocks = dealt.groupBy("dimension", "block").applyInArrow(block, "dimension int, ids binary, queries binary").join(
+        F.broadcast(shards), "dimension"
+    ).select("dimension", F.col("ids").alias("query_ids"), "queries", F.explode(F.sequence(F.lit(0), F.col("shards") - 1)).alias("shard"))
+    every = shards.agg(F.sum("shards")).first()[0] or 1
+    work = blocks.join(index, ["dimension", "shard"]).repartition(min(every * n_blocks, 4096), F.xxhash64("query_ids", "shard"))
     return arrow_map(work, run, "query_id long, vec_id long, score double")
 
 
@@ -222,15 +224,14 @@ def nearest(
     id_column: str = "vec_id", vector_column: str = "embedding",
 ) -> DataFrame:
     """``query_id``, ``rank``, ``vec_id`` and ``score`` of the ``k`` largest inner products found for every query row."""
-    rows = named(vectors, id_column, vector_column)
-    first = rows.select(F.size("vector")).head()
-    rows = rows.where(F.size("vector") == (first[0] if first else 0))
+    rows = named(vectors, id_column, vector_column).withColumn("dimension", F.size("vector"))
     # Of equal vectors only the least ids can be seen in a result; the window keeps no more than those per task.
     ranked = rows.withColumn("nth", F.row_number().over(Window.partitionBy("node").orderBy("id"))).where(F.col("nth") <= k + 1)
-    nodes = stored(ranked.groupBy("node").agg(F.first("vector").alias("vector"), F.sort_array(F.collect_list("id")).alias("ids")), "vectors")
-    shards = max(1, math.ceil(nodes.count() / shard))
+    nodes = stored(ranked.groupBy("node", "dimension").agg(F.first("vector").alias("vector"), F.sort_array(F.collect_list("id")).alias("ids")), "vectors")
+    # One row per length.
+    shards = stored(nodes.groupBy("dimension").agg(F.ceil(F.count("*") / shard).cast("int").alias("shards")), "shards")
     index = stored(build_shards(nodes, shards), "index")
-    asked = rows.where(is_query).select("id", "vector").distinct()
+    asked = rows.where(is_query).select("id", "vector", "dimension").distinct()
     found = search_shards(index, asked, shards, k, beam)
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return found.select("query_id", F.row_number().over(order).cast("int").alias("rank"), "vec_id", "score").where(F.col("rank") <= k)
