@@ -126,3 +126,23 @@ def test_neighbours_of_mixed_lengths(spark):
         same = [(j, w) for j, w in rows if len(w) == len(v)]
         assert [j for _, j in sorted(found[i])] == [j for _, j in exact(same, (i, v), 5)]
     assert 1 not in found  # nothing else is as long
+
+
+def test_neighbours_recall_of_two_full_shards(spark):
+    """32,700 vectors of the check's large table: two shards, whose results are merged."""
+    frame = read(spark, "/root/testdata/check_l", "embeddings").orderBy("vec_id").limit(32_700).localCheckpoint()
+    found = {}
+    for r in graph.nearest(frame, F.col("id") % 20 == 0, k=20).collect():
+        found.setdefault(r.query_id, set()).add(r.vec_id)
+    vectors = valid(frame)
+    ids, every = np.array([i for i, _ in vectors]), np.stack([v for _, v in vectors])
+    assert graph.SHARD < len({v.tobytes() for _, v in vectors}) <= 2 * graph.SHARD
+    hits = total = 0
+    for i, v in vectors:
+        if i % 20 == 0:
+            score = np.where(ids == i, -INF, every @ v)
+            near = np.argpartition(-score, 200)[:200]
+            best = near[np.lexsort((ids[near], -score[near]))[:20]]
+            hits, total = hits + len(found[i] & set(ids[best].tolist())), total + 20
+    print(f"recall {hits / total:.4f} of {total // 20} queries, {len(vectors)} vectors")
+    assert hits >= 0.9 * total
