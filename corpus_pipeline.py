@@ -44,7 +44,7 @@ STAGES = [
     ("byte_bpe", encode),
 ]
 
-#: SQL can express neither the classifier nor the encoder; tests hold the stages against brute force.
+#: SQL can express neither the classifier nor the encoder; tests hold the stages after the first against plain Python.
 ORACLE_SQL = None
 
 

@@ -1,10 +1,18 @@
 """The stages on what the one before kept."""
 
+import hashlib
+import re
+from collections import Counter
+
+import numpy as np
+import public_tokenizers
+import tiktoken
 from compare import connect  # noqa: F401
 from pyspark.sql import functions as F
+from test_text_operators import RANKS, components, sets_of, texts
 
 import corpus_pipeline
-from turnline.llm import toxicity
+from turnline.llm import bpe, mixing, toxicity
 from turnline.llm.common import read
 from turnline.llm.queries import byte_bpe, toxicity_weights
 
@@ -23,3 +31,43 @@ def test_stages_take_effect_and_keep_the_columns(spark):
     rows = corpus_pipeline.run(spark, data_dir)
     assert rows.columns == byte_bpe(docs).columns
     assert sorted(r.doc_id for r in rows.collect()) == sorted(r.doc_id for r in mixed.collect())
+
+
+def mixed_ids(rows, mix=mixing.Mix()):
+    """How often each id is taken, from (id, source, text): budgets of whole copies, and of one more up to the first that does not fit."""
+    key = lambda i, s: int(hashlib.md5(f"mix|{s}|{i}".encode()).hexdigest()[:15], 16)
+    sources = {}
+    for i, s, t in rows:
+        sources.setdefault(s, []).append((key(i, s), len(re.findall(r"[^\x20\x09-\x0D]+", t)), i))
+    totals = [sum(n for _, n, _ in found) for found in sources.values()]
+    weights = mixing.weights_at(totals, mixing.solve_exponent(totals, mix))
+    out = Counter()
+    for found, total, weight in zip(sources.values(), totals, weights):
+        copies, left = divmod(int(weight * sum(totals)), total)
+        fits = True
+        for _, n, i in sorted(found):
+            fits, left = fits and n <= left, left - n
+            out[i] += copies + fits
+    return +out
+
+
+def test_stages_keep_what_plain_python_keeps(spark):
+    data_dir = "/root/testdata/sf0.001"
+    clean = corpus_pipeline.drop_toxic(spark, read(spark, data_dir, "documents"), data_dir).localCheckpoint()
+    single = corpus_pipeline.drop_near_duplicates(spark, clean, data_dir).localCheckpoint()
+    least = {i for i, n, least in components(sets_of(texts(clean))) if not n or i == least or least is None}
+    assert sorted(r.doc_id for r in single.collect()) == sorted(least) and len(least) < clean.count()
+    rows = [(r.doc_id, r.source, r.text or "") for r in single.collect()]
+    expected = mixed_ids(sorted(rows, key=lambda r: r[1]))
+    mixed = corpus_pipeline.mix_sources(spark, single, data_dir)
+    assert Counter(r.doc_id for r in mixed.collect()) == expected
+    even = mixing.Mix(target_entropy=1.0)  # some sources are cut, some repeated
+    cut = mixed_ids(sorted(rows, key=lambda r: r[1]), even)
+    assert Counter(r.doc_id for r in mixing.mixed(single, even).collect()) == cut and max(cut.values()) > 1 and len(cut) < len(rows)
+    ranks = bpe.WordCoder(bpe.read_ranks(RANKS)).ranks
+    coding = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+    digest = {i: (hashlib.sha256(np.array(coding.encode_ordinary(t), "<u4").tobytes()).hexdigest(), hashlib.sha256(t.encode()).hexdigest())
+              for i, _, t in rows}
+    out = corpus_pipeline.run(spark, data_dir).collect()
+    assert Counter(r.doc_id for r in out) == expected
+    assert all((r.ids_sha256, r.decoded_sha256) == digest[r.doc_id] for r in out)
