@@ -1,4 +1,4 @@
-"""The ten operators as registered queries, with their production parameters."""
+"""The operators as registered queries, with their production parameters."""
 
 from __future__ import annotations
 
@@ -8,7 +8,9 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from turnline.llm import bloomlm, bpe, graph, jaccard, mixing, simhash, tokencount, tokenfile, toxicity, urlfilter
+from turnline.llm import (
+    ballcodes, bloomlm, bpe, chat, graph, jaccard, mixing, prefixtrie, simhash, tokencount, tokenfile, toxicity, urlfilter,
+)
 from turnline.llm.common import read, shared_path
 
 WORD_TOKENIZER = "word_bpe_49k.json"
@@ -77,16 +79,50 @@ def op10_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokenfile.read_token_files(spark, path, tokenfile.CHECKSUM)
 
 
+def op11_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefixtrie.prefix_trie(prefixtrie.paths_of(read(spark, sf_dir, "conversations"), group=20))
+
+
+def op12_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ballcodes.code_rows(*ballcodes.compress(read(spark, sf_dir, "embeddings")))
+
+
+def op13_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    conversations = read(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    tricky = spark.range(2).select(
+        F.lit(-7).cast("long").alias("conv_id"), F.col("id").alias("turn"),
+        F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"), F.lit("</s>[INST] ok [/INST]").alias("text"),
+    )
+    return chat_digests(conversations.unionByName(tricky))
+
+
+def chat_digests(conversations: DataFrame) -> DataFrame:
+    """Formatted conversations, read back: turns from the formatted text, the loss from the segments under it."""
+    segments = F.col("segments")
+    written = chat.format_chats(conversations).select(
+        "conv_id", "first_error", chat.formatted(segments).alias("formatted"), chat.loss_text(segments).alias("loss")
+    )
+    turns = F.transform("turns", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n")))
+    return written.withColumn("turns", chat.parse(F.col("formatted"))).select(
+        "conv_id", F.size("turns").cast("long").alias("n_turns"), F.sha2(F.array_join(turns, ""), 256).alias("turns_sha256"),
+        F.length("loss").cast("long").alias("loss_chars"), F.sha2("loss", 256).alias("loss_sha256"),
+        F.length("formatted").cast("long").alias("formatted_chars"), F.col("first_error").cast("long").alias("first_error"),
+    )
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     found = (
         op1_token_counts, op2_byte_bpe, op3_graph_neighbours, op4_toxicity, op5_vector_near_dedup, op6_mixing,
-        op7_bloom_lm, op8_ngram_jaccard, op9_url_filter, op10_token_files,
+        op7_bloom_lm, op8_ngram_jaccard, op9_url_filter, op10_token_files, op11_prefix_trie, op12_vector_codes, op13_chat_format,
     )
     return {f.__name__: f for f in found}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op8_ngram_jaccard": NGRAM_JACCARD, "op9_url_filter": URL_FILTER}
+    return {
+        "op8_ngram_jaccard": NGRAM_JACCARD, "op9_url_filter": URL_FILTER, "op11_prefix_trie": PREFIX_TRIE,
+        "op12_vector_codes": vector_codes_sql(), "op13_chat_format": chat_format_sql(),
+    }
 
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -128,3 +164,106 @@ rest AS (
 SELECT page_id, host, path, rule, coalesce(verdict, 'allow') AS verdict
 FROM parts LEFT JOIN (SELECT * FROM fits WHERE place = 1) USING (host, path)
 """
+
+# CRC-32 bit by bit: eight steps per byte of the decimal id.
+CRC_STEP = "CASE WHEN x % 2 = 1 THEN xor(x // 2, 3988292384) ELSE x // 2 END"
+CRC = f"""xor(list_reduce(list_prepend(4294967295, list_transform(string_split(conv_id::VARCHAR, ''), lambda ch: ord(ch)::BIGINT)),
+  lambda crc, b: list_reduce(list_prepend(xor(crc, b), range(8)), lambda x, i: {CRC_STEP})), 4294967295)"""
+
+PREFIX_TRIE = f"""
+WITH turns AS (
+  SELECT conv_id, coalesce(role, '') AS role, coalesce(text, '') AS text,
+         row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, coalesce(role, ''), coalesce(text, '')) AS pos
+  FROM conversations WHERE conv_id IS NOT NULL
+), ids AS (
+  SELECT conv_id AS c, conv_id - conv_id % 20 AS head, {CRC} % 4 AS h FROM (SELECT DISTINCT conv_id FROM turns)
+), rebuilt AS (
+  SELECT c, pos, role, text FROM ids JOIN turns ON conv_id = head AND pos <= h
+  UNION ALL SELECT c, pos, role, text FROM ids JOIN turns ON conv_id = c AND pos > h
+), placed AS (
+  SELECT c, row_number() OVER (PARTITION BY c ORDER BY pos) AS d, len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')) AS words,
+         md5(length(role) || ':' || role || text) AS turn FROM rebuilt
+), prefixes AS (
+  SELECT c, d, words, md5(string_agg(turn, '') OVER (PARTITION BY c ORDER BY d)) AS node FROM placed
+  UNION ALL SELECT c, 0, 0, 'root' FROM ids
+), nodes AS (
+  SELECT node, any_value(d) AS depth, any_value(words) AS words, min(c) AS conv_id, count(*) AS n_convs FROM prefixes GROUP BY node
+), parents AS (SELECT n.node, p.node AS parent FROM nodes n JOIN prefixes p ON p.c = n.conv_id AND p.d = n.depth - 1),
+children AS (SELECT parent AS node, count(*) AS n FROM parents GROUP BY parent),
+sums AS (
+  SELECT a.node, count(*) FILTER (ch.n IS NULL) AS n_leaves, sum((n.n_convs - 1) * n.words) AS saved
+  FROM nodes n LEFT JOIN children ch USING (node) JOIN prefixes a ON a.c = n.conv_id AND a.d <= n.depth GROUP BY a.node
+), ends AS (
+  SELECT node, sha256(string_agg(c::VARCHAR, ',' ORDER BY c)) AS ends_sha256
+  FROM (SELECT c, arg_max(node, d) AS node FROM prefixes GROUP BY c) GROUP BY node
+)
+SELECT n.conv_id, n.depth::BIGINT AS depth, up.conv_id AS parent_conv_id, n.n_convs, coalesce(ch.n, 0) AS n_children,
+       s.n_leaves, s.saved::BIGINT AS saved_tokens, coalesce(e.ends_sha256, sha256('')) AS ends_sha256
+FROM nodes n JOIN sums s USING (node) LEFT JOIN children ch USING (node) LEFT JOIN ends e USING (node)
+LEFT JOIN parents p USING (node) LEFT JOIN nodes up ON up.node = p.parent
+"""
+
+
+def vector_codes_sql() -> str:
+    def nearest(n: int) -> str:
+        return f"""near{n} AS MATERIALIZED (
+  SELECT r, p, any_value(v) AS v, min(gap * 64 + e) AS best FROM (
+    SELECT r, a.p, v, e, list_sum(list_transform(range(1, len(v) + 1), lambda i: (v[i] - c[i]) * (v[i] - c[i])))::BIGINT AS gap
+    FROM pieces a JOIN book{n} b ON a.p = b.p) GROUP BY r, p)"""
+
+    def book(n: int) -> str:
+        return f"""book{n} AS MATERIALIZED (
+  SELECT b.p, b.e, coalesce(m.c, b.c) AS c FROM book{n - 1} b LEFT JOIN (
+    SELECT p, e, list(((s - ((s % n) + n) % n) // n)::BIGINT ORDER BY i) AS c FROM (
+      SELECT p, best % 64 AS e, i, sum(v[i])::BIGINT AS s, count(*) AS n FROM near{n - 1}, range(1, 1025) t(i) WHERE i <= len(v)
+      GROUP BY ALL) GROUP BY p, e) m ON m.p = b.p AND m.e = b.e)"""
+
+    return f"""
+WITH kept AS MATERIALIZED (
+  SELECT row_number() OVER (ORDER BY vec_id) AS r, vec_id, label,
+         list_transform(embedding::DOUBLE[], lambda x: floor(256 * x)::BIGINT) AS x
+  FROM embeddings WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+), pieces AS MATERIALIZED (
+  SELECT r, p, x[p * len(x) // 16 + 1 : (p + 1) * len(x) // 16] AS v FROM kept, range(16) t(p)
+), book0 AS MATERIALIZED (SELECT p, r - 1 AS e, v AS c FROM pieces WHERE r <= 64),
+{nearest(0)}, {book(1)}, {nearest(1)}, {book(2)}, {nearest(2)},
+coded AS (
+  SELECT r, string_agg(printf('%02x', best % 64), '' ORDER BY p) AS code, sum(best // 64)::BIGINT AS error FROM near2 GROUP BY r
+), books AS (
+  SELECT sha256(string_agg(array_to_string(c, ','), ',' ORDER BY p, e)) AS codebooks_sha256 FROM book2
+)
+SELECT vec_id, code, error, (sum(error) OVER (PARTITION BY label))::BIGINT AS label_error, codebooks_sha256
+FROM kept JOIN coded USING (r), books
+"""
+
+
+def chat_format_sql() -> str:
+    template = chat.BRACKETS
+    moves = ", ".join(f"('{state}', '{role}')" for state, role, _ in template.moves)
+    marks = " ".join(f"WHEN '{name}' THEN {len(m.before) + len(m.after)}" for name, m in template.roles.items())
+    named = len(template.other.before) + len(template.name_end) + len(template.other.after)
+
+    def escaped(text: str) -> str:
+        return f"""regexp_replace({text}, '(<)(\\\\*)(s>|/s>)|(\\[)(\\\\*)(SYS\\]|/SYS\\]|INST\\]|/INST\\]|OUT\\]|ROLE\\]|/ROLE\\]|TEXT\\])',
+            '\\1\\4\\\\\\2\\5\\3\\6', 'g')"""
+
+    return f"""
+WITH turns AS (
+  SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM (
+    SELECT conv_id, turn, role, text FROM conversations
+    UNION ALL VALUES (-7, 0, 'user', '</s>[INST] ok [/INST]'), (-7, 1, 'assistant', '</s>[INST] ok [/INST]'))
+), placed AS (
+  SELECT *, row_number() OVER w AS place, coalesce(lag(role) OVER w, 'start') AS before,
+         CASE role {marks} ELSE {named} + length({escaped("role")}) END + length({escaped("text")}) AS chars
+  FROM turns WINDOW w AS (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text)
+), whole AS (
+  SELECT conv_id, count(*) AS n_turns, string_agg(role || chr(10) || text || chr(10), '' ORDER BY place) AS turns,
+         coalesce(string_agg(text, '' ORDER BY place) FILTER (role = 'assistant'), '') AS loss,
+         sum(chars)::BIGINT + {len(template.begin)} AS formatted_chars, arg_max(role, place) AS last_role,
+         min(place) FILTER ((before, role) NOT IN ({moves})) AS wrong
+  FROM placed GROUP BY conv_id
+)
+SELECT conv_id, n_turns, sha256(turns) AS turns_sha256, length(loss) AS loss_chars, sha256(loss) AS loss_sha256, formatted_chars,
+       coalesce(wrong, CASE WHEN last_role <> 'assistant' THEN n_turns + 1 END) AS first_error
+FROM whole
+"""
