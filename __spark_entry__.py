@@ -16,7 +16,9 @@ from oracles.queries import statements  # noqa: E402
 from turnline.functions.clock import epoch_minute  # noqa: E402
 from turnline.operators.filters import FlightFilter  # noqa: E402
 from turnline.operators.rotation import legs_of, rotation_links, with_utc_times  # noqa: E402
-from turnline.plans import analysis, catalog, options, propagation, quality, rankings, views  # noqa: E402
+from turnline.operators import chains  # noqa: E402
+from turnline.operators import compare, increment  # noqa: E402
+from turnline.plans import analysis, catalog, ground, options, propagation, quality, rankings, spans, views  # noqa: E402
 from turnline.schema import FLIGHT_NAMES  # noqa: E402
 from turnline.sources import derived  # noqa: E402
 from turnline.sources.flights_csv import ingest, read_raw, typed_flights, write_raw  # noqa: E402
@@ -121,6 +123,71 @@ def sql_airport_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def last_arrivals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ground.last_arrivals(derived.flights(spark, sf_dir), airports(spark))
+
+
+def carried_delays(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chains.carried_delays(derived.flights(spark, sf_dir), airports(spark))
+
+
+def carried_delay_by_depth(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chains.by_depth(carried_delays(spark, sf_dir))
+
+
+def duty_chains(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spans.duty_chains(spans.leg_spans(derived.flights(spark, sf_dir), airports(spark)))
+
+
+def duty_chains_merged(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Chains of most legs, stored, and then of the legs that came late."""
+    every = spans.leg_spans(derived.flights(spark, sf_dir), airports(spark))
+    path = _scratch(spark, sf_dir, "duty_chains")
+    spans.duty_chains(every.where("flight_number % 7 <> 0")).write.parquet(path)
+    return spans.duty_chains_after(spark.read.parquet(path), every.where("flight_number % 7 = 0"))
+
+
+def links_by_month(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Links of what was loaded first, then of a second load: later months, and some legs that came late."""
+    flights = derived.flights(spark, sf_dir)
+    second = F.coalesce(F.col("flight_date") >= F.lit("2024-09-01").cast("date"), F.lit(False)) | (F.col("flight_number") % 401 == 0)
+    path = _scratch(spark, sf_dir, "links_by_month")
+    before = increment.timed_legs(flights.where(~second), airports(spark))
+    before.write.parquet(f"{path}/legs")
+    legs = spark.read.parquet(f"{path}/legs")
+    increment.frontier(legs).write.parquet(f"{path}/frontier")
+    rotation_links(flights.where(~second), airports(spark)).write.parquet(f"{path}/links")
+    return increment.links_after(
+        spark.read.parquet(f"{path}/links"), legs, spark.read.parquet(f"{path}/frontier"),
+        increment.timed_legs(flights.where(second), airports(spark)),
+    )
+
+
+def _second_load(flights: DataFrame) -> DataFrame:
+    """The flights as a later load might give them: some gone, some twice, some with another delay."""
+    number = F.col("flight_number")
+    kept = flights.where(number % 97 != 0)
+    changed = kept.withColumn("arr_delay_minutes", F.when(number % 89 == 0, F.col("arr_delay_minutes") + 1).otherwise(F.col("arr_delay_minutes")))
+    return changed.unionByName(changed.where(number % 83 == 0))
+
+
+def loads_difference(spark: SparkSession, sf_dir: str) -> DataFrame:
+    flights = derived.flights(spark, sf_dir)
+    return compare.bag_difference(flights, _second_load(flights), FLIGHT_NAMES).select(*quality.FLIGHT_KEY, "tail_number", "arr_delay_minutes", "n_before", "n_after")
+
+
+def loads_by_key(spark: SparkSession, sf_dir: str) -> DataFrame:
+    flights = derived.flights(spark, sf_dir)
+    by_key = compare.keyed_difference(flights, _second_load(flights), quality.FLIGHT_KEY, FLIGHT_NAMES)
+    return by_key.groupBy("state").agg(
+        F.count("*").alias("flight_keys"), F.sum("removed").alias("removed_rows"), F.sum("added").alias("added_rows"), F.sum("kept").alias("kept_rows")
+    )
+
+
+def _on_stays(plan: Callable[..., DataFrame]) -> Query:
+    return lambda spark, sf_dir: plan(ground.ground_stays(derived.flights(spark, sf_dir), airports(spark)))
+
+
 def queries() -> dict[str, Query]:
     on_flights = {
         "overall_volume": analysis.overall_volume,
@@ -204,6 +271,21 @@ def queries() -> dict[str, Query]:
         **{name: _on_links(plan) for name, plan in on_links.items()},
         **{name: _on_both(plan) for name, plan in on_both.items()},
         **filtered,
+        "last_arrivals": last_arrivals,
+        "ground_overlaps": _on_stays(ground.ground_overlaps),
+        "overlaps_by_airport": _on_stays(ground.overlaps_by_airport),
+        "ground_presence": _on_stays(ground.ground_presence),
+        "ground_peaks": _on_stays(ground.ground_peaks),
+        "carried_delays": carried_delays,
+        "duty_chains": duty_chains,
+        "duty_chains_merged": duty_chains_merged,
+        "links_by_month": links_by_month,
+        "loads_difference": loads_difference,
+        "loads_by_key": loads_by_key,
+        "moving_delay_rate": _on_flights(spans.moving_delay_rate),
+        "kpi_cube": _on_flights(spans.kpi_cube),
+        "route_percent_ranks": _on_flights(spans.route_percent_ranks),
+        "carried_delay_by_depth": carried_delay_by_depth,
         "sql_airport_report": sql_airport_report,
         **({**llm.queries(), "pipeline": corpus_pipeline.run} if llm else {}),
     }

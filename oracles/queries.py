@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from oracles.tables import over_flights, over_legs, over_links
+from oracles.tables import LEGS, STAYS, over_flights, over_legs, over_links
 
 CAUSES = ("carrier_delay", "weather_delay", "nas_delay", "security_delay", "late_aircraft_delay")
 NULLABLE = (
@@ -389,8 +389,8 @@ def statements() -> dict[str, str]:
 
     # Data quality.
     sql["dq_month_coverage"] = over_flights("""SELECT CAST(date_trunc('month', flight_date) AS DATE) AS month,
-        count(*) AS flights FROM flights GROUP BY 1
-        UNION ALL SELECT NULL AS month, count(*) AS flights FROM flights""")
+        false AS is_total, count(*) AS flights FROM flights GROUP BY 1
+        UNION ALL SELECT NULL AS month, true AS is_total, count(*) AS flights FROM flights""")
     sql["dq_required_nulls"] = over_flights(count_rows_per_column("flights", REQUIRED))
     sql["dq_required_link_nulls"] = over_links(count_rows_per_column("rotation_links", REQUIRED_LINK))
     sql["dq_nullable_profile"] = over_flights(count_rows_per_column("flights", NULLABLE))
@@ -427,4 +427,113 @@ def statements() -> dict[str, str]:
         UNION ALL SELECT 'months_present', count(DISTINCT date_trunc('month', flight_date)) FROM flights
         UNION ALL SELECT 'tail_known_flights', count(*) FROM rotation_links
         UNION ALL SELECT 'valid_links', count(*) FROM rotation_links WHERE {VALID}""")
+    sql |= ground_statements() | span_statements()
+    sql["links_by_month"] = sql["rotation_links"]
     return sql
+
+
+def ground_statements() -> dict[str, str]:
+    """As-of, interval, sweep and chain queries."""
+    minute = "epoch({})::BIGINT // 60"
+    chains = """gains AS (
+        SELECT *, CASE WHEN link_status = 'valid' AND prev_own_delay IS NOT NULL
+                       THEN prev_own_delay - scheduled_turnaround_min END AS gain FROM linked
+    ),
+    walk(tail_number, leg_number, carried, legs) AS (
+        SELECT tail_number, leg_number, 0::BIGINT, 0::BIGINT FROM gains WHERE leg_number = 1
+        UNION ALL
+        SELECT g.tail_number, g.leg_number, CASE WHEN gain IS NULL THEN 0 ELSE greatest(0, carried + gain) END,
+               CASE WHEN gain IS NULL OR carried + gain <= 0 THEN 0 ELSE legs + 1 END
+        FROM walk w JOIN gains g ON g.tail_number = w.tail_number AND g.leg_number = w.leg_number + 1
+    )"""
+    carried = """SELECT tail_number, flight_date, reporting_airline, flight_number, origin, dest, crs_dep_time, link_status,
+        propagated_delay_estimate_min, carried AS carried_delay_min, legs AS legs_carried
+        FROM linked JOIN walk USING (tail_number, leg_number)"""
+    pairs = """SELECT a.airport, a.tail_number AS a_tail_number, a.start_min AS a_start_min, a.end_min AS a_end_min,
+        b.tail_number AS b_tail_number, b.start_min AS b_start_min, b.end_min AS b_end_min,
+        greatest(a.start_min, b.start_min) AS overlap_start, least(a.end_min, b.end_min) AS overlap_end
+        FROM stays a JOIN stays b ON a.airport = b.airport AND a.start_min < b.end_min AND b.start_min < a.end_min
+            AND (a.tail_number, a.start_min, a.end_min) < (b.tail_number, b.start_min, b.end_min)"""
+    steps = """changes AS (
+        SELECT airport, at_min, sum(change) AS change FROM (
+            SELECT airport, start_min AS at_min, 1 AS change FROM stays UNION ALL SELECT airport, end_min, -1 FROM stays)
+        GROUP BY ALL HAVING sum(change) <> 0
+    ),
+    steps AS (SELECT airport, at_min, (sum(change) OVER (PARTITION BY airport ORDER BY at_min))::BIGINT AS aircraft_on_ground FROM changes)"""
+    return {
+        "last_arrivals": over_flights(f"""SELECT d.tail_number, d.flight_date, d.flight_number, d.origin, d.dest, d.crs_dep_time,
+            {minute.format("d.dep_a")} AS dep_min, {minute.format("a.arr_a")} AS last_arr_min, a.tail_number AS last_tail_number,
+            a.flight_number AS last_flight_number, a.origin AS last_from, a.arr_delay_minutes AS last_arr_delay_minutes,
+            {minute.format("d.dep_a")} - {minute.format("a.arr_a")} AS minutes_since_arrival,
+            a.tail_number = d.tail_number AS same_aircraft
+            FROM (SELECT * FROM legs WHERE dep_a IS NOT NULL) d ASOF LEFT JOIN arrivals a ON a.dest = d.origin AND d.dep_a >= a.arr_a""",
+            LEGS, """arrivals AS (
+                SELECT * FROM legs WHERE arr_a IS NOT NULL QUALIFY row_number() OVER (PARTITION BY dest, arr_a ORDER BY
+                    tail_number DESC NULLS LAST, flight_number DESC NULLS LAST, origin DESC, arr_delay_minutes DESC NULLS LAST) = 1)"""),
+        "ground_overlaps": over_links(pairs, STAYS),
+        "overlaps_by_airport": over_links(f"""SELECT airport, count(*) AS overlapping_pairs,
+            sum(overlap_end - overlap_start)::BIGINT AS overlap_minutes, max(overlap_end - overlap_start) AS longest_overlap_min
+            FROM ({pairs}) GROUP BY airport""", STAYS),
+        "ground_presence": over_links("SELECT * FROM steps", STAYS, steps),
+        "ground_peaks": over_links("""SELECT airport, max(aircraft_on_ground) AS peak_aircraft,
+            min(at_min) FILTER (aircraft_on_ground = most) AS peak_min
+            FROM (SELECT *, max(aircraft_on_ground) OVER (PARTITION BY airport) AS most FROM steps) GROUP BY airport""", STAYS, steps),
+        "carried_delays": over_links(carried, chains).replace("WITH", "WITH RECURSIVE", 1),
+        "carried_delay_by_depth": over_links(f"""SELECT legs_carried, count(*) AS legs, sum(carried_delay_min)::BIGINT AS carried_minutes,
+            max(carried_delay_min) AS most_minutes FROM ({carried}) WHERE carried_delay_min > 0 GROUP BY legs_carried""",
+            chains).replace("WITH", "WITH RECURSIVE", 1),
+    }
+
+
+def span_statements() -> dict[str, str]:
+    """Session, moving-frame, cube, rank and difference queries."""
+    minute = "epoch({})::BIGINT // 60"
+    duty = over_legs(f"""SELECT tail_number, min(s) AS start_min, max(e) AS end_min, count(*) AS legs, sum(greatest(b, 0))::BIGINT AS block_minutes
+        FROM (SELECT *, sum(begins) OVER (PARTITION BY tail_number ORDER BY s, e, begins DESC ROWS UNBOUNDED PRECEDING) AS chain FROM (
+            SELECT *, CASE WHEN s - max(e) OVER (PARTITION BY tail_number ORDER BY s, e ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)
+                           <= 480 THEN 0 ELSE 1 END AS begins FROM (
+                SELECT tail_number, {minute.format("dep_s")} AS s, greatest({minute.format("dep_s")}, {minute.format("arr_s")}) AS e,
+                       {minute.format("arr_s")} - {minute.format("dep_s")} AS b
+                FROM legs WHERE tail_number IS NOT NULL AND dep_s IS NOT NULL AND arr_s IS NOT NULL)))
+        GROUP BY tail_number, chain""")
+    key = "flight_date, reporting_airline, flight_number, origin, dest, crs_dep_time"
+    kept = """kept AS (
+        SELECT * REPLACE (CASE WHEN flight_number % 89 = 0 THEN arr_delay_minutes + 1 ELSE arr_delay_minutes END AS arr_delay_minutes)
+        FROM flights WHERE flight_number % 97 <> 0
+    ),
+    counts AS (
+        SELECT * EXCLUDE (o, n), sum(o)::BIGINT AS n_before, sum(n)::BIGINT AS n_after FROM (
+            SELECT *, 1 AS o, 0 AS n FROM flights UNION ALL SELECT *, 0, 1 FROM kept
+            UNION ALL SELECT *, 0, 1 FROM kept WHERE flight_number % 83 = 0)
+        GROUP BY ALL
+    )"""
+    return {
+        "duty_chains": duty,
+        "duty_chains_merged": duty,
+        "loads_difference": over_flights(f"SELECT {key}, tail_number, arr_delay_minutes, n_before, n_after FROM counts WHERE n_before <> n_after", kept),
+        "loads_by_key": over_flights(f"""SELECT CASE WHEN b = 0 THEN 'added' WHEN a = 0 THEN 'removed' WHEN removed + added = 0 THEN 'unchanged'
+            ELSE 'changed' END AS state, count(*) AS flight_keys, sum(removed)::BIGINT AS removed_rows, sum(added)::BIGINT AS added_rows,
+            sum(kept)::BIGINT AS kept_rows FROM (
+                SELECT sum(n_before) AS b, sum(n_after) AS a, sum(greatest(n_before - n_after, 0)) AS removed,
+                       sum(greatest(n_after - n_before, 0)) AS added, sum(least(n_before, n_after)) AS kept FROM counts GROUP BY {key})
+            GROUP BY 1""", kept),
+        "moving_delay_rate": over_flights(f"""SELECT airport, flight_date, completed_flights, delayed_flights,
+            {pct("delayed_flights", "completed_flights")} AS delay_rate_pct FROM (
+                SELECT origin AS airport, flight_date, (sum(c) OVER w)::BIGINT AS completed_flights, (sum(d) OVER w)::BIGINT AS delayed_flights
+                FROM (SELECT origin, flight_date, count(arr_del15) AS c, count(*) FILTER (arr_del15) AS d FROM flights GROUP BY ALL)
+                WINDOW w AS (PARTITION BY origin ORDER BY flight_date RANGE BETWEEN INTERVAL 27 DAYS PRECEDING AND CURRENT ROW))"""),
+        "kpi_cube": over_flights(f"""SELECT grouping_id, reporting_airline, origin, month, total_flights, delayed_flights,
+            {pct("delayed_flights", "completed")} AS delay_rate_pct, {pct("cancelled", "total_flights")} AS cancellation_rate_pct,
+            total_delay_minutes, {ratio("total_delay_minutes", "timed", 100)} AS avg_delay_minutes FROM (
+                SELECT CAST(grouping(reporting_airline, origin, month) AS INTEGER) AS grouping_id, reporting_airline, origin, month,
+                       count(*) AS total_flights, count(*) FILTER (arr_del15) AS delayed_flights, count(arr_del15) AS completed,
+                       count(*) FILTER (cancelled) AS cancelled, sum(arr_delay_minutes)::BIGINT AS total_delay_minutes,
+                       count(arr_delay_minutes) AS timed
+                FROM (SELECT *, CAST(date_trunc('month', flight_date) AS DATE) AS month FROM flights)
+                GROUP BY CUBE (reporting_airline, origin, month))"""),
+        "route_percent_ranks": over_flights(f"""SELECT origin, dest, completed_flights, delay_rate_pct,
+            rank() OVER (ORDER BY delay_rate_pct) AS rank, percent_rank() OVER (ORDER BY delay_rate_pct) AS percent_rank FROM (
+                SELECT origin, dest, count(arr_del15) AS completed_flights,
+                       {pct("count(*) FILTER (arr_del15)", "count(arr_del15)")} AS delay_rate_pct
+                FROM flights GROUP BY ALL HAVING count(arr_del15) > 0)"""),
+    }

@@ -117,6 +117,8 @@ chained AS (
         lag(arr_delay_minutes) OVER leg AS prior_leg_arr_delay_minutes,
         lag(cancelled) OVER leg AS prev_cancelled,
         lag(diverted) OVER leg AS prev_diverted,
+        lag(CASE WHEN arr_delay_minutes IS NOT NULL THEN greatest(0, arr_delay_minutes - coalesce(late_aircraft_delay, 0)) END) OVER leg AS prev_own_delay,
+        row_number() OVER leg AS leg_number,
         lag(arr_s) OVER leg AS prev_arr_s,
         lag(arr_a) OVER leg AS prev_arr_a
     FROM legs WHERE tail_number IS NOT NULL
@@ -133,11 +135,8 @@ turned AS (
         CAST(datediff('minute', prev_arr_a, dep_a) AS INTEGER) AS observed_turnaround_min
     FROM chained
 ),
-rotation_links AS (
-    SELECT tail_number, flight_date, reporting_airline, flight_number, origin, dest,
-        prev_flight_date, prev_flight_number, prev_dest, crs_dep_time,
-        prior_leg_arr_delay_minutes, dep_delay_minutes, arr_delay_minutes, late_aircraft_delay,
-        scheduled_turnaround_min, observed_turnaround_min,
+linked AS (
+    SELECT *,
         CASE WHEN prior_leg_arr_delay_minutes IS NULL OR scheduled_turnaround_min IS NULL THEN NULL
              ELSE greatest(0, prior_leg_arr_delay_minutes - scheduled_turnaround_min)
         END AS propagated_delay_estimate_min,
@@ -154,6 +153,19 @@ rotation_links AS (
              WHEN observed_turnaround_min > 2160 THEN 'suspicious_long_turnaround'
              ELSE 'valid' END AS link_status
     FROM turned
+),
+rotation_links AS (
+    SELECT tail_number, flight_date, reporting_airline, flight_number, origin, dest,
+        prev_flight_date, prev_flight_number, prev_dest, crs_dep_time,
+        prior_leg_arr_delay_minutes, dep_delay_minutes, arr_delay_minutes, late_aircraft_delay,
+        scheduled_turnaround_min, observed_turnaround_min, propagated_delay_estimate_min, link_status
+    FROM linked
+)"""
+
+STAYS = """
+stays AS (
+    SELECT origin AS airport, tail_number, epoch(prev_arr_a)::BIGINT // 60 AS start_min, epoch(dep_a)::BIGINT // 60 AS end_min
+    FROM linked WHERE link_status = 'valid'
 )"""
 
 

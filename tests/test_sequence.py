@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from turnline.operators.rotation import rotation_links
-from turnline.operators.sequence import hot_keys, with_previous, with_row_number
+from turnline.operators.sequence import Running, hot_keys, with_previous, with_row_number, with_running
 from turnline.sources.lineitem import airports, flights_from_lineitem
 
 
@@ -46,14 +46,25 @@ def test_row_number_is_the_plain_windows(spark, hot_rows):
     assert {r.i: r.n for r in ours.collect()} == expected
 
 
-def test_hot_keys_beyond_the_broadcast_bound_are_joined_by_shuffle(spark, monkeypatch):
-    from turnline.operators import sequence
-
-    monkeypatch.setattr(sequence, "BROADCAST_KEYS", 3)
-    rows = _skewed(spark)
-    plain = with_previous(rows, ["k"], ["t", "i"], ["i"], _slices(), None)
-    hot = with_previous(rows, ["k"], ["t", "i"], ["i"], _slices(), hot_keys(rows, ["k"], 0))
-    assert plain.exceptAll(hot).isEmpty() and hot.exceptAll(plain).isEmpty()
+@pytest.mark.parametrize("hot_rows", [10**9, 1000, 0])
+def test_running_totals_are_the_plain_windows(spark, hot_rows):
+    rows = _skewed(spark).withColumn("v", F.when(F.col("i") % 4 != 0, F.pmod(F.xxhash64("i", F.lit(3)), F.lit(1000)) - 500))
+    upto = Window.partitionBy("k").orderBy(F.col("t").asc_nulls_first(), "i").rowsBetween(Window.unboundedPreceding, 0)
+    pair = F.when(F.col("v").isNotNull(), F.struct(F.col("v"), F.col("i").alias("w")))
+    expected = rows.select(
+        "i", F.sum("v").over(upto).alias("s"), F.max(pair).over(upto).alias("m"), F.last("v", ignorenulls=True).over(upto).alias("l"))
+    ours = with_running(rows, ["k"], ["t", "i"], _slices(), hot_keys(rows, ["k"], hot_rows), {
+        "s": Running("sum", F.col("v")), "m": Running("max", pair), "l": Running("last", F.col("v"))})
+    assert ours.columns == [*rows.columns, "s", "m", "l"]
+    assert sorted(map(tuple, ours.select("i", "s", "m", "l").collect())) == sorted(map(tuple, expected.collect()))
+
+
+def test_null_keys_are_a_key_and_never_hot(spark):
+    rows = spark.range(50).select(F.lit(None).cast("string").alias("k"), F.col("id").alias("t"), F.col("id").alias("i"))
+    hot = hot_keys(rows, ["k"], 0)
+    assert hot.isEmpty()
+    numbered = with_row_number(rows, ["k"], ["t", "i"], _slices(), "n", hot)
+    assert [r.n for r in numbered.orderBy("i").collect()] == list(range(1, 51))
 
 
 def test_one_aircraft_with_a_third_of_all_flights(spark, flights):
@@ -72,9 +83,13 @@ def test_derived_flights_do_not_depend_on_slicing(spark, data_dir):
     assert plain.exceptAll(sliced).isEmpty() and sliced.exceptAll(plain).isEmpty()
 
 
-def test_ordinary_keys_take_one_shuffle(spark, flights):
+def test_one_plan_whose_hot_part_reads_nothing_while_no_key_is_hot(spark, flights):
     links = rotation_links(flights, airports(spark))
+    links.write.format("noop").mode("overwrite").save()
+    links.collect()
     plan = links._jdf.queryExecution().executedPlan().toString()
-    assert plan.count("Exchange hashpartitioning(tail_number") == 1
-    assert plan.count("Window [") == 1
-    assert "BroadcastHashJoin" in plan and "Python" not in plan
+    final = plan.split("== Initial Plan ==")[0]
+    assert final.count("Window [") == 1 and "max_by" not in final
+    assert "BroadcastHashJoin" in final and "Python" not in plan
+    # Legs are shuffled once; the other shuffle by tail is that of the counts.
+    assert final.count("hashpartitioning(tail_number") == 2

@@ -44,6 +44,20 @@ def day_offsets(date: Column, tz: Column) -> dict[str, Column]:
     return {"early_offset": reading(eve, tz) - eve, "late_offset": reading(morrow, tz) - morrow}
 
 
+def local_to_utc(wall: Column, tz: Column) -> Column:
+    """The UTC instant at which a clock of the zone shows ``wall`` (epoch seconds), as an expression of its own.
+
+    Null in the spring gap, in the autumn overlap and for a null zone.  Offsets of a zone differ between a day before
+    and a day after by the clock change at most, so only two instants can qualify.  Over many rows of few zones and
+    dates, ``with_local_to_utc`` with a calendar of ``day_offsets`` looks rules up less often.
+    """
+    early = wall - (reading(wall - DAY_SECONDS, tz) - (wall - DAY_SECONDS))
+    late = wall - (reading(wall + DAY_SECONDS, tz) - (wall + DAY_SECONDS))
+    early_fits, late_fits = reading(early, tz) == wall, reading(late, tz) == wall
+    instant = F.when(early == late, F.when(early_fits, early)).when(early_fits & ~late_fits, early).when(late_fits & ~early_fits, late)
+    return F.timestamp_seconds(instant)
+
+
 def with_local_to_utc(rows: DataFrame, wall: Column, tz: str, into: str) -> DataFrame:
     """Add the UTC instant at which the clock of zone column ``tz`` shows ``wall`` (epoch seconds).
 

@@ -41,7 +41,7 @@ TIE_BREAKS = (
 # Width of the time slices a hot tail is cut into.
 SLICE_SECONDS = 600
 
-# The zone calendar is broadcast up to this many rows (some 25 MB).
+# The zone calendar is broadcast up to this many rows (some 25 MB); 100 zones over 10 years have as many.
 MAX_CALENDAR_ROWS = 400_000
 
 
@@ -50,22 +50,23 @@ def legs_of(flights: DataFrame) -> DataFrame:
     return flights.where(F.col("tail_number").isNotNull()).select(*LEG_COLUMNS)
 
 
-def _with_day_offsets(flights: DataFrame, zones: DataFrame) -> DataFrame:
+def zone_calendar(flights: DataFrame) -> DataFrame:
+    """The (zone, date) pairs that occur among placed flights, with the UTC offsets around the date."""
+    pairs = flights.select("origin_tz", "flight_date").dropna().distinct()
+    return pairs.withColumns(day_offsets(F.col("flight_date"), F.col("origin_tz")))
+
+
+def _with_day_offsets(flights: DataFrame) -> DataFrame:
     """Add the UTC offsets around the local date of each flight.
 
     Looking up zone rules costs more than the rest of the row, so it is done once
-    per zone and date.  That calendar is broadcast after its rows were counted;
-    beyond the bound each flight looks its zone up itself.
+    per zone and date that occur, whatever stray dates there are.  The calendar is
+    broadcast once its rows were counted and found few; Spark chooses the join otherwise.
     """
-    offsets = day_offsets(F.col("flight_date"), F.col("origin_tz"))
-    dates = flights.agg(F.min("flight_date").alias("first"), F.max("flight_date").alias("last")).first()
-    names = zones.select("origin_tz").where(F.col("origin_tz").isNotNull()).distinct()
-    days = (dates.last - dates.first).days + 1 if dates.first else 0
-    if days == 0 or names.limit(MAX_CALENDAR_ROWS // days + 1).count() > MAX_CALENDAR_ROWS // days:
-        return flights.withColumns(offsets)
-    every_day = F.explode(F.sequence(F.lit(dates.first), F.lit(dates.last))).alias("flight_date")
-    calendar = names.select("origin_tz", every_day).withColumns(offsets)
-    return flights.join(F.broadcast(calendar), ["origin_tz", "flight_date"], "left")
+    calendar = zone_calendar(flights)
+    if calendar.limit(MAX_CALENDAR_ROWS + 1).count() <= MAX_CALENDAR_ROWS:
+        calendar = F.broadcast(calendar)
+    return flights.join(calendar, ["origin_tz", "flight_date"], "left")
 
 
 def with_utc_times(flights: DataFrame, airports: DataFrame) -> DataFrame:
@@ -77,7 +78,7 @@ def with_utc_times(flights: DataFrame, airports: DataFrame) -> DataFrame:
     its measured size is below the session's threshold.
     """
     zones = airports.groupBy(F.col("iata").alias("origin")).agg(F.max("tz").alias("origin_tz"))
-    placed = _with_day_offsets(flights.join(zones, "origin", "left"), zones)
+    placed = _with_day_offsets(flights.join(zones, "origin", "left"))
     wall = wall_clock(F.col("flight_date"), F.col("crs_dep_time"))
     timed = with_local_to_utc(placed, wall, "origin_tz", "dep_utc_scheduled")
     return timed.drop("early_offset", "late_offset").withColumns({
@@ -111,30 +112,35 @@ def _link_status(min_turn: int, max_turn: int) -> Column:
     )
 
 
+def leg_slices() -> list[Column]:
+    """What the legs of a hot tail are cut by; it rises along their order."""
+    known = F.col("dep_utc_scheduled").isNotNull()
+    step = int_div(F.unix_seconds("dep_utc_scheduled"), F.lit(SLICE_SECONDS))
+    return [
+        known,
+        F.when(known, step).otherwise(F.unix_date("flight_date")),
+        F.when(known, 0).otherwise(F.coalesce("flight_number", F.lit(-1))),
+    ]
+
+
 def build_links(
     legs: DataFrame,
     min_turn: int = MIN_TURNAROUND_MIN,
     max_turn: int = MAX_TURNAROUND_MIN,
-    hot_rows: int = HOT_ROWS,
-    counted: DataFrame | None = None,
+    hot: DataFrame | None = None,
+    more_carried: tuple[str, ...] = (),
 ) -> DataFrame:
     """One link per leg: the leg before it, both turnarounds, status and carried-over delay.
 
     ``legs`` carries the UTC times of ``with_utc_times``.  Legs are not cut by
     calendar day, so overnight turns link.  A leg without a known departure time
-    sorts to the head of its aircraft.  Legs per aircraft are counted in
-    ``counted`` where given: the same legs before any work was put into them.
+    sorts to the head of its aircraft.  ``hot`` are the tails to cut into slices;
+    ``more_carried`` are further columns to take from the leg before.
     """
-    known = F.col("dep_utc_scheduled").isNotNull()
-    step = int_div(F.unix_seconds("dep_utc_scheduled"), F.lit(SLICE_SECONDS))
-    slices = [
-        known,
-        F.when(known, step).otherwise(F.unix_date("flight_date")),
-        F.when(known, 0).otherwise(F.coalesce("flight_number", F.lit(-1))),
-    ]
     order = [name for name in (*LEG_ORDER, *TIE_BREAKS) if name in legs.columns]
-    hot = hot_keys(counted or legs, ["tail_number"], hot_rows)
-    linked = with_previous(legs, ["tail_number"], order, CARRIED, slices, hot)
+    if hot is None:
+        hot = hot_keys(legs, ["tail_number"])
+    linked = with_previous(legs, ["tail_number"], order, (*CARRIED, *more_carried), leg_slices(), hot)
 
     buffer_min = F.col("scheduled_turnaround_min")
     over = F.col("prev_arr_delay_minutes") - buffer_min
@@ -153,7 +159,8 @@ def build_links(
 def rotation_links(flights: DataFrame, airports: DataFrame, hot_rows: int = HOT_ROWS) -> DataFrame:
     """The 18-column link table of a flights table."""
     legs = legs_of(flights)
-    return build_links(with_utc_times(legs, airports), hot_rows=hot_rows, counted=legs).select(*LINK_NAMES)
+    hot = hot_keys(legs, ["tail_number"], hot_rows)
+    return build_links(with_utc_times(legs, airports), hot=hot).select(*LINK_NAMES)
 
 
 def valid_links(links: DataFrame) -> DataFrame:

@@ -18,14 +18,21 @@ TOP_DELAYED = 20
 
 
 def overall_volume(flights: DataFrame) -> DataFrame:
-    """Flights, exact distinct aircraft, carriers and origins, first and last date, in one scan."""
-    return flights.agg(
-        count_rows().alias("total_flights"),
+    """Flights, exact distinct aircraft, carriers and origins, first and last date, in one scan.
+
+    Rows are combined by aircraft, carrier and origin before they are expanded for the three distinct
+    counts, so what is expanded and shuffled is those combinations and not the flights.
+    """
+    combined = flights.groupBy("tail_number", "reporting_airline", "origin").agg(
+        count_rows().alias("n"), F.min("flight_date").alias("first"), F.max("flight_date").alias("last")
+    )
+    return combined.agg(
+        F.coalesce(F.sum("n"), F.lit(0)).alias("total_flights"),
         F.count_distinct("tail_number").alias("distinct_aircraft"),
         F.count_distinct("reporting_airline").alias("distinct_carriers"),
         F.count_distinct("origin").alias("distinct_origin_airports"),
-        F.min("flight_date").alias("first_date"),
-        F.max("flight_date").alias("last_date"),
+        F.min("first").alias("first_date"),
+        F.max("last").alias("last_date"),
     )
 
 

@@ -16,9 +16,6 @@ from turnline.schema import (
 # The columns that should tell any two flights apart.
 FLIGHT_KEY = ("flight_date", "reporting_airline", "flight_number", "origin", "dest", "crs_dep_time")
 
-# Repeated row hashes held as a list; beyond that, all rows are compared.
-MAX_REPEATED_HASHES = 10_000
-
 # Fixed value: the format of an airport code.
 AIRPORT_CODE = "^[A-Z]{3}$"
 
@@ -38,10 +35,12 @@ def _checks(table: DataFrame, checks: dict[str, Column]) -> DataFrame:
 
 
 def month_coverage(flights: DataFrame) -> DataFrame:
-    """Rows per month and, under a null month, in total."""
+    """Rows per month and in total; ``is_total`` tells the total from the rows without a date."""
     month = F.trunc("flight_date", "month").alias("month")
     by_month = flights.groupBy(month).agg(count_rows().alias("flights"))
-    return by_month.rollup("month").agg(F.sum("flights").alias("flights"))
+    return by_month.rollup("month").agg(
+        (F.grouping("month") == 1).alias("is_total"), F.sum("flights").alias("flights")
+    )
 
 
 def required_nulls(flights: DataFrame) -> DataFrame:
@@ -56,34 +55,29 @@ def nullable_profile(flights: DataFrame) -> DataFrame:
     return _null_counts(flights, NULLABLE_FLIGHT_COLUMNS)
 
 
-def _repeated(rows: DataFrame, columns: Sequence[str]) -> DataFrame:
-    """The value combinations of the columns that occur more than once, with their count ``n``.
+def _counted_by_hash(rows: DataFrame, columns: Sequence[str]) -> DataFrame:
+    """``n`` rows per different combination of the columns' values.
 
-    Almost all rows are unique, so hashes are counted first and only rows whose
-    hash repeats are compared in full.  That keeps wide rows out of the shuffle;
-    where too many hashes repeat, all rows are compared.  Either way equal rows
-    are counted before the shuffle, so many copies of one row travel as one.
+    Combinations are told apart by two 64-bit hashes of different seed and by which of their values are null, so only
+    those are shuffled, however wide the rows; equal rows are combined before.  Two of n different combinations share
+    all of it with a chance of about n^2 / 2^129.
     """
-    hashed = rows.select(*columns, F.xxhash64(*columns).alias("_hash"))
-    twice = hashed.groupBy("_hash").agg(count_rows().alias("n")).where(F.col("n") > 1)
-    hashes = twice.select("_hash").limit(MAX_REPEATED_HASHES + 1).collect()
-    if not hashes:
-        hashed = hashed.where(F.lit(False))
-    elif len(hashes) <= MAX_REPEATED_HASHES:
-        listed = rows.sparkSession.createDataFrame(hashes, "_hash bigint")
-        hashed = hashed.join(F.broadcast(listed), "_hash", "left_semi")
-    return hashed.groupBy(*columns).agg(count_rows().alias("n")).where(F.col("n") > 1)
+    nulls = F.lit(0)
+    for place, name in enumerate(columns):
+        nulls = nulls + F.when(F.col(name).isNull(), F.lit(1 << place).cast("bigint")).otherwise(F.lit(0).cast("bigint"))
+    hashes = [F.xxhash64(F.lit(seed), *columns).alias(f"_hash{seed}") for seed in (1, 2)]
+    return rows.select(nulls.alias("_nulls"), *hashes).groupBy("_nulls", "_hash1", "_hash2").agg(count_rows().alias("n"))
 
 
 def full_row_duplicates(flights: DataFrame) -> DataFrame:
     """Rows beyond the first of each set of equal rows."""
     extra = F.sum(F.col("n") - 1)
-    return _repeated(flights, FLIGHT_NAMES).agg(F.coalesce(extra, F.lit(0)).alias("duplicate_rows"))
+    return _counted_by_hash(flights, FLIGHT_NAMES).agg(F.coalesce(extra, F.lit(0)).alias("duplicate_rows"))
 
 
 def key_duplicates(flights: DataFrame) -> DataFrame:
     """Flight keys that occur more than once, and the rows that share them."""
-    return _repeated(flights, FLIGHT_KEY).agg(
+    return _counted_by_hash(flights, FLIGHT_KEY).where(F.col("n") > 1).agg(
         count_rows().alias("duplicate_keys"),
         F.coalesce(F.sum("n"), F.lit(0)).alias("rows_sharing_a_key"),
     )
