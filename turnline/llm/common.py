@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import uuid
 import zipfile
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 from pathlib import Path
 
 import numpy as np
@@ -69,12 +69,23 @@ def drop_stored(*frames: DataFrame) -> None:
             folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
 
 
+def fresh(taken: Iterable[str], *names: str) -> list[str]:
+    """The names, each with underscores added until no taken column is called so (Spark ignores case)."""
+    held, out = {name.lower() for name in taken}, []
+    for name in names:
+        while name.lower() in held:
+            name += "_"
+        held.add(name.lower())
+        out.append(name)
+    return out
+
+
 def as_bytes(name: str) -> F.Column:
     """The whole text as UTF-8 bytes, null as empty."""
     return F.coalesce(F.col(name), F.lit("")).cast("binary")
 
 
-def slices(batches: Iterator[pa.RecordBatch], column: str, limit: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
+def slices(batches: Iterator[pa.RecordBatch], column: str | int, limit: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
     """Cut batches so that each holds about ``limit`` bytes of the column, one row at least."""
     for batch in batches:
         if not batch.num_rows:

@@ -13,7 +13,8 @@ that the cut falls into, from sums per hash; no source is sorted in one task.
 
 Tokens are words (``[^\\x20\\x09-\\x0D]+``).  Null texts have none.  A null source
 is a source of its own.  A source without tokens has no weight and no rows.
-Rows of equal source and id are taken or left together.
+Rows of equal source and id are taken or left together, ties in the permutation likewise.  Texts of any length are
+counted whole.  An empty table gives no rows.  Kept columns may have any names; working columns get others.
 """
 
 from __future__ import annotations
@@ -24,7 +25,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from turnline.llm.common import stored
+from turnline.llm.common import fresh, stored
 
 WORD = r"[^\x20\x09-\x0D]+"
 BUCKETS = 4096
@@ -134,13 +135,18 @@ def realise(
     copy_column: str = "copy", weight_column: str = "weight",
 ) -> DataFrame:
     """The kept columns once per copy, with the number of the block (0 is the first) and the source's weight."""
-    named = placed.select(F.col("source").alias("mix_source"), F.col("weight").alias("mix_weight"), "blocks", "cut")
-    joined = rows.select(*kept, F.col(source_column).cast("string").alias("row_source"), order_key.alias("row_key")).join(
-        F.broadcast(named), F.col("row_source").eqNullSafe(F.col("mix_source"))
+    source, weight, blocks, cut, own, place, copies = fresh(
+        kept, "mix_source", "mix_weight", "mix_blocks", "mix_cut", "row_source", "row_key", "mix_copies"
     )
-    copies = F.col("blocks") + (F.col("row_key") < F.col("cut")).cast("long")
-    return joined.withColumn("mix_copies", copies).where("mix_copies > 0").select(
-        *kept, F.explode(F.sequence(F.lit(0), F.col("mix_copies") - 1)).alias(copy_column), F.col("mix_weight").alias(weight_column)
+    named = placed.select(
+        F.col("source").alias(source), F.col("weight").alias(weight), F.col("blocks").alias(blocks), F.col("cut").alias(cut)
+    )
+    joined = rows.select(*kept, F.col(source_column).cast("string").alias(own), order_key.alias(place)).join(
+        F.broadcast(named), F.col(own).eqNullSafe(F.col(source))
+    )
+    taken = F.col(blocks) + (F.col(place) < F.col(cut)).cast("long")
+    return joined.withColumn(copies, taken).where(F.col(copies) > 0).select(
+        *kept, F.explode(F.sequence(F.lit(0).cast("long"), F.col(copies) - 1)).alias(copy_column), F.col(weight).alias(weight_column)
     )
 
 
@@ -148,4 +154,5 @@ def mixed(docs: DataFrame, mix: Mix = Mix()) -> DataFrame:
     """The documents as they are, each as often as the mix takes it."""
     _, placed = plan(docs, mix)
     order_key = permuted(F.col("source"), F.col("doc_id"), mix.seed)
-    return realise(docs, placed, order_key, docs.columns, copy_column="mix__copy", weight_column="mix__weight").select(*docs.columns)
+    copy, weight = fresh(docs.columns, "mix_copy", "mix_weight")
+    return realise(docs, placed, order_key, docs.columns, copy_column=copy, weight_column=weight).select(*docs.columns)

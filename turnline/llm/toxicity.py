@@ -10,7 +10,9 @@ The sample is the ``train_rows`` rows of least hash of their id, read in that
 order in one task: that bound is the only one.  Scoring covers every whole text.
 Null texts count as empty and get the score of the bias alone.  Rows without a
 label and null labels teach nothing; of several labels of a document the largest
-counts.  Without any label every score is one half.
+counts.  Without any label every score is one half; repeated rows get equal scores,
+and an empty table gives no rows.  A very long text is a slice of its own, read whole.
+Kept columns may have any names but that of the score.
 """
 
 from __future__ import annotations
@@ -20,6 +22,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -129,20 +132,25 @@ def score(
     docs: DataFrame, weights: tuple[np.ndarray, np.ndarray], kept: list[str], bits: int = BITS,
     text_column: str = "text", score_column: str = "score",
 ) -> DataFrame:
-    """The kept columns as they are, and the score of the text in a column of the given name."""
+    """The kept columns as they are, and the score of the text in a column of the given name.
+
+    Each text crosses to Python once: as the kept column, if it is one of them.
+    """
     shared = docs.sparkSession.sparkContext.broadcast(weights)  # at most 2**bits + 1 numbers
+    place = kept.index(text_column) if text_column in kept else len(kept)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         at, values = shared.value
         dense = np.zeros((1 << bits) + 1)
         dense[at] = values
-        for part in slices(batches, "text__", FEATURE_BYTES):
-            row, feature = feature_rows(part.column("text__").to_pylist(), bits)
+        for part in slices(batches, place, FEATURE_BYTES):
+            texts = pc.fill_null(part.column(place).cast(pa.binary()), b"")
+            row, feature = feature_rows(texts.to_pylist(), bits)
             used = dense[feature] != 0
             distinct = np.unique(row[used] << bits | feature[used])
             z = np.bincount(distinct >> bits, dense[distinct & ((1 << bits) - 1)], part.num_rows) + dense[-1]
-            columns = [part.column(i) for i in range(part.num_columns - 1)]
+            columns = [part.column(i) for i in range(len(kept))]
             yield pa.RecordBatch.from_arrays([*columns, pa.array(sigmoid(z))], names=[*kept, score_column])
 
-    schema = T.StructType([*docs.select(*kept).schema.fields, T.StructField(score_column, T.DoubleType())])
-    return arrow_map(docs.select(*kept, as_bytes(text_column).alias("text__")), run, schema)
+    source = docs.select(*kept) if place < len(kept) else docs.select(*kept, text_column)
+    return arrow_map(source, run, T.StructType([*docs.select(*kept).schema.fields, T.StructField(score_column, T.DoubleType())]))
