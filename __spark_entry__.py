@@ -185,7 +185,7 @@ def loads_by_key(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _on_stays(plan: Callable[..., DataFrame]) -> Query:
-    return lambda spark, sf_dir: plan(ground.ground_stays(derived.flights(spark, sf_dir), airports(spark)))
+    return lambda spark, sf_dir: plan(derived.stays(spark, sf_dir))
 
 
 def queries() -> dict[str, Query]:

@@ -90,6 +90,15 @@ def with_utc_times(flights: DataFrame, airports: DataFrame) -> DataFrame:
     })
 
 
+def computed_once(rows: DataFrame) -> DataFrame:
+    """The same rows, through a generator of one row each.
+
+    Filters on computed columns are otherwise pushed below their computation, which then runs once per filter and again
+    for the column; for the long expressions of zone arithmetic that costs more than the rest of a plan.
+    """
+    return rows.select(F.inline(F.array(F.struct(*rows.columns))))
+
+
 def _link_status(min_turn: int, max_turn: int) -> Column:
     """The first reason that rules a link out, or ``valid``.
 
@@ -127,6 +136,7 @@ def build_links(
     legs: DataFrame,
     min_turn: int = MIN_TURNAROUND_MIN,
     max_turn: int = MAX_TURNAROUND_MIN,
+    hot_rows: int = HOT_ROWS,
     hot: DataFrame | None = None,
     more_carried: tuple[str, ...] = (),
 ) -> DataFrame:
@@ -134,12 +144,12 @@ def build_links(
 
     ``legs`` carries the UTC times of ``with_utc_times``.  Legs are not cut by
     calendar day, so overnight turns link.  A leg without a known departure time
-    sorts to the head of its aircraft.  ``hot`` are the tails to cut into slices;
-    ``more_carried`` are further columns to take from the leg before.
+    sorts to the head of its aircraft.  ``hot`` are the tails to cut into slices, if
+    they are known; ``more_carried`` are further columns to take from the leg before.
     """
     order = [name for name in (*LEG_ORDER, *TIE_BREAKS) if name in legs.columns]
     if hot is None:
-        hot = hot_keys(legs, ["tail_number"])
+        hot = hot_keys(legs, ["tail_number"], hot_rows)
     linked = with_previous(legs, ["tail_number"], order, (*CARRIED, *more_carried), leg_slices(), hot)
 
     buffer_min = F.col("scheduled_turnaround_min")

@@ -107,10 +107,11 @@ def with_previous(
 
 @dataclass(frozen=True)
 class Running:
-    """A running ``sum``, ``max`` or ``last`` (not null) value, up to and including the row."""
+    """A running ``sum``, ``max`` or ``last`` (not null) value, up to and including the row, or up to the one before it."""
 
     kind: str
     value: Column
+    before: bool = False
 
     def over(self, window: WindowSpec) -> Column:
         if self.kind == "last":
@@ -144,8 +145,10 @@ def with_running(
     Rows of equal order are taken one after the other: give an order that tells rows apart wherever it matters.
     """
     names = _names(slices)
-    upto = Window.partitionBy(*keys, *names).orderBy(*_ascending(order)).rowsBetween(Window.unboundedPreceding, 0)
-    inside = placed(rows, keys, slices, hot).withColumns({name: total.over(upto) for name, total in totals.items()})
+    along = Window.partitionBy(*keys, *names).orderBy(*_ascending(order))
+    inside = placed(rows, keys, slices, hot).withColumns({
+        name: total.over(along.rowsBetween(Window.unboundedPreceding, -1 if total.before else 0)) for name, total in totals.items()
+    })
     before = _before_each_slice(
         rows, keys, slices, hot, {f"_{name}_before": total.of_slice(order) for name, total in totals.items()},
         lambda name, w: totals[name[1:-7]].gathered(name, w.rowsBetween(Window.unboundedPreceding, -1)),

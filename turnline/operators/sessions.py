@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from turnline.functions.numeric import int_div
-from turnline.operators.sequence import HOT_ROWS, Running, hot_keys, placed, with_previous, with_running
+from turnline.operators.sequence import HOT_ROWS, Running, hot_keys, placed, with_running
 
 # A hot key's spans are cut into slices of this width (a day, where the unit is a minute).
 SLICE_WIDTH = 1440
@@ -32,13 +32,13 @@ def sessions(
     slices = [int_div(F.col(start), F.lit(slice_width)) - (F.col(start) < 0).cast("int")]
     hot = hot_keys(spans, keys, hot_rows)
     order = [start, end]
-    reached = with_running(placed(rows, keys, slices, hot), keys, order, slices, hot, {"_reach": Running("max", F.col(end))})
-    # Spans of equal start and end may come in any order: what the one before has reached is the same for all but the first.
-    gaps = with_previous(reached, keys, [*order, "_reach"], ["_reach"], slices, hot)
-    begins = F.when(F.col("prev__reach").isNull() | (F.col(start) - F.col("prev__reach") > gap), 1).otherwise(0)
+    rows = placed(rows, keys, slices, hot)
+    reached = with_running(rows, keys, order, slices, hot, {"_reach": Running("max", F.col(end), before=True)})
+    # Of spans with equal start and end the one that begins a session comes first.
+    late = F.coalesce(F.col(start) - F.col("_reach") <= gap, F.lit(False)).cast("int")
     numbered = with_running(
-        gaps.withColumns({"_begins": begins, "_later": 1 - begins}), keys, [*order, "_later"], slices, hot,
-        {"_session": Running("sum", F.col("_begins"))},
+        reached.withColumn("_goes_on", late), keys, [*order, "_goes_on"], slices, hot,
+        {"_session": Running("sum", 1 - F.col("_goes_on"))},
     )
     return numbered.groupBy(*keys, "_session").agg(
         F.min(start).alias(start), F.max(end).alias(end), *[total.alias(name) for name, total in totals.items()]

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from turnline.functions.clock import epoch_minute
 from turnline.functions.numeric import count_rows, mean, pct
 from turnline.operators.compare import with_percent_rank
-from turnline.operators.rotation import legs_of, with_utc_times
+from turnline.operators.rotation import computed_once, legs_of, with_utc_times
 from turnline.operators.sequence import HOT_ROWS
 from turnline.operators.sessions import merged, sessions
 
@@ -23,9 +23,11 @@ DUTY_SUMS = ("legs", "block_minutes")
 
 def leg_spans(flights: DataFrame, airports: DataFrame) -> DataFrame:
     """Scheduled departure and arrival minute (UTC, since the epoch) of every leg whose times are known."""
-    timed = with_utc_times(legs_of(flights), airports).where("dep_utc_scheduled is not null and arr_utc_scheduled is not null")
+    timed = with_utc_times(legs_of(flights), airports)
     start, end = epoch_minute(F.col("dep_utc_scheduled")), epoch_minute(F.col("arr_utc_scheduled"))
-    return timed.select(
+    minutes = computed_once(timed.select("tail_number", "flight_number", start.alias("start"), end.alias("end")))
+    start, end = F.col("start"), F.col("end")
+    return minutes.where("start is not null and end is not null").select(
         "tail_number", start.alias("start_min"), F.greatest(start, end).alias("end_min"), F.lit(1).cast("bigint").alias("legs"),
         F.greatest(end - start, F.lit(0).cast("bigint")).alias("block_minutes"), F.col("flight_number"),
     )

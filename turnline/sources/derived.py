@@ -15,6 +15,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from turnline.operators.rotation import rotation_links
+from turnline.plans.ground import ground_stays
 from turnline.session import shared_folder
 from turnline.sources.lineitem import airports, flights_from_lineitem
 from turnline.sources.tables import read_table, write_flights, write_links
@@ -60,3 +61,10 @@ def links(spark: SparkSession, data_dir: str) -> DataFrame:
         return rotation_links(flights(spark, data_dir), airports(spark))
 
     return _stored(spark, data_dir, "rotation_links", build, write_links)
+
+
+def stays(spark: SparkSession, data_dir: str) -> DataFrame:
+    def build() -> DataFrame:
+        return ground_stays(flights(spark, data_dir), airports(spark))
+
+    return _stored(spark, data_dir, "ground_stays", build, lambda rows, path: rows.write.mode("overwrite").parquet(path))
