@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import uuid
 import zipfile
 from collections.abc import Callable, Iterable, Iterator
@@ -21,6 +22,12 @@ SLICE_BYTES = 8 << 20
 
 _shipped: set[str] = set()
 
+try:
+    _libc = ctypes.CDLL("libc.so.6")
+    _libc.malloc_trim  # noqa: B018  another C library may have none
+except (OSError, AttributeError):
+    _libc = None
+
 
 def ship(spark: SparkSession) -> None:
     """Let executors import this package, as ``--py-files`` would, once per application."""
@@ -85,6 +92,13 @@ def as_bytes(name: str) -> F.Column:
     return F.coalesce(F.col(name), F.lit("")).cast("binary")
 
 
+def release() -> None:
+    """Give memory that Arrow and the C library hold for later back to the machine: an executor's workers share it."""
+    pa.default_memory_pool().release_unused()
+    if _libc is not None:
+        _libc.malloc_trim(0)
+
+
 def slices(batches: Iterator[pa.RecordBatch], column: str | int, limit: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
     """Cut batches so that each holds about ``limit`` bytes of the column, one row at least."""
     for batch in batches:
@@ -95,6 +109,7 @@ def slices(batches: Iterator[pa.RecordBatch], column: str | int, limit: int = SL
         starts = np.flatnonzero(np.r_[True, part[1:] != part[:-1]])
         for a, b in zip(starts, np.r_[starts[1:], batch.num_rows]):
             yield batch.slice(int(a), int(b - a))
+            release()
 
 
 def words_of(texts: pa.Array, lower: bool = True) -> tuple[list[bytes], np.ndarray, np.ndarray]:
@@ -130,7 +145,10 @@ def arrow_map(
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         if not remembers:
             forget()
-        return function(batches)
+        try:
+            yield from function(batches)
+        finally:
+            release()
 
     return frame.mapInArrow(run, schema)
 

@@ -44,6 +44,8 @@ SHINGLE = 5
 HOT = 8
 #: Bits of the filter that spares the sets of documents without candidates (2 MB, whatever the input).
 FILTER_BITS = 24
+#: Bytes of text whose sets a worker holds at a time.
+SET_BYTES = 4 << 20
 #: Sets of a block; sets under hot keys are compared block by block.
 BLOCK = 1024
 
@@ -152,7 +154,7 @@ def set_rows(docs: DataFrame, id_column: str, text_column: str) -> DataFrame:
     """A row per document: ``doc_id``, ``text_hash``, ``n``, ``node``: the hash of its set, ``sketch``."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in slices(batches, "text_"):
+        for part in slices(batches, "text_", SET_BYTES):
             flat, bounds, node = shingle_sets(part.column("text_"))
             sketches = [sketch(flat[a:b]) if a < b else None for a, b in zip(bounds.tolist(), bounds[1:].tolist())]
             yield pa.RecordBatch.from_arrays(
@@ -172,7 +174,7 @@ def key_rows(docs: DataFrame, text_column: str) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen, starts = set(), band_starts(1 << 31)
-        for part in slices(batches, "text_"):
+        for part in slices(batches, "text_", SET_BYTES):
             flat, bounds, node = shingle_sets(part.column("text_"))
             keys, nodes, spares = [], [], []
             for a, b, name in zip(bounds.tolist(), bounds[1:].tolist(), node.tolist()):
@@ -215,7 +217,7 @@ def sets_of(docs: DataFrame, nodes: DataFrame, text_column: str) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bits, seen = np.unpackbits(wanted.value).view(bool), set()
-        for part in slices(batches, "text_"):
+        for part in slices(batches, "text_", SET_BYTES):
             flat, bounds, node = shingle_sets(part.column("text_"))
             names, sets = [], []
             for i in np.flatnonzero(bits[node & np.uint64((1 << FILTER_BITS) - 1)] & (np.diff(bounds) > 0)).tolist():
