@@ -3,14 +3,18 @@
 A text falls into the matches of a pattern (words).  The distinct words of a
 partition become token-position rows, one per byte.  A recursive query joins
 neighbouring positions with the merge table and contracts, word by word, the
-leftmost pair of least rank until no pair can merge; equal pairs of a word are
-contracted together where the vocabulary proves that the order cannot matter.
+leftmost pair of least rank until no pair can merge.  In long words, pairs are
+contracted together where the order cannot matter: equal pairs, if no token that begins
+or ends with the merged one ranks before it, and pairs of less rank than every token that
+their neighbours make up across either end of them, since nothing reaches into them before
+their turn.  So a word of letters in no order takes some dozens of steps, not one per merge.
 Ordered aggregation of the position rows gives ids and, joined with the
 vocabulary, the decoded bytes.  Documents are then put together from their words.
 
-Nulls and empty texts have no tokens.  Repeated rows give repeated results.  The
-time grows with the distinct words; one word of n bytes costs about n rows per
-contraction, which no long text without such words ever meets.
+Nulls and empty texts have no tokens; an empty table gives no rows.  Repeated rows give
+repeated results.  The time grows with the distinct pieces of a partition.  Texts with runs
+of blanks or indented lines are cut into pieces too, and remembered like others.  Very long
+texts and words are coded whole; a word of n bytes costs n rows per step.
 """
 
 from __future__ import annotations
@@ -32,14 +36,17 @@ from pyspark.sql.pandas.types import to_arrow_type
 from turnline.llm.common import Memo, arrow_map, as_bytes, out_schema, per_worker, slices
 
 #: Bytes of text that a worker encodes at a time.
-CODED_BYTES = 16 << 20
+CODED_BYTES = 4 << 20
 
 #: Position rows that one recursive query starts from (a longer word is a query of its own).
-QUERY_ROWS = 800_000
+QUERY_ROWS = 200_000
 
 #: A space after something that is no white space: no match of the pattern crosses it.
 CUT = re.compile(r"(?<=\S)(?= )")
 
+#: More than any rank.
+BEYOND = 2**31 - 1
+
 #: Words of more bytes are contracted in place; shorter ones keep the rows of each step until the query ends.
 LONG_WORD = 64
 
@@ -67,38 +74,47 @@ WITH RECURSIVE state(word, place, token, open) AS (
 """
 
 LONG_WORDS = """
-WITH RECURSIVE state(word, place, token) USING KEY (word, place) AS (
-  SELECT word, place, token FROM begin_state
+WITH RECURSIVE state(word, place, token, cut, step) USING KEY (word, place) AS (
+  SELECT word, place, token, cut, 0 FROM begin_state
   UNION
   (
     WITH alive AS (
-      SELECT word, place, token FROM recurring.state
+      SELECT word, place, token, cut, (SELECT max(step) FROM state) AS step FROM recurring.state
       WHERE token >= 0 AND word IN (SELECT word FROM state)
     ),
     pairs AS (
-      SELECT word, place, token, lead(token) OVER w AS next_token, lead(place) OVER w AS next_place,
-             row_number() OVER w AS nth
+      SELECT word, place, token, lead(token) OVER w AS next_token, lead(place) OVER w AS next_place, cut,
+             lead(cut, 2, 2147483647) OVER w AS end_cut, row_number() OVER w AS nth, step
       FROM alive WINDOW w AS (PARTITION BY word ORDER BY place)
     ),
     ranked AS (
-      SELECT word, place, next_place, nth, merges.merged, merges.any_order,
+      SELECT word, place, next_place, cut, nth, step, merges.merged, merges.any_order,
+             merges.merged < cut AND merges.merged < end_cut AS apart,
              min(merges.merged) OVER (PARTITION BY word) AS least
       FROM pairs JOIN merges ON merges.pair = pairs.token * 65536::UINTEGER + pairs.next_token
     ),
     found AS (
-      SELECT *, row_number() OVER (PARTITION BY word ORDER BY nth) AS hit FROM ranked WHERE merged = least
+      SELECT *, row_number() OVER (PARTITION BY word ORDER BY nth) AS hit FROM ranked WHERE merged = least AND step = 0
     ),
     chosen AS (
       SELECT *, row_number() OVER (PARTITION BY word, nth - hit ORDER BY nth) % 2 AS odd FROM found
     ),
-    contracted AS (SELECT * FROM chosen WHERE hit = 1 OR (any_order AND odd = 1))
-    SELECT word, place, merged FROM contracted
+    contracted AS (
+      SELECT word, place, next_place, cut, merged, step FROM chosen WHERE hit = 1 OR (any_order AND odd = 1)
+      UNION
+      SELECT word, place, next_place, cut, merged, step FROM ranked WHERE apart
+    )
+    SELECT word, place, merged, cut, step + 1 FROM contracted
     UNION ALL
-    SELECT word, next_place, -1 FROM contracted
+    SELECT word, next_place, -1, 0, step + 1 FROM contracted
   )
 ), done AS (SELECT word, place, token FROM state WHERE token >= 0)
 """
 
+AS_STATE = "SELECT word, place, token FROM done ORDER BY word, place"
+
+AS_IT_IS = "WITH done AS (SELECT word, place, token FROM begin_state)"
+
 IN_ORDER = """
 SELECT word, list(token ORDER BY place) AS ids, string_agg(hex(bytes), '' ORDER BY place) AS decoded
 FROM done JOIN vocabulary USING (token) GROUP BY word ORDER BY word
@@ -117,6 +133,8 @@ class WordCoder:
         self.ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, rank_file.splitlines())}
         if max(self.ranks.values()) >= 1 << 16:
             raise ValueError("ids must fit 16 bits")
+        self.heads: set[bytes] = set()
+        self.content: dict[int, bytes] = {}
         pairs, merged, late = [], [], set()
         for token, rank in self.ranks.items():
             for i in range(1, len(token)):
@@ -126,7 +144,7 @@ class WordCoder:
                     pairs.append(left << 16 | right)
                     merged.append(rank)
         self.bytes_of = np.array([self.ranks[bytes([b])] for b in range(256)], np.int32)
-        self.db = duckdb.connect(config={"threads": 1, "memory_limit": "200MB"})
+        self.db = duckdb.connect(config={"threads": 1, "memory_limit": "100MB"})
         # A pair's places may be contracted together if no token begins or ends with the merged one and ranks before it.
         self._table("merges", pair=pa.array(pairs, pa.uint32()), merged=pa.array(merged, pa.int32()),
                     any_order=pa.array([m not in late for m in merged]))
@@ -138,6 +156,34 @@ class WordCoder:
         self.db.execute(f"CREATE OR REPLACE TABLE {name} AS SELECT * FROM {name}_rows")
         self.db.unregister(f"{name}_rows")
 
+    def _cuts(self, word: np.ndarray, token: np.ndarray) -> tuple[np.ndarray, bool]:
+        """For each position the least rank of any token that neighbouring tokens make up across the boundary before
+        it, and whether any pair can merge at all.
+
+        No merge crosses that boundary before its turn, so a pair of less rank than both its ends' is merged whatever
+        happens elsewhere: such pairs need not wait for each other.
+        """
+        if not self.heads:
+            self.heads.update(t[:i] for t in self.ranks for i in range(2, len(t)))
+            self.content = {rank: t for t, rank in self.ranks.items()}
+        heads, ranks, cuts, open_ = self.heads, self.ranks, [BEYOND] * len(token), False
+        parts = list(map(self.content.__getitem__, token.tolist()))
+        bounds = np.flatnonzero(np.r_[True, word[1:] != word[:-1], True])
+        ends = np.repeat(bounds[1:], np.diff(bounds))
+        for start, last in enumerate(ends.tolist()):
+            part = parts[start]
+            for end in range(start + 1, last):
+                part += parts[end]
+                rank = ranks.get(part)
+                if rank is not None:
+                    open_ = open_ or end == start + 1
+                    for at in range(start + 1, end + 1):
+                        if rank < cuts[at]:
+                            cuts[at] = rank
+                if part not in heads:
+                    break
+        return np.array(cuts, np.int32), open_
+
     def code(self, words: list[bytes]) -> list[tuple[bytes, bytes]]:
         """Ids (little-endian, 32 bits) and decoded bytes of each word."""
         coded: dict[bytes, tuple[bytes, bytes]] = {}
@@ -162,8 +208,14 @@ class WordCoder:
         whole = np.array([k is not None for k in known])
         token[np.repeat(whole, lengths)] = [k for k in known if k is not None]
         token[np.repeat(~whole, lengths)] = self.bytes_of[np.frombuffer(b"".join(rest), np.uint8)]
+        while contract is LONG_WORDS and len(token):
+            cut, open_ = self._cuts(word, token)
+            if not open_:
+                break
+            self._table("begin_state", word=pa.array(word), place=pa.array(place), token=pa.array(token), cut=pa.array(cut))
+            word, place, token = (c.to_numpy() for c in self.db.sql(LONG_WORDS + AS_STATE).to_arrow_table().columns)
         self._table("begin_state", word=pa.array(word), place=pa.array(place), token=pa.array(token))
-        result = self.db.sql(contract + IN_ORDER).to_arrow_table()
+        result = self.db.sql((AS_IT_IS if contract is LONG_WORDS else contract) + IN_ORDER).to_arrow_table()
         lists = result["ids"].combine_chunks()
         values = lists.values.to_numpy().astype("<u4").tobytes()
         bounds = (lists.offsets.to_numpy().astype(np.int64) * 4).tolist()
@@ -171,18 +223,25 @@ class WordCoder:
         return zip(ids, map(bytes.fromhex, result["decoded"].to_pylist()))
 
 
+def piece_key(piece: str) -> str | tuple[str]:
+    """The key of a piece that ``CUT`` gave."""
+    plain = len(piece) > 1 and piece[0] == " " and not piece[1].isspace() and not piece[-1].isspace()
+    return piece[1:] if plain else (piece,)
+
+
 class TextCoder:
     """Documents from coded words; pieces between single spaces are remembered.
 
     A piece is keyed by what follows its space.  The head of a text has no space
     before it and is keyed by a tuple.  No match of the pattern crosses a space
     after something else than white space, so a text without runs of white space
-    before a space is the sequence of its pieces; any other is cut by ``CUT``.
+    before a space is the sequence of its pieces; any other is cut by ``CUT``, and
+    its pieces are looked up likewise, all that are new in a slice by one query.
     """
 
     def __init__(self, rank_file: bytes, pattern: str):
         self.words, self.pattern = WordCoder(rank_file), regex.compile(pattern)
-        self.memo = Memo(self._pieces, limit=600_000)
+        self.memo = Memo(self._pieces, limit=400_000)
 
     def _matches(self, pieces: list[str]) -> list[bytes]:
         """Of each piece the number of its ids (32 bits), its ids, and what they decode to, in one value."""
@@ -216,12 +275,15 @@ class TextCoder:
         uncut = np.array([not v for v in values] or [False])[number]
         uncut[bounds[:-1]] = [not h or h[0][-1].isspace() for h in heads]
         uncut = np.logical_or.reduceat(uncut, bounds[:-1]).tolist() if len(heads) else []
+        others = {i: [piece_key(x) for x in CUT.split(texts[i].as_py())] for i, odd in enumerate(uncut) if odd}
+        keys = list(dict.fromkeys(k for some in others.values() for k in some))
+        known = dict(zip(keys, zip(*parted(self.memo.look(keys)))))
         out, back = [], []
         for i, (a, b) in enumerate(zip(bounds.tolist(), bounds[1:].tolist())):
             if uncut[i]:
-                x, y = parted(self._matches(CUT.split(texts[i].as_py())))
-                out.append(b"".join(x))
-                back.append(b"".join(y))
+                found = [known[k] for k in others[i]]
+                out.append(b"".join(x for x, _ in found))
+                back.append(b"".join(y for _, y in found))
             else:
                 at = number[a:b].tolist()
                 out.append(b"".join(map(ids.__getitem__, at)))

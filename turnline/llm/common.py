@@ -175,7 +175,7 @@ class Memo:
         if not missing:
             return values
         keys = [pieces[i] for i in missing]
-        size = sum(map(len, keys))
+        size = sum(len(k[0]) if type(k) is tuple else len(k) for k in keys)
         if self.young and (len(self.young) + len(keys) > self.limit or self.held + size > self.limit_bytes):
             self.old, self.young, self.held = self.young, {}, 0
         found = list(map(self.old.get, keys))
