@@ -13,7 +13,7 @@ from test_text_operators import RANKS, components, sets_of, texts
 
 import corpus_pipeline
 from turnline.llm import bpe, mixing, toxicity
-from turnline.llm.common import read
+from turnline.llm.common import read, stored
 from turnline.llm.queries import byte_bpe, toxicity_weights
 
 
@@ -53,8 +53,8 @@ def mixed_ids(rows, mix=mixing.Mix()):
 
 def test_stages_keep_what_plain_python_keeps(spark):
     data_dir = "/root/testdata/sf0.001"
-    clean = corpus_pipeline.drop_toxic(spark, read(spark, data_dir, "documents"), data_dir).localCheckpoint()
-    single = corpus_pipeline.drop_near_duplicates(spark, clean, data_dir).localCheckpoint()
+    clean = stored(corpus_pipeline.drop_toxic(spark, read(spark, data_dir, "documents"), data_dir), "clean")
+    single = stored(corpus_pipeline.drop_near_duplicates(spark, clean, data_dir), "single")
     least = {i for i, n, least in components(sets_of(texts(clean))) if not n or i == least or least is None}
     assert sorted(r.doc_id for r in single.collect()) == sorted(least) and len(least) < clean.count()
     rows = [(r.doc_id, r.source, r.text or "") for r in single.collect()]

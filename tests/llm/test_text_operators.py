@@ -7,6 +7,7 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import public_tokenizers
 import pytest
 import tiktoken
@@ -234,7 +235,7 @@ def test_filter_grows_with_what_is_put_in(inserted):
 
 def test_scores_do_not_depend_on_how_the_filter_is_read(spark, data_dir, hard, monkeypatch):
     """A filter beyond the broadcast bound is asked in its segments."""
-    for docs in (documents(spark, data_dir).limit(300).localCheckpoint(), hard):
+    for docs in (stored(documents(spark, data_dir).limit(300), "some"), hard):
         fits = F.coalesce(F.col("doc_id"), F.lit(0)) % 10 != 0
         rows = {}
         for bound in (bloomlm.FILTER_BITS, 0):
@@ -333,3 +334,34 @@ def test_url_rules(spark):
     rows = urlfilter.filter_urls(pages, urlfilter.rules_frame(spark, URL_RULES)).collect()
     assert sorted(map(str, (tuple(r)[1:] for r in rows))) == sorted(map(str, list(urls.values()) * 2))
     assert urlfilter.filter_urls(pages, urlfilter.rules_frame(spark, URL_RULES).limit(0)).where("verdict = 'allow'").count() == len(urls) * 2
+
+
+def test_blanks_indented_lines_and_long_words_equal_tiktoken():
+    """Texts that spaces alone do not cut, and words that no space cuts, whose pairs are contracted together."""
+    coder = bpe.TextCoder(bpe.read_ranks(RANKS), public_tokenizers.PATTERN)
+    coding = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=coder.words.ranks, special_tokens={})
+    rng = random.Random(5)
+    letters = "abcdefghijklmnopqrstuvwxyz"
+    words = ["".join(rng.choices(letters, k=rng.randrange(1, 12))) for _ in range(50)] + ["", "", "é", "日本語", "12", "\n", "\t", "    "]
+    texts = [rng.choice([" ", "  ", "\n  ", "\n\n    "]).join(rng.choices(words, k=rng.randrange(1, 60))) for _ in range(300)]
+    texts += ["", " ", "  ", "\n", " a", "  a ", "a  ", "def f():\n        return  1\n"]
+    texts += ["".join(rng.choices(alphabet, k=n)) for alphabet in (letters, "ab", "a", "etaoin", "日本語中文", "éèê", "0123456789abcdef")
+              for n in (65, 300, 3000)]
+    texts += ["".join(rng.choices(words[:20], k=400)), "ab" * 2000, "x" * 5001, "the" * 1000 + "q" + "the" * 999]
+    ids, decoded = coder.texts(pa.array(texts))
+    for text, own, back in zip(texts, ids, decoded):
+        assert np.frombuffer(own, "<u4").tolist() == coding.encode_ordinary(text), text[:80]
+        assert back == text.encode()
+
+
+def test_a_word_of_many_letters_takes_few_steps():
+    """A hundred thousand letters in no order: bounded by the steps that contract them together."""
+    import time
+
+    coder = bpe.TextCoder(bpe.read_ranks(RANKS), public_tokenizers.PATTERN)
+    coding = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=coder.words.ranks, special_tokens={})
+    word = "".join(random.Random(7).choices("abcdefghijklmnopqrstuvwxyz", k=100_000))
+    began = time.monotonic()
+    ids, decoded = coder.texts(pa.array([word]))
+    assert time.monotonic() - began < 60
+    assert np.frombuffer(ids[0], "<u4").tolist() == coding.encode_ordinary(word) and decoded[0] == word.encode()

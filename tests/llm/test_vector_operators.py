@@ -1,6 +1,8 @@
 """Vector operators against brute force."""
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.parquet as pq
 import pytest
 from pyspark.sql import functions as F
 
@@ -128,21 +130,44 @@ def test_neighbours_of_mixed_lengths(spark):
     assert 1 not in found  # nothing else is as long
 
 
-def test_neighbours_recall_of_two_full_shards(spark):
-    """32,700 vectors of the check's large table: two shards, whose results are merged."""
-    frame = read(spark, "/root/testdata/check_l", "embeddings").orderBy("vec_id").limit(32_700).localCheckpoint()
+def made_vectors(kind, n, rng):
+    """64 components, as float32 tables hold them."""
+    v = rng.standard_normal((n, 64))
+    if kind == "clustered":
+        v = rng.standard_normal((200, 64))[rng.integers(0, 200, n)] + 0.3 * v
+    if kind in ("unit", "clustered"):
+        v /= np.linalg.norm(v, axis=1)[:, None]
+    spread = {"clustered": 0.3, "uneven": 0.3, "very uneven": 0.7}.get(kind)
+    if spread:
+        v *= rng.lognormal(0, spread, n)[:, None]
+    return v.astype(np.float32)
+
+
+@pytest.mark.parametrize("kind", ["unit", "clustered", "gaussian", "uneven", "very uneven"])
+def test_neighbours_recall_of_full_shards(spark, tmp_path, kind):
+    """33,000 vectors of every kind of length: two full shards, or bands of like length."""
+    v = made_vectors(kind, 33_000, np.random.default_rng(11))
+    flat = pa.array(v.reshape(-1))
+    table = pa.table({"vec_id": pa.array(np.arange(len(v))), "embedding": pa.ListArray.from_arrays(pa.array(np.arange(0, v.size + 1, 64, dtype=np.int32)), flat)})
+    pq.write_table(table, tmp_path / "vectors.parquet", row_group_size=5000)
     found = {}
-    for r in graph.nearest(frame, F.col("id") % 20 == 0, k=20).collect():
-        found.setdefault(r.query_id, set()).add(r.vec_id)
-    vectors = valid(frame)
-    ids, every = np.array([i for i, _ in vectors]), np.stack([v for _, v in vectors])
-    assert graph.SHARD < len({v.tobytes() for _, v in vectors}) <= 2 * graph.SHARD
-    hits = total = 0
-    for i, v in vectors:
-        if i % 20 == 0:
-            score = np.where(ids == i, -INF, every @ v)
-            near = np.argpartition(-score, 200)[:200]
-            best = near[np.lexsort((ids[near], -score[near]))[:20]]
-            hits, total = hits + len(found[i] & set(ids[best].tolist())), total + 20
-    print(f"recall {hits / total:.4f} of {total // 20} queries, {len(vectors)} vectors")
+    for r in graph.nearest(spark.read.parquet(str(tmp_path / "vectors.parquet")), F.col("id") % 150 == 0, k=20).collect():
+        found.setdefault(r.query_id, {})[r.vec_id] = r.score
+    every, hits, total = v.astype(np.float64), 0, 0
+    for i in range(0, len(v), 150):
+        score = every @ every[i]
+        score[i] = -INF
+        best = np.argsort(-score, kind="stable")[:20]
+        hits, total = hits + len(found[i].keys() & set(best.tolist())), total + 20
+        assert len(found[i]) == 20 and all(abs(x - score[j]) < 1e-9 for j, x in found[i].items())
+    print(f"{kind}: recall {hits / total:.4f}")
     assert hits >= 0.9 * total
+
+
+def test_bands_share_shards_until_they_are_full():
+    bands = [(64, 30, 5, 9.0), (64, 29, 300, 8.0), (64, 10, 40_000, 2.0), (64, 3, 9, 1.1), (2, 0, 3, 1.0)]
+    plan = graph.joined_bands(bands, 16_384)
+    assert [(d, b, first, shards, early) for d, b, first, shards, _, early in plan] == [
+        (2, 0, 0, 1, True), (64, 30, 1, 1, True), (64, 29, 1, 1, True), (64, 10, 2, 3, True), (64, 3, 2, 3, True)]
+    assert [longest for *_, longest, _ in plan] == [1.0, 9.0, 9.0, 2.0, 2.0]
+    assert graph.joined_bands([], 100) == []
