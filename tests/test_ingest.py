@@ -2,6 +2,7 @@
 
 import csv
 import datetime as dt
+import gzip
 
 import pytest
 from pyspark.sql import functions as F
@@ -55,11 +56,34 @@ def test_what_is_no_whole_number_fails(spark, tmp_path, bad):
         typed_flights(read_raw(spark, str(tmp_path / "a.csv"))).collect()
 
 
-def test_a_file_with_another_column_order_is_not_read_by_position(spark, tmp_path):
-    write_csv(tmp_path / "flights_2024_01.csv", [{}], header=SOURCE_NAMES)
-    write_csv(tmp_path / "flights_2024_02.csv", [{}], header=tuple(reversed(SOURCE_NAMES)))
-    with pytest.raises(Exception):
-        read_raw(spark, f"{tmp_path}/flights_2024_*.csv").collect()
+def test_files_of_differing_column_order_are_read_by_name(spark, tmp_path):
+    write_csv(tmp_path / "flights_2024_01.csv", [{"Origin": "AAA"}], header=SOURCE_NAMES)
+    write_csv(tmp_path / "flights_2024_02.csv", [{"Origin": "BBB"}], header=tuple(reversed(SOURCE_NAMES)))
+    write_csv(tmp_path / "flights_2024_03.csv", [{"Origin": "CCC"}], extra=("Unused", "More"))
+    with gzip.open(tmp_path / "flights_2024_04.csv.gz", "wt") as file:
+        write_csv(tmp_path / "plain", [{"Origin": "DDD"}], header=("More", *SOURCE_NAMES))
+        file.write((tmp_path / "plain").read_text())
+    pattern = f"{tmp_path}/flights_2024_*.csv*"
+    rows = typed_flights(read_raw(spark, pattern)).collect()
+    assert sorted(r.origin for r in rows) == ["AAA", "BBB", "CCC", "DDD"]
+    assert {(r.distance, r.crs_elapsed_time, r.diverted) for r in rows} == {(760, 120, True)}
+    table = ingest(spark, pattern, str(tmp_path / "table"))
+    assert table.count() == 4 and table.select("source_file").distinct().count() == 4
+
+
+def test_a_failed_replacement_leaves_the_table_as_it_was(spark, tmp_path):
+    pattern, target = f"{tmp_path}/flights_2024_*.csv", str(tmp_path / "table")
+    write_csv(tmp_path / "flights_2024_01.csv", [{}] * 3)
+    write_csv(tmp_path / "flights_2024_02.csv", [{}] * 2)
+    ingest(spark, pattern, target)
+    write_csv(tmp_path / "flights_2024_02.csv", [{"Distance": "soon"}])
+    with pytest.raises(Exception, match="Distance holds no whole number"):
+        ingest(spark, pattern, target, skip_present=False)
+    assert read_table(spark, target).count() == 5
+    write_csv(tmp_path / "flights_2024_01.csv", [])  # a file may come back empty
+    write_csv(tmp_path / "flights_2024_02.csv", [{"FlightDate": "2024-05-01"}])
+    assert [str(r.flight_date) for r in ingest(spark, pattern, target, skip_present=False).collect()] == ["2024-05-01"]
+    assert not [p for p in (tmp_path / "table").iterdir() if p.name.startswith("_replaced") or p.name.startswith("_loading")]
 
 
 @pytest.mark.parametrize("skip_present", [True, False])

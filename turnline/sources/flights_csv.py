@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import csv
+import uuid
+from concurrent.futures import ThreadPoolExecutor
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -9,18 +13,50 @@ from turnline.schema import FLIGHT_COLUMNS, FLIGHT_NAMES, MONTH_COLUMNS, SOURCE_
 from turnline.sources.tables import months_of, read_table, with_month, write_by_month
 
 
+def _header(spark: SparkSession, path: str) -> tuple[str, ...]:
+    """The column names in the first line of a file, compressed or not."""
+    jvm = spark.sparkContext._jvm
+    conf, file = spark.sparkContext._jsc.hadoopConfiguration(), jvm.org.apache.hadoop.fs.Path(path)
+    stream = file.getFileSystem(conf).open(file)
+    codec = jvm.org.apache.hadoop.io.compress.CompressionCodecFactory(conf).getCodec(file)
+    reader = jvm.java.io.BufferedReader(jvm.java.io.InputStreamReader(codec.createInputStream(stream) if codec else stream, "UTF-8"))
+    try:
+        return tuple(next(csv.reader([(reader.readLine() or "").removeprefix("\ufeff")]), []))
+    finally:
+        reader.close()
+
+
+def _by_header(spark: SparkSession, paths: list[str]) -> list[DataFrame]:
+    """The files as text columns, those of one header together; only first lines are read here."""
+    with ThreadPoolExecutor(16) as pool:
+        headers = list(pool.map(lambda path: _header(spark, path), paths))
+    found = []
+    for header in sorted(set(headers)):
+        own = [path for path, names in zip(paths, headers) if names == header]
+        missing = [name for name in SOURCE_NAMES if name not in header]
+        if missing:
+            raise ValueError(f"columns missing from {own[0]}: {', '.join(missing)}")
+        found.append(spark.read.option("header", True).option("enforceSchema", False).csv(own))
+    return found
+
+
+def _together(frames: list[DataFrame]) -> DataFrame:
+    whole, *rest = frames
+    for frame in rest:
+        whole = whole.unionByName(frame)
+    return whole
+
+
 def read_raw(spark: SparkSession, path: str | list[str]) -> DataFrame:
     """The contract's columns as text; ``path`` may be a glob over monthly files.
 
-    Columns are found by name, so their order is free and extra columns are left
-    out.  ``enforceSchema`` off makes a file whose header differs from the first
-    one fail instead of being read by position.
+    Columns are found by name in the header of each file, so their order is free, from file to file too, and extra
+    columns are left out.  A file without one of the columns fails the job, and is never read by position.
     """
-    raw = spark.read.option("header", True).option("enforceSchema", False).csv(path)
-    missing = [name for name in SOURCE_NAMES if name not in raw.columns]
-    if missing:
-        raise ValueError(f"columns missing from {path}: {', '.join(missing)}")
-    return raw.select(*SOURCE_NAMES)
+    paths = [row.path for row in spark.read.format("binaryFile").load(path).select("path").collect()]  # file names only
+    if not paths:
+        raise ValueError(f"no files in {path}")
+    return _together([raw.select(*SOURCE_NAMES) for raw in _by_header(spark, paths)])
 
 
 def _text(name: str) -> Column:
@@ -74,27 +110,45 @@ def ingest(spark: SparkSession, path: str, target: str, skip_present: bool = Tru
         held = read_table(spark, target).select(F.col(SOURCE_FILE).cast("string")).distinct()
     wanted = files.join(held, SOURCE_FILE, "left_anti") if skip_present and held is not None else files
     paths = [row.path for row in wanted.select("path").collect()]  # file names only
-    if held is not None and not skip_present:
-        for row in files.join(held, SOURCE_FILE).select(SOURCE_FILE).distinct().collect():
-            _drop_file(spark, target, row[SOURCE_FILE])
-    if paths:
-        name = _plain(F.url_decode(F.col("_metadata.file_path"))).alias(SOURCE_FILE)
-        raw = read_raw(spark, paths)
-        flights = with_month(typed_flights(raw, name))
-        (
-            flights.hint("rebalance", SOURCE_FILE, *MONTH_COLUMNS)
-            .sortWithinPartitions(SOURCE_FILE, *MONTH_COLUMNS, "origin", "dest")
-            .write.mode("append").partitionBy(SOURCE_FILE, *MONTH_COLUMNS).parquet(target)
-        )
+    if not paths:
+        return read_table(spark, target)
+    name = _plain(F.url_decode(F.col("_metadata.file_path"))).alias(SOURCE_FILE)
+    flights = with_month(_together([typed_flights(raw, name) for raw in _by_header(spark, paths)]))
+    replaced = [] if skip_present or held is None else [
+        row[SOURCE_FILE] for row in files.join(held, SOURCE_FILE).select(SOURCE_FILE).distinct().collect()
+    ]
+    into = f"{target}/_loading-{uuid.uuid4().hex}" if replaced else target
+    (
+        flights.hint("rebalance", SOURCE_FILE, *MONTH_COLUMNS)
+        .sortWithinPartitions(SOURCE_FILE, *MONTH_COLUMNS, "origin", "dest")
+        .write.mode("append").partitionBy(SOURCE_FILE, *MONTH_COLUMNS).parquet(into)
+    )
+    if replaced:
+        _swap(spark, target, into, replaced)
     return read_table(spark, target)
 
 
-def _drop_file(spark: SparkSession, target: str, name: str) -> None:
-    """Remove the rows of one loaded file, which lie in a folder of their own."""
+def _swap(spark: SparkSession, target: str, loaded: str, replaced: list[str]) -> None:
+    """Put freshly written files' folders in the place of the old ones.
+
+    Everything new is written before anything old goes: a load that fails leaves the table as it was.  Folders move one
+    by one; what is moved out is deleted at the end.  Readers do not see folders that begin with an underscore.
+    """
     jvm = spark.sparkContext._jvm
-    escaped = jvm.org.apache.spark.sql.catalyst.catalog.ExternalCatalogUtils.escapePathName(name)
-    folder = jvm.org.apache.hadoop.fs.Path(f"{target}/{SOURCE_FILE}={escaped}")
-    folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(folder, True)
+    path, escape = jvm.org.apache.hadoop.fs.Path, jvm.org.apache.spark.sql.catalyst.catalog.ExternalCatalogUtils.escapePathName
+    new, gone = path(loaded), path(f"{target}/_replaced-{uuid.uuid4().hex}")
+    fs = new.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    fs.mkdirs(gone)
+    names = {f"{SOURCE_FILE}={escape(name)}" for name in replaced}
+    fresh = {status.getPath().getName() for status in fs.listStatus(new) if status.isDirectory() and "=" in status.getPath().getName()}
+    for name in sorted(names | fresh):
+        old = path(f"{target}/{name}")
+        if fs.exists(old):
+            fs.rename(old, path(gone, name))
+        if name in fresh:
+            fs.rename(path(new, name), old)
+    fs.delete(gone, True)
+    fs.delete(new, True)
 
 
 def _holds_table(spark: SparkSession, path: str) -> bool:
