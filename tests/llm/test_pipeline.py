@@ -71,3 +71,33 @@ def test_stages_keep_what_plain_python_keeps(spark):
     out = corpus_pipeline.run(spark, data_dir).collect()
     assert Counter(r.doc_id for r in out) == expected
     assert all((r.ids_sha256, r.decoded_sha256) == digest[r.doc_id] for r in out)
+
+
+WORKING = (
+    "cut", "blocks", "row_key", "mix_weight", "mix_source", "mix_copies", "mix_copy", "row_source", "copy", "weight", "text_", "text__",
+    "toxicity_score", "score", "key", "node", "label", "label_", "order_", "n", "x", "sketch", "id_", "id__", "hash__", "hash_", "stays",
+    "group", "text_hash", "component_id", "times", "head", "bucket", "tokens", "n_tokens", "ids", "decoded", "shard", "row", "hash", "count",
+)
+
+
+def test_every_working_name_may_be_a_column(spark):
+    """Stages keep columns of any names, and operators return the same whatever else a table holds."""
+    data_dir = "/root/testdata/sf0.001"
+    plain = read(spark, data_dir, "documents")
+    docs = plain.withColumns({name: F.concat(F.lit(name), F.col("doc_id").cast("string")) for name in WORKING})
+    expected = plain
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        docs, expected = stored(stage(spark, docs, data_dir), "wide"), stored(stage(spark, expected, data_dir), "plain")
+        assert docs.columns == [*plain.columns, *WORKING]
+        assert Counter(r.doc_id for r in docs.collect()) == Counter(r.doc_id for r in expected.collect()), name
+        assert docs.where(F.concat(F.lit("cut"), F.col("doc_id").cast("string")) != F.col("cut")).isEmpty()
+    last = corpus_pipeline.STAGES[-1][1]
+    assert sorted(map(tuple, last(spark, docs, data_dir).collect())) == sorted(map(tuple, last(spark, expected, data_dir).collect()))
+
+
+def test_stages_of_an_empty_table(spark):
+    data_dir = "/root/testdata/sf0.001"
+    docs = read(spark, data_dir, "documents").limit(0)
+    for _, stage in corpus_pipeline.STAGES:
+        docs = stored(stage(spark, docs, data_dir), "empty")
+        assert docs.isEmpty()
