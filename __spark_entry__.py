@@ -18,13 +18,14 @@ from turnline.operators.filters import FlightFilter  # noqa: E402
 from turnline.operators.rotation import legs_of, rotation_links, with_utc_times  # noqa: E402
 from turnline.operators import chains  # noqa: E402
 from turnline.operators import compare, increment  # noqa: E402
-from turnline.plans import analysis, catalog, ground, options, propagation, quality, rankings, spans, views  # noqa: E402
+from turnline.plans import analysis, catalog, ground, options, propagation, quality, rankings, sketches, spans, views  # noqa: E402
 from turnline.schema import FLIGHT_NAMES  # noqa: E402
 from turnline.sources import derived  # noqa: E402
 from turnline.sources.flights_csv import ingest, read_raw, typed_flights, write_raw  # noqa: E402
 from turnline.sources.lineitem import airports  # noqa: E402
 from turnline.sources.links_csv import read_links_csv, write_links_csv  # noqa: E402
 from turnline.sources.tables import candidate_months, months_pending  # noqa: E402
+from turnline.streaming.windows import take_load  # noqa: E402
 
 try:  # the text operators can be left out as a whole
     import corpus_pipeline
@@ -163,6 +164,25 @@ def links_by_month(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def sketch_errors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sketches of every month, stored, merged, and held against exact counts."""
+    flights, path = derived.flights(spark, sf_dir), _scratch(spark, sf_dir, "sketches")
+    sketches.monthly_sketches(flights).write.parquet(path)
+    return sketches.compared(spark.read.parquet(path), flights)
+
+
+def streamed_days(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Windows that closed after three loads, in each of which some flights of the load before come late."""
+    flights, path = derived.flights(spark, sf_dir), _scratch(spark, sf_dir, "streamed")
+    date, late = F.col("flight_date"), F.col("flight_number") % 50 == 0
+    load = F.when(date < F.lit("2024-05-01").cast("date"), 1).when(date < F.lit("2024-09-01").cast("date"), 2).otherwise(3)
+    loads = flights.withColumn("_load", F.least(F.lit(3), load + late.cast("int")))
+    for number in (1, 2, 3):
+        loads.where(F.col("_load") == number).select(*FLIGHT_NAMES).write.mode("append").parquet(f"{path}/source")
+        take_load(spark, f"{path}/source", f"{path}/windows", f"{path}/checkpoint")
+    return spark.read.parquet(f"{path}/windows")
+
+
 def _second_load(flights: DataFrame) -> DataFrame:
     """The flights as a later load might give them: some gone, some twice, some with another delay."""
     number = F.col("flight_number")
@@ -282,6 +302,8 @@ def queries() -> dict[str, Query]:
         "links_by_month": links_by_month,
         "loads_difference": loads_difference,
         "loads_by_key": loads_by_key,
+        "sketch_errors": sketch_errors,
+        "streamed_days": streamed_days,
         "moving_delay_rate": _on_flights(spans.moving_delay_rate),
         "kpi_cube": _on_flights(spans.kpi_cube),
         "route_percent_ranks": _on_flights(spans.route_percent_ranks),

