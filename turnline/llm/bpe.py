@@ -241,7 +241,7 @@ class TextCoder:
 
     def __init__(self, rank_file: bytes, pattern: str):
         self.words, self.pattern = WordCoder(rank_file), regex.compile(pattern)
-        self.memo = Memo(self._pieces, limit=400_000)
+        self.memo = Memo(self._pieces, limit=300_000)
 
     def _matches(self, pieces: list[str]) -> list[bytes]:
         """Of each piece the number of its ids (32 bits), its ids, and what they decode to, in one value."""

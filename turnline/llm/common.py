@@ -29,8 +29,16 @@ except (OSError, AttributeError):
     _libc = None
 
 
+#: Rows of an Arrow batch, where the session leaves it at Spark's 10,000: documents are long, and a batch is held by
+#: the JVM and by the worker at once.
+BATCH_ROWS = 2000
+ROWS_SETTING = "spark.sql.execution.arrow.maxRecordsPerBatch"
+
+
 def ship(spark: SparkSession) -> None:
-    """Let executors import this package, as ``--py-files`` would, once per application."""
+    """Let executors import this package, as ``--py-files`` would, once per application; and set the size of Arrow batches."""
+    if spark.conf.get(ROWS_SETTING) == "10000":
+        spark.conf.set(ROWS_SETTING, BATCH_ROWS)
     app = spark.sparkContext.applicationId
     if app in _shipped:
         return
