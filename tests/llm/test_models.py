@@ -52,8 +52,12 @@ def plain_ftrl(rows, alpha, beta, l1, l2):
 @pytest.fixture(scope="module")
 def labelled():
     rng = random.Random(4)
-    words = [f"w{i}" for i in range(40)] + ["Bad", "awful,", "WORSE!"]
-    return [(i, " ".join(rng.choices(words, k=rng.randrange(0, 25))), rng.randrange(2)) for i in range(150)]
+    words = [f"w{i}" for i in range(40)] + ["Bad", "WORSE!"]
+    rows = []
+    for i in range(200):
+        text, toxic = rng.choices(words, k=rng.randrange(0, 25)), rng.randrange(2)
+        rows.append((i, " ".join(text + ["so", "awful,", "really"] if toxic else text), toxic))
+    return rows
 
 
 def test_features_are_the_plain_ones(labelled):
@@ -68,7 +72,7 @@ def test_weights_are_those_of_plain_ftrl(spark, labelled):
     labels = spark.createDataFrame([(i, y) for i, _, y in labelled], "doc_id long, toxic int")
     order = [r.doc_id for r in labels.orderBy(F.xxhash64(F.col("doc_id").cast("string"))).collect()]
     known = {i: (plain_features(t, 20), y) for i, t, y in labelled}
-    for train_rows in (1000, 60):  # the sample is the rows of least hash
+    for train_rows in (1000, 120):  # the sample is the rows of least hash
         expected = plain_ftrl([known[i] for i in order[:train_rows]], toxicity.ALPHA, toxicity.BETA, toxicity.L1, toxicity.L2)
         at, values = toxicity.train(docs, labels, train_rows=train_rows)
         got = {("bias" if a == 1 << 20 else a): v for a, v in zip(at.tolist(), values.tolist())}
