@@ -270,6 +270,7 @@ def queries() -> dict[str, Query]:
         "hourly_signals": rankings.hourly_signals,
         "airport_propagation_rankings": rankings.airport_propagation_rankings,
         "dq_summary": quality.summary,
+        "dq_report": quality.report,
     }
     filtered = {
         **{f"filtered_network_{name}": _on_both(views.network_summary, flt=flt) for name, flt in FILTERS.items()},

@@ -427,6 +427,14 @@ def statements() -> dict[str, str]:
         UNION ALL SELECT 'months_present', count(DISTINCT date_trunc('month', flight_date)) FROM flights
         UNION ALL SELECT 'tail_known_flights', count(*) FROM rotation_links
         UNION ALL SELECT 'valid_links', count(*) FROM rotation_links WHERE {VALID}""")
+    rows = [f"SELECT check_name, {value} AS result FROM ({sql[name]})" for name, value in (
+        ("dq_summary", "result"), ("dq_domain", "bad_rows"), ("dq_cause_consistency", "bad_rows"), ("dq_valid_link_invariants", "bad_rows"))]
+    rows += [f"SELECT '{name}' AS check_name, sum(null_rows)::BIGINT AS result FROM ({sql[key]})" for name, key in (
+        ("required_flight_nulls", "dq_required_nulls"), ("required_link_nulls", "dq_required_link_nulls"))]
+    rows += [f"SELECT '{column}' AS check_name, {column}::BIGINT AS result FROM ({sql[key]})" for key, columns in (
+        ("dq_full_row_duplicates", ["duplicate_rows"]), ("dq_key_duplicates", ["duplicate_keys", "rows_sharing_a_key"]),
+        ("dq_cancel_divert", ["cancelled_flights", "diverted_flights"])) for column in columns]
+    sql["dq_report"] = " UNION ALL ".join(rows)
     sql |= ground_statements() | span_statements()
     sql["links_by_month"] = sql["rotation_links"]
     return sql

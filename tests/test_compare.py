@@ -73,3 +73,14 @@ def test_local_to_utc_as_one_expression(spark):
     instant = local_to_utc(F.unix_seconds(F.col("wall").cast("timestamp")), F.col("tz"))
     for r in frame.withColumn("got", F.date_format(instant, "yyyy-MM-dd HH:mm")).collect():
         assert r.got == r.utc
+
+
+def test_set_aside_rows_and_the_others_are_all_rows(spark, flights):
+    some = flights.limit(20).withColumns({
+        "origin": F.when(F.col("flight_number") % 2 == 0, F.col("origin")), "distance": F.when(F.col("flight_number") % 3 == 0, F.col("distance"))})
+    some = spark.createDataFrame(some.collect(), some.schema)
+    whole, lacking = quality.set_aside(some)
+    assert whole.columns == flights.columns and whole.count() + lacking.count() == 20
+    assert whole.where("flight_number % 6 <> 0").isEmpty()
+    for r in lacking.collect():
+        assert r.missing == ",".join(n for n, d in (("origin", 2), ("distance", 3)) if r.flight_number % d)

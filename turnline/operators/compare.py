@@ -58,24 +58,21 @@ def with_percent_rank(rows: DataFrame, value: str, into: str = "percent_rank") -
     Values are numbers.
     """
     counted = rows.groupBy(value).agg(count_rows().alias("_n"))
-    ranked = _rows_below(counted, value)
-    total = F.sum("_n")
-    whole = counted.agg(total.alias("_of"))
-    placed = ranked.join(F.broadcast(whole)).select(  # one row
-        F.col(value).alias("_value"), (F.col("_below") + 1).alias("rank"), F.col("_of").alias("of")
+    shares = [place / RANGES for place in range(1, RANGES)]
+    cuts, total = counted.agg(F.percentile_approx(value, shares, 100 * RANGES), F.coalesce(F.sum("_n"), F.lit(0))).first()
+    placed = _rows_below(counted, value, sorted(set(cuts or []))).select(
+        F.col(value).alias("_value"), (F.col("_below") + 1).alias("rank"), F.lit(total).cast("bigint").alias("of")
     )
     joined = rows.join(placed, F.col(value).eqNullSafe(F.col("_value"))).drop("_value")
     return joined.withColumn(into, F.when(F.col("of") > 1, (F.col("rank") - 1) / (F.col("of") - 1)).otherwise(F.lit(0.0)))
 
 
-def _rows_below(counted: DataFrame, value: str) -> DataFrame:
+def _rows_below(counted: DataFrame, value: str, cuts: list) -> DataFrame:
     """``counted`` with ``_below``, the rows of smaller values: sums within a range of values, after those of the ranges before.
 
-    The ranges come from approximate quantiles of the different values, a row of ``RANGES`` numbers; they decide how
+    The ranges lie between approximate quantiles of the different values, a row of ``RANGES`` numbers; they decide how
     evenly the work is dealt out and nothing else.
     """
-    shares = [place / RANGES for place in range(1, RANGES)]
-    cuts = sorted(set(counted.agg(F.percentile_approx(value, shares, 100 * RANGES)).first()[0] or []))
     ends = F.array(*map(F.lit, cuts)) if cuts else F.array().cast("array<double>")
     own = F.size(F.filter(ends, lambda cut: cut < F.col(value)))
     ranged = counted.withColumn("_range", F.when(F.col(value).isNull(), -1).otherwise(own))

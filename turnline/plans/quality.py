@@ -141,3 +141,40 @@ def summary(flights: DataFrame, links: DataFrame) -> DataFrame:
         "check_name", "result",
     )
     return flight_rows.unionByName(link_rows)
+
+
+def report(flights: DataFrame, links: DataFrame) -> DataFrame:
+    """Every check as a row ``check_name``, ``result``: sizes, nulls, duplicates, domains, consistency, links."""
+
+    def named(checks: DataFrame) -> DataFrame:
+        name, value = checks.columns
+        return checks.select(F.col(name).alias("check_name"), F.col(value).cast("bigint").alias("result"))
+
+    def totalled(nulls: DataFrame, name: str) -> DataFrame:
+        return nulls.agg(F.sum("null_rows").alias("result")).select(F.lit(name).alias("check_name"), "result")
+
+    def as_checks(row: DataFrame) -> DataFrame:
+        return _as_rows(row, "check_name", "result")
+
+    parts = [
+        summary(flights, links),
+        totalled(required_nulls(flights), "required_flight_nulls"), totalled(required_link_nulls(links), "required_link_nulls"),
+        as_checks(full_row_duplicates(flights)), as_checks(key_duplicates(flights)), as_checks(cancel_divert(flights)),
+        *[named(checks) for checks in (domain_violations(flights), cause_consistency(flights), valid_link_invariants(links))],
+    ]
+    whole, *rest = parts
+    for part in rest:
+        whole = whole.unionByName(part)
+    return whole
+
+
+def set_aside(flights: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Flights that hold all required columns, and the others with the names of what they lack in ``missing``.
+
+    Nothing is lost: every row is in one of the two.
+    """
+    lacking = F.filter(
+        F.array(*[F.when(F.col(name).isNull(), F.lit(name)) for name in REQUIRED_FLIGHT_COLUMNS]), lambda name: name.isNotNull()
+    )
+    marked = flights.withColumn("missing", F.array_join(lacking, ","))
+    return marked.where("missing = ''").drop("missing"), marked.where("missing <> ''")
