@@ -18,7 +18,7 @@ from turnline.operators.filters import FlightFilter  # noqa: E402
 from turnline.operators.rotation import legs_of, rotation_links, with_utc_times  # noqa: E402
 from turnline.operators import chains  # noqa: E402
 from turnline.operators import compare, increment  # noqa: E402
-from turnline.plans import analysis, catalog, ground, options, propagation, quality, rankings, sketches, spans, views  # noqa: E402
+from turnline.plans import analysis, catalog, findings, ground, options, propagation, quality, rankings, sketches, spans, views  # noqa: E402
 from turnline.schema import FLIGHT_NAMES  # noqa: E402
 from turnline.sources import derived  # noqa: E402
 from turnline.sources.flights_csv import ingest, read_raw, typed_flights, write_raw  # noqa: E402
@@ -271,6 +271,7 @@ def queries() -> dict[str, Query]:
         "airport_propagation_rankings": rankings.airport_propagation_rankings,
         "dq_summary": quality.summary,
         "dq_report": quality.report,
+        "headline_findings": findings.headline_findings,
     }
     filtered = {
         **{f"filtered_network_{name}": _on_both(views.network_summary, flt=flt) for name, flt in FILTERS.items()},

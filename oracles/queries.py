@@ -435,6 +435,16 @@ def statements() -> dict[str, str]:
         ("dq_full_row_duplicates", ["duplicate_rows"]), ("dq_key_duplicates", ["duplicate_keys", "rows_sharing_a_key"]),
         ("dq_cancel_divert", ["cancelled_flights", "diverted_flights"])) for column in columns]
     sql["dq_report"] = " UNION ALL ".join(rows)
+    found = [f"SELECT '{name}' AS finding, CAST(NULL AS VARCHAR) AS part, {name}::DOUBLE AS value FROM ({sql[key]})" for key, names in (
+        ("delay_rate", ("delayed_flights", "delay_rate_pct")),
+        ("arrival_delay_stats", ("avg_arr_delay_minutes", "median_arr_delay_minutes", "avg_delay_minutes_when_late")),
+        ("cancellation_rate", ("total_flights", "cancellation_rate_pct")),
+        ("link_coverage", ("tail_known_flights", "valid_links", "valid_pct")),
+        ("compare_signals", ("corr_prior_delay", "corr_estimate", "agreement_pct", "a_present_flagged_by_b_pct"))) for name in names]
+    found += [f"SELECT '{name}' AS finding, {part} AS part, {value}::DOUBLE AS value FROM ({sql[key]})" for name, key, part, value in (
+        ("cause_share_pct", "delay_cause_performance", "cause", "pct_of_total_delay_minutes"),
+        ("downstream_delay_rate_pct", "turnaround_buffer_performance", "buffer_bucket_minutes", "downstream_delay_rate_pct"))]
+    sql["headline_findings"] = " UNION ALL ".join(found)
     sql |= ground_statements() | span_statements()
     sql["links_by_month"] = sql["rotation_links"]
     return sql
