@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from turnline.llm import bloomlm, bpe, jaccard, mixing, tokencount, tokenfile, toxicity, urlfilter
-from turnline.llm.common import read, shared_path
+from turnline.llm.common import read, shared_path, stored
 from turnline.llm.queries import BYTE_RANKS, URL_RULES, WORD_TOKENIZER, oracle_sql, queries
 
 WORDS = public_tokenizers.path(WORD_TOKENIZER)
