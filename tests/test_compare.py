@@ -25,6 +25,20 @@ def test_bag_difference_is_except_all(loads):
     assert gone == sorted((k for k, (a, b) in counts.items() for _ in range(a - b)), key=str)
 
 
+def test_columns_not_shown_still_tell_rows_apart_and_travel_as_hashes(spark):
+    kind = "k int, v string, w int, a array<int>"
+    old = spark.createDataFrame([(1, "a", None, [1, None]), (1, None, 2, [1]), (1, "ab", 3, None), (2, "x", 1, [1]), (2, "x", 1, [1])], kind)
+    new = spark.createDataFrame([(1, "a", None, [None, 1]), (1, "2", None, [1]), (1, "ab", 3, None), (2, "x", 1, [1])], kind)
+    whole = compare.bag_difference(old, new, old.columns)
+    some = compare.bag_difference(old, new, old.columns, ["k"])
+    assert sorted(map(tuple, some.collect())) == sorted((r.k, r.n_before, r.n_after) for r in whole.collect())
+    assert some.count() == 5
+    row = compare.keyed_difference(old, new, ["k"], old.columns).where("k = 1").first()
+    assert (row.state, row.removed, row.added, row.kept) == ("changed", 2, 2, 1)
+    shuffled = [line for line in compare.keyed_difference(old, new, ["k"], ["k", "v", "w"])._jdf.queryExecution().optimizedPlan().toString().splitlines() if "Aggregate" in line]
+    assert shuffled and not any(" v#" in line or " w#" in line for line in shuffled)
+
+
 def test_keyed_difference(loads):
     got = {r.k: (r.state, r.removed, r.added, r.kept) for r in compare.keyed_difference(*loads, ["k"], ["k", "v"]).collect()}
     assert got == {1: ("changed", 1, 1, 2), 2: ("changed", 1, 0, 1), 3: ("unchanged", 0, 0, 1), None: ("changed", 0, 1, 1),
