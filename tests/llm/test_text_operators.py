@@ -365,3 +365,19 @@ def test_a_word_of_many_letters_takes_few_steps():
     ids, decoded = coder.texts(pa.array([word]))
     assert time.monotonic() - began < 60
     assert np.frombuffer(ids[0], "<u4").tolist() == coding.encode_ordinary(word) and decoded[0] == word.encode()
+
+
+def test_words_of_usual_length_take_little_work_and_decode_to_themselves(byte_encoding):
+    """Pairs of bytes that nothing reaches into are contracted at once, so fewer rows go through the steps."""
+    coder, rng = bpe.WordCoder(bpe.read_ranks(RANKS)), random.Random(11)
+    parts = ["ed", "enti", "ing", "ou", "th", "re", "and", "keit", "zu", "ció", "aa", "t", "ß", "é"]
+    words = list(dict.fromkeys(" " + "".join(rng.choices(parts, k=rng.randrange(2, 7))) for _ in range(2000)))
+    words += ["a" * n for n in range(1, 65)] + ["".join(rng.choices("ab", k=n)) for n in range(2, 65)]
+    words = list(dict.fromkeys(w for w in words if len(w.encode()) <= bpe.LONG_WORD))
+    for word, (ids, decoded) in zip(words, coder.code([w.encode() for w in words])):
+        assert np.frombuffer(ids, "<u4").tolist() == byte_encoding._core_bpe.encode_single_piece(word.encode())
+        assert decoded == word.encode()
+    usual = [w.encode() for w in words[:2000] if w.startswith(" ")]
+    coder.code(usual)
+    [(stepped,)] = coder.db.sql(bpe.SHORT_WORDS + "SELECT count(*) FROM state").fetchall()
+    assert stepped < 3 * sum(map(len, usual))
