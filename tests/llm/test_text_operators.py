@@ -3,6 +3,7 @@
 import hashlib
 import math
 import random
+import weakref
 import zlib
 from collections import Counter
 
@@ -15,7 +16,7 @@ from compare import connect, differences
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from turnline.llm import bloomlm, bpe, jaccard, mixing, tokencount, tokenfile, toxicity, urlfilter
+from turnline.llm import bloomlm, bpe, common, jaccard, mixing, tokencount, tokenfile, toxicity, urlfilter
 from turnline.llm.common import read, shared_path, stored
 from turnline.llm.queries import BYTE_RANKS, URL_RULES, WORD_TOKENIZER, oracle_sql, queries
 
@@ -381,3 +382,12 @@ def test_words_of_usual_length_take_little_work_and_decode_to_themselves(byte_en
     coder.code(usual)
     [(stepped,)] = coder.db.sql(bpe.SHORT_WORDS + "SELECT count(*) FROM state").fetchall()
     assert stepped < 3 * sum(map(len, usual))
+
+
+def test_a_worker_frees_what_it_forgets():
+    """A coder and its memo refer to each other: dropped, they go at once, not when the collector comes round."""
+    coder = common.per_worker("test", lambda: bpe.TextCoder(bpe.read_ranks(RANKS), public_tokenizers.PATTERN))
+    gone = weakref.ref(coder)
+    del coder
+    common.forget()
+    assert gone() is None
