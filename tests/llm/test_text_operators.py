@@ -391,3 +391,20 @@ def test_a_worker_frees_what_it_forgets():
     del coder
     common.forget()
     assert gone() is None
+
+
+TAILED = ["foo", "foo,", "foo.", "foo!!", "foo.%%%", "é***", "é,", "×,", "÷.", "e\u0301,", "e\u0301", "ñ<", "7.", "77,5;", "'s,", "x's", "x's'",
+          "…,", "ß…", "don't!", "'", "',", "a'", "a\nb,", "Á?", "中,", "中", "ǅ.", "¼,", "_", "a_", "{a}", "ﬁ.", "İ,", "<|x|>"]
+
+
+def test_a_word_is_remembered_once_whatever_punctuation_ends_it(tokenizer):
+    content = tokencount.read_text(WORDS)
+    coder = tokencount.PieceCoder(content)
+    texts = [*TAILED, " ".join(TAILED), "", "  ", "\n".join(reversed(TAILED))]
+    got = coder.encode(pa.array([t.encode() for t in texts], pa.binary()))
+    for text, ids in zip(texts, got):
+        assert np.frombuffer(ids, "<u2").tolist() == tokenizer.encode(text, add_special_tokens=False).ids, text
+    coder = tokencount.PieceCoder(content)
+    coder.encode(pa.array([b" ".join(w + t for w in (b"one", b"two", b"\xc3\xb1u") for t in (b"", b",", b".", b"!!", b"***"))], pa.binary()))
+    assert len(coder.memo.young) == 3 + 5  # the words, and what ends them
+    assert coder.encode(pa.array([], pa.binary())) == []
