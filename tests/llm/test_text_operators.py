@@ -408,3 +408,19 @@ def test_a_word_is_remembered_once_whatever_punctuation_ends_it(tokenizer):
     coder.encode(pa.array([b" ".join(w + t for w in (b"one", b"two", b"\xc3\xb1u") for t in (b"", b",", b".", b"!!", b"***"))], pa.binary()))
     assert len(coder.memo.young) == 3 + 5  # the words, and what ends them
     assert coder.encode(pa.array([], pa.binary())) == []
+
+
+def test_byte_words_are_coded_once_whatever_punctuation_ends_them(byte_encoding, monkeypatch):
+    coder = bpe.TextCoder(bpe.read_ranks(RANKS), public_tokenizers.PATTERN)
+    texts = [*TAILED, " ".join(TAILED), "", "  ", "a  b,\n\n c. ", *(f" {t}" for t in TAILED), "\n".join(reversed(TAILED))]
+    ids, decoded = coder.texts(pa.array(texts))
+    for text, x, y in zip(texts, ids, decoded):
+        assert np.frombuffer(x, "<u4").tolist() == byte_encoding.encode_ordinary(text), text
+        assert y == text.encode()
+    assert coder.texts(pa.array([], pa.string())) == ([], [])
+    coder = bpe.TextCoder(bpe.read_ranks(RANKS), public_tokenizers.PATTERN)
+    coded = []
+    monkeypatch.setattr(coder.words, "code", lambda words, code=coder.words.code: coded.extend(words) or code(words))
+    for tail in ("", ",", ".", "!!", "***"):
+        coder.texts(pa.array([" ".join(["so", *(w + tail for w in ("one", "two", "ñu"))])]))
+    assert sorted(coded) == sorted([b"so", b" so", b" one", b" two", " ñu".encode(), b",", b".", b"!!", b"***"])
