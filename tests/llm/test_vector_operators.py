@@ -82,6 +82,45 @@ def test_pairs_at_the_threshold_are_found(spark):
     assert found.where("n_links = 1").count() >= 0.995 * 6000
 
 
+def shuffled(spark):
+    """Bytes that each stage so far has written to shuffles."""
+    spark.sparkContext._jsc.sc().listenerBus().waitUntilEmpty(30_000)
+    store = spark.sparkContext._jsc.sc().statusStore()
+    stages = store.stageList(None, False, False, spark.sparkContext._gateway.new_array(spark.sparkContext._jvm.double, 0), None)
+    return {stages.apply(i).stageId(): stages.apply(i).shuffleWriteBytes() for i in range(stages.size())}
+
+
+def test_near_vectors_shuffle_few_copies(spark, monkeypatch):
+    """However many tables there are, some are dealt out at a time, and a vector travels as its bytes."""
+    monkeypatch.setattr(simhash, "ROUND_BYTES", 0, raising=False)  # two tables at a time
+    v = np.random.default_rng(9).standard_normal((4000, 64))
+    v[1::4] = v[::4] + 0.01
+    frame = spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(v)], "vec_id long, embedding array<float>").repartition(4)
+    before = shuffled(spark)
+    rows = simhash.near_vectors(frame).collect()
+    written = [n for k, n in shuffled(spark).items() if k not in before]
+    assert sum(r.n_links == 1 for r in rows) == 2000
+    assert max(written) < 1.3 * 2 * 4000 * 64 * 4
+    assert sum(written) < 16 * 4000 * 64 * 4
+
+
+def test_large_buckets_are_found(spark):
+    """Those of more than a block, with as many blocks as they need, though no task counts a code that is rare in it."""
+    rng = np.random.default_rng(5)
+    rows = [(i, (np.eye(1, 16)[0] * 9 + rng.standard_normal(16) if i % 2 else rng.standard_normal(16)).tolist()) for i in range(3000)]
+    frame = spark.createDataFrame(rows, "node long, vector array<float>").selectExpr("node", "1L size", "node least", "vector").repartition(5)
+    nodes = simhash.packed(frame, "<f4")
+    v = np.array([x for _, x in rows], "<f4")
+    codes = simhash.codes_of(v, 0, 3, 5, 3, 7)
+    assert (codes[::-1] == simhash.codes_of(v[::-1], 0, 3, 5, 3, 7)).all()
+    for block in (50, 400):
+        large = simhash.large_buckets(nodes, "<f4", 5, 3, 7, block)
+        for t in range(3):
+            found = dict(zip(*(x.tolist() for x in large.get((t, 16), ((np.zeros(0),) * 2)))))
+            for code, n in zip(*np.unique(codes[:, t], return_counts=True)):
+                assert found.get(code, 1) >= n / block
+
+
 def exact(vectors, query, k):
     i, v = query
     others = [(float(np.dot(w, v)), j) for j, w in vectors if j != i]
