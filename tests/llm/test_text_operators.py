@@ -246,6 +246,46 @@ def test_scores_do_not_depend_on_how_the_filter_is_read(spark, data_dir, hard, m
         assert rows[0] == rows[bloomlm.FILTER_BITS] and len(rows[0]) == docs.count()
 
 
+def test_lists_of_a_segment_are_answered_together(monkeypatch):
+    """A large corpus asks each segment in thousands of short lists: one reading per batch and segment, not one per list."""
+    rng = np.random.default_rng(7)
+    inside = [np.sort(rng.integers(k << 52, k + 1 << 52, 300).astype(np.uint64)) for k in range(3)]
+    bits = []
+    for hashes in inside[:2]:  # nothing is in the third segment
+        filled = np.zeros(bloomlm.segment_bytes(600) * 8, np.uint8)
+        bloomlm.fill(filled, hashes, np.full(300, 3))
+        bits.append(np.packbits(filled))
+    rows = []
+    for k in range(3):
+        rows += [(None, k, bits[k].tobytes())] if k < 2 else []
+        rows += [(i, k, np.sort(rng.choice(inside[k], i % 4)).tobytes()) for i in range(200)]
+    types = (pa.int64(), pa.int64(), pa.binary())
+    table = pa.table([pa.array(c, t) for c, t in zip(zip(*rows), types)], names=["slice", "segment", "data"])
+    calls, read_levels = [], bloomlm.read_levels
+    monkeypatch.setattr(bloomlm, "read_levels", lambda *a: calls.append(1) or read_levels(*a))
+    got = [r for batch in bloomlm.answers_of(iter(table.to_batches(150)), 9) for r in batch.to_pylist()]
+    assert len(calls) <= 2 + 5
+    assert [(r["slice"], r["segment"]) for r in got] == [(i, k) for i, k, _ in rows if i is not None]
+    for r, (_, k, asked) in zip(got, [r for r in rows if r[0] is not None]):
+        starts = np.where(np.arange((1 << bloomlm.SEGMENT_BITS) + 1) > k, len(bits[k]) * 8 if k < 2 else 0, 0)
+        expected = read_levels(bits[k], np.frombuffer(asked, np.uint64), starts, 9) if k < 2 else np.zeros(len(asked) // 8)
+        assert np.frombuffer(r["data"], np.uint8).tolist() == expected.tolist()
+
+
+def test_texts_are_not_stored_to_be_asked(spark, monkeypatch):
+    """Where the filter stays in its segments, texts are shuffled once and n-grams once: neither is written besides."""
+    names = []
+    monkeypatch.setattr(bloomlm, "FILTER_BITS", 0)
+    monkeypatch.setattr(bloomlm, "ASKED_BYTES", 2000, raising=False)  # several slices
+    monkeypatch.setattr(bloomlm, "stored", lambda frame, name: names.append(set(frame.columns)) or stored(frame, name))
+    rows = [(i if i % 7 else None, f"a b c{i % 50} d e{i}" if i % 5 else None, i % 3 > 0) for i in range(400)] * 2
+    docs = spark.createDataFrame(rows, "doc_id long, text string, fits boolean").repartition(5)
+    asked = sorted(map(tuple, bloomlm.score(docs, F.col("fits")).collect()), key=str)
+    monkeypatch.setattr(bloomlm, "FILTER_BITS", 30)
+    assert asked == sorted(map(tuple, bloomlm.score(docs, F.col("fits")).collect()), key=str) and len(asked) == 800
+    assert not any(c & {"text", "text_", "data"} for c in names)
+
+
 def test_pairs_seen_once_raise_the_score(spark):
     """Two texts of the same words: the pairs of one occur once in training, those of the other never."""
     rnd = random.Random(5)
