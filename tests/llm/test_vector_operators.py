@@ -104,17 +104,35 @@ def test_near_vectors_shuffle_few_copies(spark, monkeypatch):
     assert sum(written) < 16 * 4000 * 64 * 4
 
 
+@pytest.mark.parametrize("block", [1 << 17, 40])
+def test_near_vectors_in_fine_tables(spark, monkeypatch, block):
+    """Two levels of tables, as for many vectors: every link counts once, and none is missed where recall asks for all."""
+    for name, value in (("UNIT_VECTORS", 150), ("FINE_BUCKET", 20), ("FINE_TABLES", 3)):
+        monkeypatch.setattr(simhash, name, value)
+    rng = np.random.default_rng(11)
+    v = rng.standard_normal((300, 24))
+    v = np.concatenate([v, v[:200] + rng.normal(0, 0.2, (200, 24)), v[:1] + rng.normal(0, 0.25, (150, 24)), v[:40]])
+    frame = spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(v)], "vec_id long, embedding array<double>").repartition(3)
+    by = simhash.shape(650, 0.9, 1 - 1e-9, 7)
+    assert by.fine_tables == 3 and by.fine_bits > 1 and by.tables > 4
+    rows = simhash.near_vectors(frame, recall=1 - 1e-9, block=block).collect()
+    links = linked(list(enumerate(v)))
+    label = components(range(len(v)), links)
+    assert {r.vec_id: (r.n_links, r.component_id) for r in rows} == {i: (len(links.get(i, [])), label[i]) for i in range(len(v))}
+
+
 def test_large_buckets_are_found(spark):
     """Those of more than a block, with as many blocks as they need, though no task counts a code that is rare in it."""
     rng = np.random.default_rng(5)
     rows = [(i, (np.eye(1, 16)[0] * 9 + rng.standard_normal(16) if i % 2 else rng.standard_normal(16)).tolist()) for i in range(3000)]
     frame = spark.createDataFrame(rows, "node long, vector array<float>").selectExpr("node", "1L size", "node least", "vector").repartition(5)
-    nodes = simhash.packed(frame, "<f4")
+    nodes, by = simhash.packed(frame, "<f4"), simhash.Shape(5, 3, 2, 4, seed=7)
     v = np.array([x for _, x in rows], "<f4")
-    codes = simhash.codes_of(v, 0, 3, 5, 3, 7)
-    assert (codes[::-1] == simhash.codes_of(v[::-1], 0, 3, 5, 3, 7)).all()
+    codes = simhash.codes_of(v, 0, 3, by)[:, :, 0]
+    assert (simhash.codes_of(v, 0, 3, by, fine=True)[::-1] == simhash.codes_of(v[::-1], 0, 3, by, fine=True)).all()
+    assert (codes[:, 1:2] == simhash.codes_of(v, 1, 2, by, fine=True)[:, :, 0]).all()
     for block in (50, 400):
-        large = simhash.large_buckets(nodes, "<f4", 5, 3, 7, block)
+        large = simhash.large_buckets(nodes, "<f4", by, block)
         for t in range(3):
             found = dict(zip(*(x.tolist() for x in large.get((t, 16), ((np.zeros(0),) * 2)))))
             for code, n in zip(*np.unique(codes[:, t], return_counts=True)):
